@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import main_body, pieces, site_lines
+from . import main_body, pieces, quality, site_lines, tokens
 from .common import table
 
 
@@ -33,6 +33,26 @@ def p3_pieces(spark, path):
     return pieces.pieces(table(spark, path, "page_results")).select("page_id", "piece_no", "start", "stop", "boundary", F.xxhash64("piece").alias("piece_hash"))
 
 
+def p6_tokens(spark, path):
+    return tokens.page_tokens(table(spark, path, "page_results"))
+
+
+def p6_totals(spark, path):
+    return tokens.totals(table(spark, path, "page_results"), table(spark, path, "jobs"))
+
+
+def p7_ids(spark, path):
+    return tokens.ids(table(spark, path, "documents"))
+
+
+def p9_found(spark, path):
+    return quality.found(table(spark, path, "documents"), table(spark, path, "common_words"))
+
+
+def p9_statistics(spark, path):
+    return quality.classify(table(spark, path, "documents"), table(spark, path, "common_words"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
 
