@@ -12,25 +12,26 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_blocks, written
 from .kernel import ALNUM, CJK, NUMBER, SPACE, Block, mix, spans_hash, tables
 
-_STATS = ["n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share", "digit_ratio", "inner_symbol_share", "sentence_share", "distinct_trigram_share", "words_per_line", "number_end_share"]
+_STATS = ["n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share", "digit_ratio", "inner_symbol_share", "sentence_share", "distinct_trigram_share", "distinct_word_share", "words_per_line", "number_end_share"]
 #: Labelling functions: statistic, votes prose when at or inside, votes against when beyond (fixed values).
-FUNCTIONS: list[tuple[str, Column, Column]] = [
-    ("common", F.col("common_word_share") >= 0.22, F.col("common_word_share") < 0.16),
-    ("symbols", F.col("symbol_ratio") <= 0.08, F.col("symbol_ratio") > 0.13),
-    ("sentences", F.col("sentence_share") >= 0.55, F.col("sentence_share") < 0.4),
-    ("lengths", F.col("mean_word_length").between(2.8, 7.5), ~F.col("mean_word_length").between(2.2, 9.5)),
-    ("inner", F.col("inner_symbol_share") <= 0.04, F.col("inner_symbol_share") > 0.12),
-    ("digits", F.col("digit_ratio") <= 0.12, F.col("digit_ratio") > 0.2),
-    ("fresh", F.col("distinct_trigram_share") >= 0.7, F.col("distinct_trigram_share") < 0.45),
-    ("lines", F.col("words_per_line") >= 6.5, F.col("words_per_line") < 4.5),
-    ("numbers", F.lit(False), F.col("number_end_share") > 0.5),
-    ("stops", F.col("punct_line_share") >= 0.5, F.lit(False)),
+FUNCTIONS: list[tuple[str, str, str]] = [
+    ("common", "common_word_share between 0.2 and 0.75", "common_word_share not between 0.12 and 0.85"),
+    ("symbols", "symbol_ratio <= 0.08", "symbol_ratio > 0.13"),
+    ("sentences", "sentence_share >= 0.55", "sentence_share < 0.4"),
+    ("lengths", "mean_word_length between 2.8 and 7.5", "mean_word_length not between 2.2 and 9.5"),
+    ("inner", "inner_symbol_share <= 0.04", "inner_symbol_share > 0.12"),
+    ("digits", "digit_ratio <= 0.12", "digit_ratio > 0.2"),
+    ("fresh", "distinct_trigram_share >= 0.7", "distinct_trigram_share < 0.45"),
+    ("words", "distinct_word_share >= 0.2", "distinct_word_share < 0.1"),
+    ("lines", "words_per_line >= 6.5", "words_per_line < 4.5"),
+    ("numbers", "false", "number_end_share > 0.5"),
+    ("stops", "punct_line_share >= 0.5", "false"),
 ]
 _STOPS = [ord(c) for c in ".!?:;…。！？”\"»)"]
 
@@ -60,6 +61,7 @@ def _stats(b: Block, common: np.ndarray, n_text: int) -> dict[str, np.ndarray]:
     hit = np.zeros(len(h), bool)
     inside = pos < len(common)
     hit[inside] = common[pos[inside]] == h[inside]
+    wide = (b.cp >= 0x3000) & (b.cp < 0x3040) | (b.cp >= 0xFF00) & (b.cp < 0xFF66)  # marks of full width are punctuation of prose
     weight = np.where(cjk, 0.5, 1.0)  # two ideographs or kana count as a word
     text = np.searchsorted(b.ends, s)
     per = lambda w, t=text: np.bincount(t, w, n_text)
@@ -68,12 +70,12 @@ def _stats(b: Block, common: np.ndarray, n_text: int) -> dict[str, np.ndarray]:
     letter_words = per(np.where((b.has(NUMBER)[s]) & ~cjk, 0.0, weight))
     div = lambda a, d: np.divide(a, d, out=np.zeros(len(a)), where=d > 0)
     span = lambda m: b.count(m, b.starts, b.ends).astype(float)
-    solid, symbols, digits = span(kind != 0), span(kind == 3), span((low >= 48) & (low < 58))
+    solid, symbols, digits = span(kind != 0), span((kind == 3) & ~wide), span((low >= 48) & (low < 58))
     # white-space tokens with a symbol between letters or digits
     run_s, run_e = b.runs(kind != 0)
-    sym = kind == 3
+    sym = (kind == 3) & ~wide
     inner = np.zeros(b.n, bool)
-    an = (kind == 1) | (kind == 2)
+    an = kind == 1
     inner[1:-1] = sym[1:-1] & an[:-2] & an[2:]
     inner &= ~np.isin(b.cp, [39, 0x2019, 45, 46, 44, 58, 0x2010])
     dirty = b.count(inner, run_s, run_e) > 0
@@ -102,6 +104,9 @@ def _stats(b: Block, common: np.ndarray, n_text: int) -> dict[str, np.ndarray]:
         tri_text = text[:-2][ok]
         uniq = np.unique(mix(tri[ok] + tri_text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
         fresh = np.where(np.bincount(tri_text, minlength=n_text) > 5, div(np.bincount(tri_text[uniq], minlength=n_text).astype(float), np.bincount(tri_text, minlength=n_text).astype(float)), 1.0)
+    new = np.unique(mix(h + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)[1]
+    total = np.bincount(text, minlength=n_text).astype(float)
+    variety = np.where(total > 12, div(np.bincount(text[new], minlength=n_text).astype(float), np.minimum(total, 400)), 1.0)
     return {
         "n_words": n_words,
         "mean_word_length": div(letters_in, n_words),
@@ -112,6 +117,7 @@ def _stats(b: Block, common: np.ndarray, n_text: int) -> dict[str, np.ndarray]:
         "inner_symbol_share": div(np.bincount(run_text, dirty, n_text), np.bincount(run_text, minlength=n_text).astype(float)),
         "sentence_share": div(np.bincount(lt, np.where(good, lsol, 0), n_text), solid),
         "distinct_trigram_share": fresh,
+        "distinct_word_share": variety,
         "words_per_line": div(n_words, lines),
         "number_end_share": div(np.bincount(lt, (last >= 48) & (last < 58), n_text), lines),
     }
@@ -157,7 +163,7 @@ def classify(docs: DataFrame, common_words: DataFrame, key: str = "doc_id", text
     and has no posterior.  Equal texts get equal rows.
     """
     stats = statistics(docs, common_words, key, text)
-    vote = [F.when(a, 1).when(z, 0).otherwise(2).alias(name) for name, a, z in FUNCTIONS]
+    vote = [F.when(F.expr(a), 1).when(F.expr(z), 0).otherwise(2).alias(name) for name, a, z in FUNCTIONS]
     code = sum((v * 3**i for i, v in enumerate(vote)), F.lit(0)).cast("int")
     stats = written(stats.withColumn("_pattern", F.when(~F.col("blank"), code)))
     seen = stats.where(~F.col("blank")).groupBy("_pattern").agg(F.count(F.lit(1)).alias("c")).collect()  # at most 3 ** len(FUNCTIONS) rows
