@@ -94,7 +94,8 @@ def _stats(b: Block, common: np.ndarray, n_text: int) -> dict[str, np.ndarray]:
     lsym, lsol = b.count(sym, ts, te), b.count(kind != 0, ts, te)
     ldig = b.count((low >= 48) & (low < 58), ts, te)
     leader = b.count(b.cp == 46, ts, te) > 8
-    good = (lw >= 3.5) & (lc >= 0.15 * lw) & (lsym <= 0.13 * lsol) & (ldig <= 0.3 * lsol) & ~leader
+    lcj = cum(cjk * weight)[z] - cum(cjk * weight)[a]
+    good = (lw >= 3.5) & (lc >= np.where(lcj > 0.3 * lw, 0.08, 0.15) * lw) & (lsym <= 0.13 * lsol) & (ldig <= 0.3 * lsol) & ~leader
     lines = np.bincount(lt, minlength=n_text).astype(float)
     # trigrams of words within a text
     fresh = np.ones(n_text)

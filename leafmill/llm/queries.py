@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import main_body, pieces, quality, site_lines, tokens
+from . import main_body, near, pieces, quality, residue, site_lines, tokens
 from .common import table
 
 
@@ -33,6 +33,22 @@ def p3_pieces(spark, path):
     return pieces.pieces(table(spark, path, "page_results")).select("page_id", "piece_no", "start", "stop", "boundary", F.xxhash64("piece").alias("piece_hash"))
 
 
+def p4_found(spark, path):
+    return residue.found(table(spark, path, "page_results"))
+
+
+def p4_clean(spark, path):
+    return residue.clean_pages(table(spark, path, "page_results")).select("page_id", "url", "status")
+
+
+def p5_found(spark, path):
+    return near.found(table(spark, path, "page_results"))
+
+
+def p5_classes(spark, path):
+    return near.classes(table(spark, path, "page_results"))
+
+
 def p6_tokens(spark, path):
     return tokens.page_tokens(table(spark, path, "page_results"))
 
