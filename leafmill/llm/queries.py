@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import main_body, near, pieces, quality, residue, site_lines, tokens
+from . import main_body, mixing, near, pieces, quality, residue, site_lines, tokens
 from .common import table
 
 
@@ -61,6 +61,14 @@ def p7_ids(spark, path):
     return tokens.ids(table(spark, path, "documents"))
 
 
+def p8_mix(spark, path):
+    return mixing.mix(table(spark, path, "documents"), table(spark, path, "mix_targets"))
+
+
+def p8_shares(spark, path):
+    return mixing.shares(table(spark, path, "documents"), table(spark, path, "mix_targets"))
+
+
 def p9_found(spark, path):
     return quality.found(table(spark, path, "documents"), table(spark, path, "common_words"))
 
