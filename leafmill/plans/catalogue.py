@@ -1,11 +1,558 @@
-"""Queries over the test tables by name, with their SQL."""
+"""Queries over the test tables by name, with their SQL.
+
+Each query is a function of (spark, folder); its SQL, where SQL can say the
+same over whole tables, stands beside it.  Long texts are compared by md5.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import html, safety
+from ..functions import text as T
+from ..functions import url as U
+from ..operators import jobs as J
+from ..operators import links as L
+from ..operators import markdown as M
+from ..operators import pagetext as P
+from ..operators import search as S
+from ..operators import sitemap as X
+from ..sources import readers, sinks
+from ..streaming import events as E
+from .shared import written
+
+_QUERIES, _SQL = {}, {}
+#: Time at which running jobs are measured.
+NOW = "2026-01-01T00:00:00+00:00"
+TERM, HALVENOR = "queue", "docs.halvenor.example"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
+
+
+def _t(spark, path, name):
+    return spark.read.parquet(f"{path}/{name}.parquet")
+
+
+# Fragments of SQL that several queries share.
+_ABS = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[0-9A-Fa-f:.]*\]|[^/?#:]*)(?::[0-9]*)?([^?#]*)"
+_WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _host(c):
+    return f"nullif(lower(regexp_extract({c}, '{_ABS}', 2)), '')"
+
+
+def _scheme(c):
+    return f"lower(regexp_extract({c}, '{_ABS}', 1))"
+
+
+def _path(c):
+    return f"(case when {_host(c)} is not null then case when regexp_extract({c}, '{_ABS}', 3) = '' then '/' else regexp_extract({c}, '{_ABS}', 3) end end)"
+
+
+def _valid(c):
+    return f"coalesce({_scheme(c)} in ('http', 'https') and {_host(c)} is not null and not regexp_matches({_host(c)}, '[\\s<>^|%]'), false)"
+
+
+def _segs(c):
+    return f"list_filter(string_split({_path(c)}, '/'), lambda s: s not in ('', '.', '..'))"
+
+
+def _page_path(c):
+    stem = f"regexp_replace(list_last({_segs(c)}), '\\.[^.]*$', '')"
+    folder = f"(suffix({_path(c)}, '/') or len({_segs(c)}) = 0)"
+    last = f"case when {folder} then 'index.md' when {stem} = '' then 'unnamed.md' else {stem} || '.md' end"
+    head = f"case when {folder} then {_segs(c)} else list_slice({_segs(c)}, 1, len({_segs(c)}) - 1) end"
+    return f"case when {_host(c)} is not null then array_to_string(list_append({head}, {last}), '/') end"
+
+
+def _trim(c):
+    return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _blank(c):
+    return f"(not regexp_matches({c}, '[^{_WS[1:]}'))"
+
+
+def _count(c, word):
+    return f"((length(lower(coalesce({c}, ''))) - length(replace(lower(coalesce({c}, '')), '{word}', ''))) // {len(word)})::bigint"
+
+
+_LINES = r"case when {c} = '' then []::varchar[] else string_split_regex(regexp_replace({c}, '\r?\n$', ''), '\r?\n') end"
+
+
+def _lines(c):
+    return _LINES.format(c=c)
+
+
+# --- search
+
+
+@query(f"select page_id, url, title, {_count('title', TERM)} * 10 + {_count('content', TERM)} + {_count('url', TERM)} * 5 as relevance from page_results where relevance > 0")
+def search_relevance(spark, path):
+    return S.search(_t(spark, path, "page_results"), TERM).drop("preview")
+
+
+@query(f"""with a as (select page_id, content, strpos(lower(content), '{TERM}') as at_pos from page_results where content is not null)
+select page_id, md5(case when at_pos > 0 then (case when at_pos - 81 > 0 then '…' else '' end) || substr(content, greatest(at_pos - 81, 0) + 1, least(at_pos - 1 + {len(TERM)} + 120, length(content)) - greatest(at_pos - 81, 0)) || (case when at_pos - 1 + {len(TERM)} + 120 < length(content) then '…' else '' end)
+else substr(content, 1, 200) || (case when length(content) > 200 then '…' else '' end) end) as preview from a""")
+def search_preview(spark, path):
+    p = _t(spark, path, "page_results").where("content is not null")
+    return p.select("page_id", F.md5(T.preview(F.col("content"), TERM)).alias("preview"))
+
+
+@query(f"select page_id, {_count('content', TERM)} as hits, md5(regexp_replace(content, '(?i){TERM}', '<mark>\\0</mark>', 'g')) as marked from page_results where content is not null")
+def search_highlight(spark, path):
+    p = _t(spark, path, "page_results").where("content is not null")
+    return p.select("page_id", T.occurrences(F.col("content"), TERM).alias("hits"), F.md5(T.highlight(F.col("content"), TERM)).alias("marked"))
+
+
+# --- urls and paths
+
+
+@query(f"select page_id, {_valid('url')} as valid, {_scheme('url')} as scheme, {_host('url')} as host, {_path('url')} as path from page_results")
+def url_parts(spark, path):
+    u = F.col("url")
+    return _t(spark, path, "page_results").select("page_id", U.is_valid_url(u).alias("valid"), U.scheme(u).alias("scheme"), U.host(u).alias("host"), U.path(u).alias("path"))
+
+
+@query(f"select page_id, {_page_path('url')} as page_path, case when {_host('url')} is not null then concat_ws('/', {_host('url')}, case when len({_segs('url')}) = 0 then 'index.asset' else array_to_string({_segs('url')}, '/') end) end as asset_path, 'output/' || coalesce({_host('url')}, 'unknown') as dir from page_results")
+def url_paths(spark, path):
+    u = F.col("url")
+    return _t(spark, path, "page_results").select("page_id", U.page_path(u).alias("page_path"), U.asset_path(u).alias("asset_path"), U.output_dir("output", u).alias("dir"))
+
+
+@query(f"select {_host('url')} as host, {_page_path('url')} as page_path, count(*) as pages, min(page_id) as first_page from page_results where {_host('url')} is not null group by all having count(*) > 1")
+def path_collisions(spark, path):
+    u = F.col("url")
+    return _t(spark, path, "page_results").where(U.host(u).isNotNull()).groupBy(U.host(u).alias("host"), U.page_path(u).alias("page_path")).agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first_page")).where("pages > 1")
+
+
+_V4 = r"^(127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.)[0-9.]+$"
+_PRIVATE = "coalesce({h} is null or {h} in ('localhost','0.0.0.0','::','[::1]','[::]','broadcasthost','ip6-localhost','ip6-loopback') or suffix({h}, '.local') or suffix({h}, '.localhost') or regexp_matches({h}, '" + _V4 + "'), true)"
+
+
+@query(f"with u as (select url from page_results union select unnest(links) from page_results union select unnest(['http://localhost/a','http://127.0.0.1:80/','https://10.1.2.3','http://172.20.0.1/x','http://172.32.0.1/x','http://8.8.8.8/','http://printer.local/','nonsense'])) select url, {_PRIVATE.format(h=_host('url'))} as private from u")
+def ssrf_flags(spark, path):
+    p = _t(spark, path, "page_results")
+    more = spark.createDataFrame([(x,) for x in ["http://localhost/a", "http://127.0.0.1:80/", "https://10.1.2.3", "http://172.20.0.1/x", "http://172.32.0.1/x", "http://8.8.8.8/", "http://printer.local/", "nonsense"]], "url string")
+    u = p.select("url").union(p.select(F.explode("links"))).union(more).distinct()
+    return u.select("url", safety.is_private(F.col("url")).alias("private"))
+
+
+# --- links
+
+
+@query("select page_id, coalesce(len(links), 0)::bigint as links, coalesce(len(assets), 0)::bigint as assets from page_results")
+def link_counts(spark, path):
+    n = lambda c: F.greatest(F.size(F.coalesce(F.col(c), F.array())), F.lit(0)).cast("bigint").alias(c)
+    return _t(spark, path, "page_results").select("page_id", n("links"), n("assets"))
+
+
+_CONFIG = L.CrawlConfig(exclude_patterns=[".*/login.*", ".*/signup.*"], include_patterns=["/guides/"], path_prefix="/docs")
+_L = "with l as (select page_id, generate_subscripts(links, 1) - 1 as pos, unnest(links) as link from page_results) "
+
+
+@query(_L + f"select page_id, pos::int as pos, link from l where {_valid('link')} and not (regexp_matches(link, '.*/login.*') or regexp_matches(link, '.*/signup.*')) and (regexp_matches(link, '/guides/') or coalesce(starts_with({_path('link')}, '/docs'), false)) and not {_PRIVATE.format(h=_host('link'))} and {_host('link')} = '{HALVENOR}'")
+def link_admission(spark, path):
+    links = _t(spark, path, "page_results").select("page_id", F.posexplode("links").alias("pos", "link"))
+    return L.admit(links, _CONFIG, HALVENOR)
+
+
+@query()
+def link_resolve(spark, path):
+    return L.listed(_t(spark, path, "page_results"))
+
+
+@query(_L + f"select {_host('link')} as host, count(*) as links, count(distinct link) as distinct_links from l group by 1")
+def link_hosts(spark, path):
+    links = _t(spark, path, "page_results").select(F.explode("links").alias("link"))
+    return links.groupBy(U.host(F.col("link")).alias("host")).agg(F.count(F.lit(1)).alias("links"), F.countDistinct("link").alias("distinct_links"))
+
+
+@query("""with recursive e as (select url as src, unnest(links) as dst from page_results where url is not null),
+r(url, depth) as (select min(url), 0 from page_results where url like 'https://docs.halvenor.example/%' union select e.dst, r.depth + 1 from r join e on e.src = r.url where r.depth < 2 and e.dst in (select url from page_results) and regexp_matches(e.dst, '^https?://docs\\.halvenor\\.example(:[0-9]+)?(/|$|[?#])'))
+select url, min(depth)::int as depth from r group by url""")
+def crawl_bfs(spark, path):
+    p = _t(spark, path, "page_results").where("url is not null")
+    seed = p.where(F.col("url").like("https://docs.halvenor.example/%")).agg(F.min("url")).first()[0]
+    edges = p.select(F.col("url").alias("src"), F.posexplode("links").alias("pos", "link"))
+    config = L.CrawlConfig(max_depth=2, page_limit=L.QUEUE)
+    return L.crawl(edges, p.select("url"), seed or "https://docs.halvenor.example/", config, written).select("url", "depth")
+
+
+_ROBOTS = "# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /help/crawler\nDisallow: /help/\nDisallow: /kb/\nCrawl-delay: 1.5\nSitemap: https://docs.halvenor.example/map.xml\n"
+
+
+def _robots(spark, path):
+    hosts = _t(spark, path, "page_results").select(U.host(F.col("url")).alias("host")).where("host is not null").distinct()
+    return hosts.withColumn("body", F.lit(_ROBOTS))
+
+
+@query(f"select page_id, not (starts_with({_path('url')}, '/help/') or starts_with({_path('url')}, '/kb/')) or starts_with({_path('url')}, '/help/crawler') as allowed from page_results where {_host('url')} is not null")
+def robots_allowed(spark, path):
+    p = _t(spark, path, "page_results").where(U.host(F.col("url")).isNotNull()).withColumn("host", U.host(F.col("url")))
+    rules = L.robots_rules(_robots(spark, path), "leafmill")
+    return p.join(rules, "host", "left").select("page_id", L.robots_allowed(U.path(F.col("url")), F.col("allow"), F.col("disallow")).alias("allowed"))
+
+
+@query(f"select distinct {_host('url')} as host, unnest(['disallow', 'allow', 'disallow', 'disallow', 'crawl-delay']) as kind, unnest(['/', '/help/crawler', '/help/', '/kb/', '1.5']) as value, unnest(['other', '*', '*', '*', '*']) as agent from page_results where {_host('url')} is not null")
+def robots_parse(spark, path):
+    return L.parse_robots(_robots(spark, path)).select("host", "kind", "value", "agent")
+
+
+@query(f"select distinct {_host('url')} as host, 'https://docs.halvenor.example/map.xml' as sitemap, 1::int as pos from page_results where {_host('url')} is not null")
+def sitemap_discover(spark, path):
+    return X.discover(_robots(spark, path), spark.createDataFrame([], "url string"))
+
+
+# --- Markdown
+
+
+def _md(spark, path, f):
+    p = _t(spark, path, "page_results").where("content is not null")
+    return p.select("page_id", F.md5(f(F.col("content"))).alias("digest"))
+
+
+def _md_sql(expr):
+    return f"select page_id, md5({expr}) as digest from page_results where content is not null"
+
+
+@query(_md_sql(r"regexp_replace(content, '\n{3,}', E'\n\n', 'g')"))
+def md_collapse(spark, path):
+    return _md(spark, path, M.collapse_blank)
+
+
+@query(_md_sql(r"regexp_replace(content, '\[([^\]]+)\]\([\t\n\v\f\r ]*\)', '\1', 'g')"))
+def md_empty_links(spark, path):
+    return _md(spark, path, M.remove_empty_links)
+
+
+@query(_md_sql(r"regexp_replace(content, '!\[([^\]]*)\]\([\t\n\v\f\r ]*\)', '', 'g')"))
+def md_broken_images(spark, path):
+    return _md(spark, path, M.remove_broken_images)
+
+
+@query(_md_sql(r"regexp_replace(regexp_replace(content, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g')"))
+def strip_script_style(spark, path):
+    return _md(spark, path, M.strip_script_and_style)
+
+
+@query(_md_sql(r"""regexp_replace(content, '(?i)<a[^>]*href="[^"]*"[^>]*>\s*</a>', '', 'g')"""))
+def strip_empty_links(spark, path):
+    return _md(spark, path, M.strip_empty_links)
+
+
+def _bare(c):
+    for p in M.UI_PATTERNS:
+        c = f"regexp_replace({c}, '{p}', '', 'g')"
+    return c
+
+
+@query(_md_sql(f"array_to_string(list_filter({_lines('content')}, lambda x: {_blank('x')} or not {_blank(_bare('x'))}), E'\\n')"))
+def md_boilerplate(spark, path):
+    return _md(spark, path, M.strip_ui)
+
+
+_TOC = f"(len(list_filter({_lines('{x}')}, lambda y: not {_blank('y')})) >= 3 and len(list_filter({_lines('{x}')}, lambda y: regexp_matches(regexp_replace({_trim('y')}, '^([*-] )+', ''), '^\\[.*#.*\\)$'))) * 2 >= len(list_filter({_lines('{x}')}, lambda y: not {_blank('y')})))"
+
+
+def _toc(x):
+    return _TOC.replace("{x}", x)
+
+
+@query(f"""with s as (select page_id, content, generate_subscripts(string_split(content, E'\\n\\n'), 1) as i, unnest(string_split(content, E'\\n\\n')) as x from page_results where content is not null),
+k as (select *, {_trim('x')} as t, count(*) over (partition by page_id) as n, {_toc('x')} as toc from s),
+f as (select *, row_number() over (partition by page_id, t order by i) as r from k where {_blank('x')} or not toc)
+select p.page_id, md5(case when len(string_split(p.content, E'\\n\\n')) < 6 then p.content else coalesce(string_agg(f.x, E'\\n\\n' order by f.i) filter (where f.r = 1 or strlen(f.t) <= 80), '') end) as digest
+from page_results p left join f on p.page_id = f.page_id where p.content is not null group by p.page_id, p.content""")
+def md_dedup(spark, path):
+    return _md(spark, path, M.dedup)
+
+
+@query(f"with s as (select page_id, unnest(string_split(content, E'\\n\\n')) as x from page_results where content is not null) select page_id, count(*) as sections, count(*) filter (where {_toc('x')}) as toc_sections from s group by page_id")
+def md_toc(spark, path):
+    p = _t(spark, path, "page_results").where("content is not null").select("page_id", F.explode(T.sections(F.col("content"))).alias("x"))
+    return p.groupBy("page_id").agg(F.count(F.lit(1)).alias("sections"), F.count_if(M.is_toc(F.col("x"))).alias("toc_sections"))
+
+
+@query()
+def md_stub_suffix(spark, path):
+    return _md(spark, path, M.strip_trailing_stubs)
+
+
+@query()
+def md_clean(spark, path):
+    return _md(spark, path, M.clean)
+
+
+@query(f"select page_id, coalesce(nullif({_trim(chr(39).join(['regexp_extract(content, ', '(?m)^(?:# )+(.*)$', ', 1)']))}, ''), nullif({_trim(chr(39).join(['regexp_extract(content, ', '(?m)^(.*[^ \\t\\r\\n].*)\\n={3,}', ', 1)']))}, ''), coalesce(title, '')) as md_title from page_results where content is not null")
+def md_title(spark, path):
+    p = _t(spark, path, "page_results").where("content is not null")
+    return p.select("page_id", M.title(F.col("content"), F.coalesce("title", F.lit(""))).alias("md_title"))
+
+
+@query()
+def md_to_html(spark, path):
+    return _md(spark, path, lambda c: html.to_html_udf(c))
+
+
+@query()
+def html_to_markdown(spark, path):
+    return _md(spark, path, lambda c: html.to_markdown_udf(html.to_html_udf(c)))
+
+
+@query()
+def html_links(spark, path):
+    p = _t(spark, path, "page_results").where("content is not null").select("page_id", "url", html.to_html_udf("content").alias("html"))
+    return L.extract(p)
+
+
+@query()
+def html_content(spark, path):
+    p = _t(spark, path, "page_results").where("content is not null").select("page_id", F.concat(F.lit("<html><body><nav>menu</nav><main>"), html.to_html_udf("content"), F.lit("</main></body></html>")).alias("html"))
+    return L.content_places(p, L.CrawlConfig()).select("page_id", F.md5("content").alias("digest"))
+
+
+@query()
+def html_titles(spark, path):
+    p = _t(spark, path, "page_results")
+    return p.select("page_id", html.title_udf(F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head></html>"))).alias("title"))
+
+
+# --- page texts of books
+
+
+def _book(spark, path):
+    return P.numbered(_t(spark, path, "documents"), "source", ["page_no", "doc_id"], "text")
+
+
+_BOOK = "with pages as (select source as book, row_number() over (partition by source order by page_no nulls first, doc_id) - 1 as page_no, coalesce(text, '') as text from documents), "
+_BLINES = _BOOK + f"""raw as (select book, page_no, generate_subscripts(ls, 1) - 1 as line_no, unnest(ls) as line from (select book, page_no, {_lines('text')} as ls from pages)),
+full_lines as (select *, count(*) over (partition by book, page_no) as n, row_number() over (partition by book, page_no order by line_no) as rank from raw where not {_blank('line')}),
+zones as (select *, n - rank + 1 as back, least(5, n // 2) as zone, lower(trim(regexp_replace(regexp_replace(line, '[0-9]', ' ', 'g'), '{_WS}+', ' ', 'g'))) as sig from full_lines),
+sizes as (select book, count(*) as pages from pages group by book) """
+
+
+@query(_BLINES + ", ends as (select book, true as top, sig from zones where rank <= zone and sig <> '' union all select book, false, sig from zones where back <= zone and sig <> '') select e.book, top, sig, count(*) as uses from ends e join sizes s on e.book = s.book where s.pages >= 4 group by e.book, top, sig, s.pages having count(*) >= ceil(0.6 * s.pages - 1e-9)")
+def clean_frequent_edges(spark, path):
+    pages = _book(spark, path)
+    return P.frequent_edges(P.to_lines(pages), P.book_sizes(pages))
+
+
+@query(_BLINES + "select book, page_no::bigint as page_no, line_no::bigint as line_no, sig from zones where rank <= zone or back <= zone")
+def clean_zones(spark, path):
+    ls = P.to_lines(_book(spark, path)).where("rank <= zone or back <= zone")
+    return ls.select("book", F.col("page_no").cast("bigint").alias("page_no"), F.col("line_no").cast("bigint").alias("line_no"), T.signature(F.col("line")).alias("sig"))
+
+
+@query(_BLINES + r", nums as (select book, page_no, line_no, try_cast(trim(line) as int) - page_no as start from zones where regexp_matches(line, '^\s*[0-9]{1,4}\s*$')), firsts as (select book, start, page_no, min(line_no) as line_no from nums where start between 0 and 5 group by all), score as (select f.book, start, count(*) as hits from firsts f join sizes s on f.book = s.book where s.pages >= 3 group by f.book, start, s.pages having count(*) >= ceil(0.6 * s.pages - 1e-9)), best as (select book, arg_max(start, hits * 10 - start) as start from score group by book) select f.book, f.page_no::bigint as page_no, f.line_no::bigint as line_no from firsts f join best b on f.book = b.book and f.start = b.start")
+def clean_sequential(spark, path):
+    pages = _book(spark, path)
+    return P.sequential_numbers(P.to_lines(pages), P.book_sizes(pages)).select("book", F.col("page_no").cast("bigint").alias("page_no"), F.col("line_no").cast("bigint").alias("line_no"))
+
+
+@query()
+def clean_footnotes(spark, path):
+    pages = _book(spark, path)
+    return P.rejoin(P.remove_footnotes(P.to_lines(pages)), pages).select("book", "page_no", F.md5("text").alias("digest"))
+
+
+@query()
+def clean_full(spark, path):
+    return P.clean_pages(_book(spark, path)).select("book", "page_no", F.md5("text").alias("digest"))
+
+
+@query(_BOOK + "b as (select book, string_agg(case when n > 1 then '## Page ' || (page_no + 1) || E'\\n\\n' || text else text end, E'\\n\\n' order by page_no) as body from (select *, count(*) over (partition by book) as n from pages) group by book) select book, md5('# ' || book || E'\\n\\n' || body) as digest from b")
+def import_books(spark, path):
+    return sinks.book(_book(spark, path)).select("book", F.md5("content").alias("digest"))
+
+
+# --- exports and trees
+
+
+@query(f"select coalesce({_host('url')}, 'unknown') as host, md5(string_agg(coalesce(content, ''), E'\\n\\n---\\n\\n' order by string_split(coalesce({_page_path('url')}, 'unnamed.md'), '/'), coalesce(content, ''))) as digest, count(*) as files from page_results group by 1")
+def merged_markdown(spark, path):
+    files = sinks.pages_out(_t(spark, path, "page_results"))
+    n = files.groupBy("host").agg(F.count(F.lit(1)).alias("files"))
+    return sinks.merged(files, ["host"]).join(n, "host").select("host", F.md5("content").alias("digest"), "files")
+
+
+@query()
+def export_json(spark, path):
+    files = sinks.pages_out(_t(spark, path, "page_results"))
+    return sinks.json_records(files).select("path", F.md5("json").alias("digest"))
+
+
+@query(f"""with u as (select page_id as seq, case when {_host('url')} is not null then list_prepend({_host('url')}, list_filter(string_split({_path('url')}, '/'), lambda s: s <> '')) else [url] end as parts from page_results where url is not null),
+n as (select seq, parts, unnest(range(1, len(parts) + 1)) as depth from u)
+select array_to_string(parts[1:depth], '/') as path, case when depth > 1 then array_to_string(parts[1:depth - 1], '/') end as parent, parts[depth] as name, depth::int as depth, count(*) as pages, max(case when len(parts) = depth then seq end) as page from n group by 1, 2, 3, 4""")
+def site_tree(spark, path):
+    return J.site_tree(_t(spark, path, "page_results"))
+
+
+# --- jobs and batches
+
+_TS = "try_cast(replace({c}, 'Z', '+00:00') as timestamptz)"
+_SECS = f"greatest(date_diff('second', date_trunc('second', {_TS.format(c='start_time')}), date_trunc('second', {_TS.format(c='stop')})), 1)"
+_VEL = f"with v as (select *, case when lower(status) = 'running' then '{NOW}' else end_time end as stop, coalesce(len(results), 0)::bigint as pages from jobs), w as (select *, coalesce(case when pages > 0 then pages * 60.0 / {_SECS} end, 0.0)::double as speed from v) "
+
+
+@query(_VEL + "select id, status, pages, round(speed, 6) as pages_per_minute from w")
+def job_velocity(spark, path):
+    return J.job_velocity(_t(spark, path, "jobs"), NOW).withColumn("pages_per_minute", F.round("pages_per_minute", 6))
+
+
+@query(_VEL + "select count(*) as jobs, coalesce(sum(pages), 0)::bigint as pages_saved, round(coalesce((select speed from w where lower(status) = 'running' order by coalesce(start_time, '') desc, id desc limit 1), (select speed from w where lower(status) = 'completed' order by coalesce(end_time, '') desc, id desc limit 1), 0.0), 6) as velocity, round(coalesce(count(*) filter (where lower(status) = 'failed') * 100.0 / nullif(count(*), 0), 0), 6)::double as fail_rate from w")
+def dashboard_stats(spark, path):
+    return J.dashboard(_t(spark, path, "jobs"), NOW).drop("total_size_bytes").withColumn("velocity", F.round("velocity", 6)).withColumn("fail_rate", F.round("fail_rate", 6))
+
+
+@query("select 'job' as kind, id, url, status, coalesce(start_time, end_time, '') as sort_key from jobs where batch_id is null union all select 'batch', id, name, status, coalesce(start_time, created_at, '') from batches")
+def job_history(spark, path):
+    return J.history(_t(spark, path, "jobs"), _t(spark, path, "batches"))
+
+
+@query("select id, status from jobs where lower(status) = 'running' union all select id, status from jobs where id not in (select id from jobs where lower(status) = 'running')")
+def list_jobs_union(spark, path):
+    j = _t(spark, path, "jobs").select("id", "status")
+    return J.list_union(j.where("lower(status) = 'running'"), j)
+
+
+@query("""with k as (select id, generate_subscripts(child_job_ids, 1) as idx, unnest(child_job_ids) as child from batches), r as (select k.*, j.status as st, j.error as er from k left join jobs j on k.child = j.id)
+select b.id, count(r.child) as children, count(*) filter (where lower(st) in ('completed', 'failed', 'cancelled')) as done, count(*) filter (where lower(st) = 'failed') as failed,
+case when count(*) filter (where lower(st) = 'failed') > 0 then count(*) filter (where lower(st) = 'failed') || case when count(*) filter (where lower(st) = 'failed') = 1 then E' child failure:\\n' else E' child failures:\\n' end || string_agg(coalesce(er, 'unknown error'), E'\\n' order by idx) filter (where lower(st) = 'failed') end as error from batches b left join r on b.id = r.id group by b.id""")
+def batch_rollup(spark, path):
+    return J.batch_rollup(_t(spark, path, "batches"), _t(spark, path, "jobs"))
+
+
+@query(f"with u as (select id, {_trim('unnest(urls)')} as u from batches) select b.id, count(u.u) as urls, count(*) filter (where u.u is not null and not {_valid('u.u')}) as invalid, count(u.u) - count(distinct u.u) as duplicates, count(u.u) > 500 as over_limit from batches b left join u on b.id = u.id group by b.id")
+def batch_url_stats(spark, path):
+    return J.batch_urls(_t(spark, path, "batches"))
+
+
+@query(f"with u as (select id, generate_subscripts(urls, 1) as at_pos, {_trim('unnest(urls)')} as url from batches), f as (select id, url, min(at_pos) as at_pos from u where {_valid('url')} group by id, url), r as (select id, url, row_number() over (partition by id order by at_pos) as pos from f) select id, pos::int as pos, url from r where pos <= 500")
+def batch_sanitize(spark, path):
+    return J.sanitize_batch(_t(spark, path, "batches"))
+
+
+@query(f"select id, {_trim('name')} as name, url, created_at from templates")
+def templates_listed(spark, path):
+    return J.templates_listed(_t(spark, path, "templates"))
+
+
+@query("select id, end_time, coalesce(len(results), 0)::bigint as pages from jobs where end_time is not null order by end_time desc, id limit 5")
+def recent_jobs(spark, path):
+    n = F.greatest(F.size(F.coalesce("results", F.array())), F.lit(0)).cast("bigint")
+    return _t(spark, path, "jobs").where("end_time is not null").select("id", "end_time", n.alias("pages")).orderBy(F.desc("end_time"), "id").limit(5)
+
+
+@query("select id, array_to_string(case when url is null then coalesce(bookmarks, []) when list_contains(coalesce(bookmarks, []), url) then list_filter(bookmarks, lambda x: x <> url) else list_append(coalesce(bookmarks, []), url) end, '|') as bookmarks from jobs")
+def bookmark_toggle(spark, path):
+    return _t(spark, path, "jobs").select("id", F.array_join(J.toggle(F.col("bookmarks"), F.col("url")), "|").alias("bookmarks"))
+
+
+@query("select id, (coalesce(cardinality(annotations), 0) + case when url is null or map_contains(annotations, url) then 0 else 1 end)::bigint as notes, 'kept' as note from jobs where url is not null")
+def annotation_apply(spark, path):
+    j = _t(spark, path, "jobs").where("url is not null").select("id", "url", J.annotate(F.col("annotations"), F.col("url"), F.lit("  kept ")).alias("m"))
+    return j.select("id", F.size("m").cast("bigint").alias("notes"), F.col("m")[F.col("url")].alias("note"))
+
+
+@query("select id, round(coalesce(least(100.0, progress.pages_crawled * 100.0 / nullif(progress.page_limit, 0)), 0.0), 6)::double as percent from jobs")
+def job_progress(spark, path):
+    return _t(spark, path, "jobs").select("id", F.round(J.progress(F.col("progress.pages_crawled"), F.col("progress.page_limit")), 6).alias("percent"))
+
+
+# --- events
+
+_ONCE = "with d as (select distinct on (event_id) * from crawl_events order by event_id) "
+
+
+def _events(spark, path):
+    return E.once(_t(spark, path, "crawl_events"))
+
+
+@query(_ONCE + "select event_type, count(*) as events, count(distinct job_id) as jobs from d group by event_type")
+def event_types(spark, path):
+    return _events(spark, path).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("job_id").alias("jobs"))
+
+
+@query(_ONCE + ", l as (select job_id, status, row_number() over (partition by job_id order by ts desc nulls last, event_id desc) as r from d where status is not null and job_id is not null and ts is not null) select job_id, status from l where r = 1 and lower(status) not in ('completed', 'failed', 'cancelled')")
+def event_fold_active(spark, path):
+    return E.active(_events(spark, path).where("ts is not null")).select("job_id", "status")
+
+
+@query(_ONCE + "select event_id, event_type from d order by ts desc nulls last, event_id desc limit 500")
+def event_last500(spark, path):
+    return E.last_events(_events(spark, path)).select("event_id", "event_type")
+
+
+@query(_ONCE + "select epoch(time_bucket(interval '1 hour', ts::timestamp))::bigint as start_s, event_type, count(*) as events from d where ts is not null group by 1, 2")
+def event_tumbling(spark, path):
+    return E.tumbling(_events(spark, path)).select(F.unix_timestamp("start").alias("start_s"), "event_type", "events")
+
+
+@query(_ONCE + ", s as (select event_type, unnest([0, 1800]) as back, epoch(time_bucket(interval '30 minutes', ts::timestamp))::bigint as b from d where ts is not null) select b - back as start_s, event_type, count(*) as events from s group by 1, 2")
+def event_sliding(spark, path):
+    return E.sliding(_events(spark, path)).select(F.unix_timestamp("start").alias("start_s"), "event_type", "events")
+
+
+@query(_ONCE + ", g as (select job_id, ts, case when ts - lag(ts) over (partition by job_id order by ts) < interval '30 minutes' then 0 else 1 end as new from d where job_id is not null and ts is not null), h as (select *, sum(new) over (partition by job_id order by ts rows unbounded preceding) as grp from g) select job_id, min(epoch_us(ts::timestamp))::bigint as start_us, count(*) as events from h group by job_id, grp")
+def event_sessions(spark, path):
+    return E.sessions(_events(spark, path)).select("job_id", F.unix_micros("start").alias("start_us"), "events")
+
+
+@query(_ONCE + "select event_id, coalesce(lower(level), case when lower(coalesce(status, '')) = 'failed' then 'error' else 'info' end) as level, coalesce(message, concat_ws(' ', event_type, status, page.url)) as line from d")
+def event_log(spark, path):
+    return J.log_lines(_events(spark, path))
+
+
+# --- sitemaps
+
+
+@query("select sitemap_url, count(*) as entries, count(distinct url) as urls, count(*) filter (where lastmod is null) as without_lastmod, count(*) filter (where not coalesce(priority between 0 and 1, true)) as odd_priority, count(*) >= 1000 as many from sitemap_entries group by sitemap_url")
+def sitemap_totals(spark, path):
+    return X.totals(_t(spark, path, "sitemap_entries"))
+
+
+@query(f"select sitemap_url, url, lastmod from sitemap_entries where contains(lower(url), 'guide') and starts_with({_path('url')}, '/')")
+def sitemap_pick(spark, path):
+    return X.pick(_t(spark, path, "sitemap_entries"), "guide", "/").select("sitemap_url", "url", "lastmod")
+
+
+def _bodies(spark, path):
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    e = _t(spark, path, "sitemap_entries").where("url is not null and sitemap_url is not null")
+    item = F.concat(F.lit("<url><loc>"), esc(F.col("url")), F.lit("</loc></url>"))
+    return e.groupBy("sitemap_url").agg(F.array_join(F.collect_list(item), "").alias("b")).select(F.col("sitemap_url").alias("url"), F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "b", F.lit("</urlset>")).cast("binary").alias("body"))
+
+
+@query(f"select sitemap_url as url, 'urlset' as kind, count(*) filter (where {_trim('url')} <> '')::bigint as entries, null::varchar as error from sitemap_entries where url is not null and sitemap_url is not null group by 1")
+def sitemap_parse(spark, path):
+    p = _bodies(spark, path).select("url", X.parse("url", "body").alias("p"))
+    return p.select("url", "p.kind", F.size("p.entries").cast("bigint").alias("entries"), "p.error")
+
+
+# --- sources
+
+
+@query()
+def fetch_retry(spark, path):
+    p = _t(spark, path, "page_results").select("page_id", F.col("content").alias("html"), F.lit(None).cast("string").alias("rendered"), "status")
+    return readers.fetched(p).select("page_id", F.length("body").alias("chars"), "retry")
