@@ -402,9 +402,9 @@ def export_json(spark, path):
 
 @query(f"""with u as (select page_id as seq, case when {_host('url')} is not null then list_prepend({_host('url')}, list_filter(string_split({_path('url')}, '/'), lambda s: s <> '')) else [url] end as parts from page_results where url is not null),
 n as (select seq, parts, unnest(range(1, len(parts) + 1)) as depth from u)
-select array_to_string(parts[1:depth], '/') as path, case when depth > 1 then array_to_string(parts[1:depth - 1], '/') end as parent, parts[depth] as name, depth::int as depth, count(*) as pages, max(case when len(parts) = depth then seq end) as page from n group by 1, 2, 3, 4""")
+select array_to_string(parts[1:depth], '/') as path, case when depth > 1 then array_to_string(parts[1:depth - 1], '/') end as parent, parts[depth] as name, depth::int as depth, count(*) as pages, coalesce(max(case when len(parts) = depth then seq end), -1) as page from n group by 1, 2, 3, 4""")
 def site_tree(spark, path):
-    return J.site_tree(_t(spark, path, "page_results"))
+    return J.site_tree(_t(spark, path, "page_results")).withColumn("page", F.coalesce("page", F.lit(-1).cast("bigint")))
 
 
 # --- jobs and batches
