@@ -25,12 +25,17 @@ from .kernel import ALNUM, Block, mix, spans_hash
 SIMILARITY, MIN_WORDS, SHINGLE = 0.6, 60, 3
 BLOCKS, WIDTH = 64, 3
 #: A sequence on more than this share of a partition's pages is common; it is left out if half of the page's sequences remain.
-COMMON = 0.004
+COMMON = 0.001
 #: Least share of agreeing symbols that goes on to the exact check; pairs at the threshold lie about 0.17 (5 deviations) above it.
 AGREE = 0.3
+#: Least agreement of the sketches (one bit of each symbol), tested in the join itself: a pair at the threshold lies 3 deviations above it.
+SKETCH_AGREE = 0.63
 #: Copies of one text that are all paired with each other; a larger class is linked through its first page.
 COPIES = 1000
+#: Texts to be checked exactly whose ids are broadcast (32 MB at most); more are joined by a shuffle.
+MAP_SIDE = 2_000_000
 _K = BLOCKS * WIDTH
+_SKETCH = [f"s{j}" for j in range(_K // 64)]
 
 
 def body_words(pages: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
@@ -140,22 +145,29 @@ def _fingerprints(batch: pa.RecordBatch, common: np.ndarray) -> tuple[np.ndarray
 
 def _fingerprint_table(words: DataFrame, common: np.ndarray, kind: str) -> DataFrame:
     def run(batches):
+        seen: set[int] = set()  # texts whose blocks this partition has given already
         for batch in batches:
             for i in range(0, batch.num_rows, 300):
                 part = batch.slice(i, 300)
                 whole, sym = _fingerprints(part, common)
                 n = len(whole)
+                new = []
+                for x in whole.tolist():
+                    new.append(x not in seen)
+                    seen.add(x)
+                new = np.array(new)
                 key = np.zeros((n, BLOCKS), np.uint64)
                 for j in range(BLOCKS):
                     for k in range(WIDTH):
                         key[:, j] = mix(key[:, j] * np.uint64(31) + sym[:, j * WIDTH + k].astype(np.uint64) + np.uint64(j + 1))
                 low = (sym >> np.uint32(9)).astype(np.uint8)
+                sketch = np.packbits((sym >> np.uint32(20)).astype(np.uint8) & 1, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), pa.array(whole.view(np.int64)), pa.array([x.tobytes() for x in low], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, n * BLOCKS + 1, BLOCKS, dtype=np.int32)), pa.array(key.ravel().view(np.int64)))],
-                    names=["_id", "class", "fp", "blocks"],
+                    [part.column("_id"), pa.array(whole.view(np.int64)), pa.array([x.tobytes() for x in low], pa.binary()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(new * BLOCKS)]).astype(np.int32)), pa.array(key[new].ravel().view(np.int64))), *(pa.array(sketch[:, j]) for j in range(_K // 64))],
+                    names=["_id", "class", "fp", "blocks", *_SKETCH],
                 )
 
-    return words.mapInArrow(run, f"_id {kind}, class bigint, fp binary, blocks array<bigint>")
+    return words.mapInArrow(run, f"_id {kind}, class bigint, fp binary, blocks array<bigint>, " + ", ".join(f"{c} bigint" for c in _SKETCH))
 
 
 def _agreeing(batches):
@@ -175,16 +187,19 @@ def class_pairs(pages: DataFrame, key: str = "page_id", text: str = "content", s
     common = common_sequences(words)
     prints = written(_fingerprint_table(words, common, kind))
     members = prints.select("_id", "class")
-    # one row for each text and block; copies fall together before the shuffle
-    rows = prints.select("class", F.explode("blocks").alias("block")).groupBy("block", "class").agg(F.lit(1).alias("_one"))
-    a, b = rows.select("block", F.col("class").alias("a")), rows.select("block", F.col("class").alias("b"))
-    cand = a.join(b, "block").where("a < b").select("a", "b").distinct()
+    # one row for each text and block: copies fall together in their partition and after the one shuffle by block, which both sides of the join share
+    rows = prints.select("class", *_SKETCH, F.explode("blocks").alias("block")).repartition("block").dropDuplicates(["block", "class"])
+    a, b = (rows.select("block", F.col("class").alias(x), *(F.col(c).alias(c + x) for c in _SKETCH)) for x in "ab")
+    apart = sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in _SKETCH), F.lit(0))
+    cand = written(a.join(b, "block").where((F.col("a") < F.col("b")) & (apart <= int((1 - SKETCH_AGREE) * _K))).select("a", "b").distinct())
     fp = prints.groupBy("class").agg(F.first("fp").alias("fp"), F.min("_id").alias("rep"))
     near = cand.join(fp.select(F.col("class").alias("a"), F.col("fp").alias("fp_a")), "a").join(fp.select(F.col("class").alias("b"), F.col("fp").alias("fp_b")), "b")
     near = written(near.select("a", "b", "fp_a", "fp_b").mapInArrow(_agreeing, "a bigint, b bigint"))
     used = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
     reps = used.join(fp.select("class", F.col("rep").alias("_id")), "class")
-    texts = written(words.join(reps, "_id").select("class", "words"))
+    reps = written(reps)
+    small = reps.limit(MAP_SIDE + 1).count() <= MAP_SIDE  # the texts stay where they are while the list of those needed is small
+    texts = written(words.join(F.broadcast(reps) if small else reps, "_id").select("class", "words"))
 
     def exact(batches):
         for batch in batches:
