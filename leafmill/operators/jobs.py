@@ -21,7 +21,8 @@ def list_union(active: DataFrame, stored: DataFrame, key: str = "id") -> DataFra
 def seconds_between(start: Column, end: Column) -> Column:
     """Whole seconds between two RFC-3339 strings, at least 1; null if one can't be read."""
     a, z = F.try_to_timestamp(start), F.try_to_timestamp(end)
-    return F.greatest(F.unix_timestamp(z) - F.unix_timestamp(a), F.lit(1))
+    gap = F.unix_timestamp(z) - F.unix_timestamp(a)
+    return F.when(gap.isNotNull(), F.greatest(gap, F.lit(1)))
 
 
 def velocity(status: Column, pages: Column, start: Column, end: Column, now: Column) -> Column:

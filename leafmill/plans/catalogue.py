@@ -410,7 +410,8 @@ def site_tree(spark, path):
 # --- jobs and batches
 
 _TS = "try_cast(replace({c}, 'Z', '+00:00') as timestamptz)"
-_SECS = f"greatest(date_diff('second', date_trunc('second', {_TS.format(c='start_time')}), date_trunc('second', {_TS.format(c='stop')})), 1)"
+_GAP = f"date_diff('second', date_trunc('second', {_TS.format(c='start_time')}), date_trunc('second', {_TS.format(c='stop')}))"
+_SECS = f"(case when {_GAP} is not null then greatest({_GAP}, 1) end)"
 _VEL = f"with v as (select *, case when lower(status) = 'running' then '{NOW}' else end_time end as stop, coalesce(len(results), 0)::bigint as pages from jobs), w as (select *, coalesce(case when pages > 0 then pages * 60.0 / {_SECS} end, 0.0)::double as speed from v) "
 
 
