@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: reading, checkpoints, Arrow batches and the site of a url."""
+"""What the operators of this subpackage share: reading, written tables, Arrow batches and the site of a url."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.shared import written  # noqa: F401 - used by the operators of this subpackage
 from .kernel import blocks
 
 
@@ -18,26 +17,6 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
-def _folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of this machine only where the session names none."""
-    sc = spark.sparkContext
-    named = sc._jsc.sc().getCheckpointDir()
-    if not named.isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="leafmill-"))
-        named = sc._jsc.sc().getCheckpointDir()
-    return named.get()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder: its lineage is cut, its size is that of compressed columns, and a lost executor loses nothing.  The table goes when the session ends."""
-    spark = df.sparkSession
-    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def site(url: Column) -> Column:
     """Host of an absolute url, lower-cased, without user, port and leading ``www.``; null for null and relative urls."""
     host = F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@\s]*@)?([^/?#:\s]+)", 1))

@@ -55,11 +55,11 @@ SIDE = {
     "ja": ["このページの内容", "関連ガイド", "この章の内容", "人気の記事"],
 }
 PROMPTS = {
-    "en": ["Subscribe to our newsletter and never miss a S release.", "Get product news once a month. Enter your e-mail address to join N readers.", "Share this article with your team: Copy link | Mail | Chat", "Share on your favourite network or send it to a colleague", "Enjoyed this page? Pass it on and tag S.", "N people shared this guide", "Was this page helpful?  Yes  No", "Did this answer your question? Send feedback to S", "Rate this article: 1 2 3 4 5", "Still stuck? Contact S support or open a ticket.", "Join the S community forum to discuss this topic", "Advertisement: try S Cloud free for N days", "Sponsored – host your docs with S and save N percent", "Follow S on the usual networks", "Sign up for our weekly digest", "Leave a comment", "Start your free trial of S today"],
+    "en": ["Subscribe to our newsletter and never miss a S release.", "Get product news once a month. Enter your e-mail address to join N readers.", "Share this article with your team: Copy link | Mail | Chat", "Share on your favourite network or send it to a colleague", "Enjoyed this page? Pass it on and tag S.", "N people shared this guide", "N readers found this guide useful", "N colleagues liked this page", "N people shared this article", "Was this page helpful?  Yes  No", "Did this answer your question? Send feedback to S", "Rate this article: 1 2 3 4 5", "Still stuck? Contact S support or open a ticket.", "Join the S community forum to discuss this topic", "Advertisement: try S Cloud free for N days", "Sponsored – host your docs with S and save N percent", "Follow S on the usual networks", "Sign up for our weekly digest", "Leave a comment", "Start your free trial of S today"],
     "de": ["Newsletter abonnieren und keine Neuigkeit von S verpassen", "Diesen Beitrag teilen: Mail | Chat | Link", "Gefällt Ihnen die Seite? Empfehlen Sie S weiter.", "War diese Seite hilfreich?  Ja  Nein", "Fragen? Schreiben Sie dem Support von S.", "Anzeige: S Cloud N Tage kostenlos testen"],
-    "fr": ["Abonnez-vous à la lettre d'information de S", "Partager cet article : courriel | lien", "Vous aimez cette page ? Parlez de S autour de vous.", "Cette page vous a-t-elle été utile ?  Oui  Non", "Une question ? Écrivez à l'assistance S.", "Publicité : essayez S Cloud pendant N jours"],
-    "es": ["Suscríbase al boletín de S", "Comparta este artículo: correo | enlace", "¿Le gusta esta página? Hable de S a su equipo.", "¿Le ha servido esta página?  Sí  No", "¿Dudas? Escriba al soporte de S.", "Publicidad: pruebe S Cloud durante N días"],
-    "pt": ["Assine o boletim da S", "Compartilhe este artigo: e-mail | link", "Gostou da página? Conte para sua equipe sobre a S.", "Esta página foi útil?  Sim  Não", "Dúvidas? Fale com o suporte da S.", "Publicidade: teste a S Cloud por N dias"],
+    "fr": ["Abonnez-vous à la lettre d'information de S", "Recevez la lettre de S par courriel", "Partager cet article : courriel | lien", "Vous aimez cette page ? Parlez de S autour de vous.", "Cette page vous a-t-elle été utile ?  Oui  Non", "Une question ? Écrivez à l'assistance S.", "Publicité : essayez S Cloud pendant N jours"],
+    "es": ["Suscríbase al boletín de S", "Reciba el boletín de S por correo", "Comparta este artículo: correo | enlace", "¿Le gusta esta página? Hable de S a su equipo.", "¿Le ha servido esta página?  Sí  No", "¿Dudas? Escriba al soporte de S.", "Publicidad: pruebe S Cloud durante N días"],
+    "pt": ["Assine o boletim da S", "Assine a lista da S", "Receba o boletim da S por e-mail", "Compartilhe este artigo: e-mail | link", "Gostou da página? Conte para sua equipe sobre a S.", "Esta página foi útil?  Sim  Não", "Dúvidas? Fale com o suporte da S.", "Publicidade: teste a S Cloud por N dias"],
     "ja": ["Sのお知らせメールに登録して最新情報を受け取る", "このページを同僚と共有して感想をお聞かせください", "このページは役に立ちましたか  はい  いいえ", "広告：S CloudをN日間無料でお試しください", "ご質問はSの窓口までお寄せください"],
 }
 BYLINE = {

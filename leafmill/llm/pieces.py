@@ -21,7 +21,7 @@ _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 _ATX = re.compile(r"^ {0,3}#{1,6}(?:[ \t\xa0]+\S|$)")
 _HTML = re.compile(r"^\s*<h([1-6])(?:\s[^>]*)?>.*\S.*", re.I)
 _BOLD = re.compile(r"^\s*(\*\*|__)(?=\S)(?:(?!\1).)+\1\s*:?\s*$")
-_NUMBER = re.compile(r"^\s*(?:[0-9]{1,2}\.)*[0-9]{1,2}\.?[ \t\xa0]+[^\W\d_]")
+_NUMBER = re.compile(r"^\s*[0-9]{1,2}(?:\.[0-9]{1,2})+\.?[ \t\xa0]+[^\W\d_]")
 _RULE = re.compile(r"^ {0,3}(=+|-{2,})\s*$")
 _LIST = re.compile(r"^\s*(?:[-*+•]|[0-9]{1,3}[.)])\s")
 _SENTENCE = re.compile(r"[.!?。！？…][\"')\]»”]*(?:\s+|(?<=[。！？]))")
@@ -55,8 +55,8 @@ def title_lines(text: str) -> list[int]:
     """0-based indices of the lines that open a section; the first line always does.
 
     Title marks: leading number signs, heading tags, a rule of = or - under the
-    words, a line that is bold as a whole, and numbered or capital titles that
-    stand alone between blank lines.
+    words, a line that is bold as a whole, and titles with a section
+    number (1.2) that stand alone between blank lines.
     """
     lines = text.split("\n")
     code = code_lines(lines)
@@ -75,7 +75,7 @@ def title_lines(text: str) -> list[int]:
         elif _BOLD.match(line) and alone_before and len(s) <= 200:
             out.append(i)
         elif alone_before and alone_after and len(s) <= 120 and not s.endswith(_ENDS):
-            if _NUMBER.match(s) and not re.match(r"^[0-9]{1,3}[.)]?\s+people\b", s):
+            if _NUMBER.match(s):
                 out.append(i)
     return out
 
