@@ -15,6 +15,7 @@ from ..operators import jobs as J
 from ..operators import links as L
 from ..operators import markdown as M
 from ..operators import pagetext as P
+from ..operators import pipeline as W
 from ..operators import search as S
 from ..operators import sitemap as X
 from ..sources import readers, sinks
@@ -557,3 +558,14 @@ def sitemap_parse(spark, path):
 def fetch_retry(spark, path):
     p = _t(spark, path, "page_results").select("page_id", F.col("content").alias("html"), F.lit(None).cast("string").alias("rendered"), "status")
     return readers.fetched(p).select("page_id", F.length("body").alias("chars"), "retry")
+
+
+@query()
+def convert_pages(spark, path):
+    p = _t(spark, path, "page_results").select("page_id", "url", F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><main>"), html.to_html_udf("content"), F.lit("</main></body></html>")).alias("html"))
+    return W.convert(p).select("page_id", "host", "path", "title", "links", F.md5("markdown").alias("digest"))
+
+
+@query(_ONCE + "select event_id, event_type, status from d where lower(status) in ('completed', 'failed', 'cancelled')")
+def event_terminal(spark, path):
+    return _events(spark, path).where(safety.is_terminal(F.col("status"))).select("event_id", "event_type", "status")

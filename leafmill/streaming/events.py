@@ -90,3 +90,14 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 def to_json(events: DataFrame) -> DataFrame:
     """(event_id, json): events as they go out, nulls left out."""
     return events.select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.col("job_id").alias("jobId"), F.col("batch_id").alias("batchId"), "status", "level", "message", "kind", F.col("current_index").alias("currentIndex"), "total", F.col("current_job_id").alias("currentJobId"))).alias("json"))
+
+
+def auto_export(events: DataFrame, export: Callable[[str], None], checkpoint: str):
+    """Start a query that exports each job when it completes for the first time (job ids of a micro-batch come to the driver, exports run there)."""
+    done = events.where("lower(status) = 'completed' and job_id is not null").select("job_id", "event_id").dropDuplicates(["job_id"])
+
+    def each(df: DataFrame, _: int) -> None:
+        for r in df.select("job_id").toLocalIterator():
+            export(r["job_id"])
+
+    return done.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
