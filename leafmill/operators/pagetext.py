@@ -7,6 +7,8 @@ frequent signatures come back by a join, so no book is ever held in one place.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,11 +117,15 @@ def collapse(text):
     return ws_trim(F.regexp_replace(F.regexp_replace(text, r"(?m)^[ \t\r]+$", ""), r"\n{3,}", "\n\n"))
 
 
-def clean_pages(pages: DataFrame, headers_footers: bool = True, page_numbers: bool = True, footnotes: bool = True, boilerplate: bool = True) -> DataFrame:
-    """(book, page_no, text): all steps in order; empty pages go and the rest are numbered anew.  Null texts count as empty pages."""
-    sizes, ls = book_sizes(pages), to_lines(pages)
+def clean_pages(pages: DataFrame, headers_footers: bool = True, page_numbers: bool = True, footnotes: bool = True, boilerplate: bool = True, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(book, page_no, text): all steps in order; empty pages go and the rest are numbered anew.  Null texts count as empty pages.
+
+    ``cut`` may write the lines to the shared folder where two branches of the
+    plan read them, so that they are computed once.
+    """
+    sizes, ls = book_sizes(pages), cut(to_lines(pages))
     if headers_footers:
-        ls = remove_headers_footers(ls, sizes)
+        ls = cut(remove_headers_footers(ls, sizes))
     if page_numbers:
         ls = remove_page_numbers(ls, sizes)
     if footnotes:

@@ -377,7 +377,7 @@ def clean_footnotes(spark, path):
 
 @query()
 def clean_full(spark, path):
-    return P.clean_pages(_book(spark, path)).select("book", "page_no", F.md5("text").alias("digest"))
+    return P.clean_pages(_book(spark, path), cut=written).select("book", "page_no", F.md5("text").alias("digest"))
 
 
 @query(_BOOK + "b as (select book, string_agg(case when n > 1 then '## Page ' || (page_no + 1) || E'\\n\\n' || text else text end, E'\\n\\n' order by page_no) as body from (select *, count(*) over (partition by book) as n from pages) group by book) select book, md5('# ' || book || E'\\n\\n' || body) as digest from b")
