@@ -5,7 +5,8 @@ every document how much of it belongs to each target source (its label enters
 as the prior).  Documents fall into strata by label, predicted source and
 membership; their expected tokens per source are summed over all documents,
 and projected-gradient least squares fits the rate of each stratum between 0
-and the source's cap.  Rates become whole numbers of copies by a hash of the
+and the source's cap so that the expected tokens per source come closest to
+the targets, among the rates that meet the targets by label.  Rates become whole numbers of copies by a hash of the
 document, with one threshold per source taken from a token histogram, so the
 token shares by label meet their targets.
 """
@@ -46,14 +47,28 @@ def _classifier(texts: list[str], label: np.ndarray, k: int) -> np.ndarray:
     return (lp - lp.mean(0)).astype(np.float32)
 
 
-def _descend(expect: np.ndarray, cap: np.ndarray, target: np.ndarray, start: np.ndarray, rounds: int = 3000) -> np.ndarray:
-    """Rates in [0, cap] minimising the squared relative misses of the totals expect.T @ rate by projected gradient."""
-    a = expect / np.maximum(target, 1e-9)
+def _keep_labels(r: np.ndarray, tok: np.ndarray, lab: np.ndarray, cap: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """The rates in [0, cap] closest to ``r`` (squares weighted by tokens) of which each label's tokens come to its goal: one shift for each label, by bisection."""
+    k = len(goal)
+    low, high = np.full(k, np.inf), np.full(k, -np.inf)
+    np.minimum.at(low, lab, r - cap)
+    np.maximum.at(high, lab, r)
+    for _ in range(60):
+        shift = (low + high) / 2
+        over = np.bincount(lab, tok * np.clip(r - shift[lab], 0.0, cap), k) > goal
+        low, high = np.where(over, shift, low), np.where(over, high, shift)
+    return np.clip(r - high[lab], 0.0, cap)
+
+
+def _descend(expect: np.ndarray, tok: np.ndarray, lab: np.ndarray, cap: np.ndarray, goal: np.ndarray, rounds: int = 3000) -> np.ndarray:
+    """Rates in [0, cap] minimising the squared relative misses of the expected totals expect.T @ rate against ``goal``, while the tokens of each label come to its goal, by projected gradient from equal rates within each label."""
+    a = (expect[:, goal > 0] / goal[goal > 0]) / np.sqrt(tok)[:, None]  # in rates times sqrt(tokens), so that the projection is the weighted one
     step = 1.0 / max(np.linalg.norm(a, 2) ** 2, 1e-12)
-    r = start.copy()
+    root = np.sqrt(tok)
+    r = (goal / np.maximum(np.bincount(lab, tok, len(goal)), 1))[lab]
     for _ in range(rounds):
-        new = np.clip(r - step * (a @ (a.T @ r - 1.0)), 0.0, cap)
-        if np.abs(new - r).max() < 1e-10:
+        new = _keep_labels(r - step * (a @ (a.T @ (r * root) - 1.0)) / root, tok, lab, cap, goal)
+        if np.abs(new - r).max() < 1e-9:
             return new
         r = new
     return r
@@ -118,34 +133,27 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "t
     share = share / share.sum()
     total = min(cap[i] * have[i] / share[i] for i in range(k) if share[i] > 0)
     goal = share * total
-    start = (goal / np.maximum(have, 1))[lab]
-    # what the memberships expect of a mix that meets the targets by label
-    aim = expect.T @ start
-    fit = _descend(expect[:, aim > 0], cap[lab], aim[aim > 0], start)
-    for _ in range(60):  # scale to the labelled totals, within the caps
-        now = np.bincount(lab, tok * fit, k)
-        fit = np.clip(fit * (goal / np.maximum(now, 1e-9))[lab], 0, cap[lab])
+    fit = _descend(expect, tok, lab, cap[lab], goal)
     fit = np.where(np.abs(fit - np.round(fit)) < 1e-6, np.round(fit), fit)
     rates = spark.createDataFrame([(int(r["_label"]), int(r["_like"]), int(r["_band"]), float(x)) for r, x in zip(strata, fit)], "_label int, _like int, _band int, _rate double")
     base = F.floor("_rate")
     put = scored.join(F.broadcast(rates), ["_label", "_like", "_band"]).select("_id", "_label", "n", base.cast("int").alias("_base"), (F.col("_u") - (F.col("_rate") - base)).alias("_v"))
     put = put.withColumn("_bin", F.floor((F.col("_v") + 1) / 2 * _BINS).cast("int"))
     # one threshold per source, from a histogram of at most _BINS steps
-    hist = put.groupBy("_label", "_bin").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("_base")).alias("whole"), F.max("_base").alias("top")).collect()
+    caps = F.element_at(F.array(*[F.lit(int(c)) for c in cap]), F.col("_label") + 1)
+    hist = put.groupBy("_label", "_bin").agg(F.sum(F.when(F.col("_base") < caps, F.col("n")).otherwise(0)).alias("n"), F.sum(F.col("n") * F.col("_base")).alias("whole")).collect()
     cuts = []
     for i in range(k):
-        mine = sorted((r["_bin"], r["n"], r["whole"], r["top"]) for r in hist if r["_label"] == i)
-        missing = goal[i] - sum(w for _, _, w, _ in mine)
+        mine = sorted((r["_bin"], r["n"], r["whole"]) for r in hist if r["_label"] == i)
+        missing = goal[i] - sum(w for _, _, w in mine)
         best, cut, run = abs(missing), -1, 0.0
-        for b, n, _, top in mine:
-            if top >= cap[i]:
-                break
+        for b, n, _ in mine:
             run += n
             if abs(missing - run) < best:
                 best, cut = abs(missing - run), b
         cuts.append((i, names[i], cut))
     cut = spark.createDataFrame(cuts, "_label int, source string, _cut int")
-    copies = (F.col("_base") + (F.col("_bin") <= F.col("_cut")).cast("int")).cast("int")
+    copies = F.least(F.col("_base") + (F.col("_bin") <= F.col("_cut")).cast("int"), caps).cast("int")
     return put.join(F.broadcast(cut), "_label").select(F.col("_id").alias(key), "source", F.col("n").alias("n_tokens"), copies.alias("copies")).where("copies > 0")
 
 

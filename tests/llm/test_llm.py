@@ -207,6 +207,40 @@ def test_mix_reaches_its_shares(spark):
     assert mixing.mix(df.limit(0), t).count() == 0 and mixing.mix(df, t.limit(0)).count() == 0
 
 
+def test_rates_follow_memberships():
+    r = np.random.default_rng(8)
+    k, lab = 5, np.repeat(np.arange(5), 8)
+    tok = r.uniform(1e5, 3e6, 40)
+    expect = (0.6 * np.eye(k)[lab] + 0.4 * r.dirichlet(np.full(k, 0.3), 40)) * tok[:, None]
+    have, cap = np.bincount(lab, tok, k), np.array([1, 2, 3, 1, 2.0])
+    share = np.array([0.3, 0.25, 0.2, 0.15, 0.1])
+    goal = share * (cap * have / share).min()
+    fit = mixing._descend(expect, tok, lab, cap[lab], goal)
+    miss = lambda x: (((expect.T @ x) / goal - 1) ** 2).sum()
+    assert (fit >= 0).all() and (fit <= cap[lab]).all() and np.allclose(np.bincount(lab, tok * fit, k), goal, rtol=1e-6)
+    assert max(np.ptp(fit[lab == i]) for i in range(k)) > 0.1 and miss(fit) < 0.5 * miss((goal / have)[lab])
+    for _ in range(300):  # no other rates that keep the labels' tokens come closer
+        other = mixing._keep_labels(fit + r.normal(size=40) * r.choice([0.01, 0.1, 1.0]), tok, lab, cap[lab], goal)
+        assert miss(other) > miss(fit) - 1e-6
+
+
+@pytest.mark.skipif(not os.path.exists(VOCAB), reason="needs the vocabulary files")
+def test_mix_takes_less_of_what_reads_like_an_overfull_source(spark):
+    def words(letter, i):
+        g = np.random.default_rng(i)
+        return " ".join(f"{letter}{x}" for x in g.integers(60, size=50))
+
+    # a third of b reads like a, of which the targets then hold too much
+    rows = [(i, words("aa", i), "a") for i in range(600)] + [(1000 + i, words("aa" if i % 3 == 0 else "bb", 5000 + i), "b") for i in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    m = mixing.mix(df, t).collect()
+    used = [sum(r["copies"] * r["n_tokens"] for r in m if r["source"] == s) for s in "ab"]
+    assert abs(used[0] / sum(used) - 0.5) < 0.01 and max(r["copies"] for r in m if r["source"] == "a") == 1 and max(r["copies"] for r in m) <= 2
+    like_a, like_b = (sum(r["copies"] for r in m if r["doc_id"] >= 1000 and ((r["doc_id"] - 1000) % 3 == 0) == x) / n for x, n in ((True, 400), (False, 800)))
+    assert like_b > like_a + 0.1
+
+
 # --- problem 9
 
 
