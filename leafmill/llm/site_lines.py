@@ -1,31 +1,24 @@
 """Problem 2: lines repeated across the pages of one site.
 
 Each page gives its distinct normalised lines as 64-bit hashes.  Per site and
-line the pages are counted; a log-likelihood ratio compares the line's rate in
-the site with its rate outside and with the rate that any line has outside,
-and the Benjamini-Hochberg rule bounds the share of false discoveries among
-all lines that stand on two or more pages.  Significant lines that also meet
-the exact bounds (pages, letters) are joined back to their places.
+line the pages are counted; the lines that meet the exact bounds (pages,
+letters) are joined back to their places.  Nothing else decides: a test of
+significance would drop lines that meet the bounds where one site holds most
+of the pages.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_blocks, site, written
+from .common import by_blocks, site
 from .kernel import LETTER, SPACE, Block, mix, spans_hash, tables
 
 #: A line must stand on so many pages of its site and have so many letters.
 MIN_PAGES, MIN_LETTERS = 10, 16
-#: Bound of the false-discovery rate.
-FDR = 0.05
-#: Steps of -log10 p in the histogram from which the threshold is taken, and its last step.
-_STEP, _LAST = 0.05, 6000
 
 
 def line_keys(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -70,45 +63,14 @@ def _lines(pages: DataFrame, key: str, text: str, url: str, min_letters: int, pl
     return src.mapInArrow(by_blocks(text, work), f"`{key}` {kind}, line_no int, {out}" if places else out)
 
 
-def _llr(a, n, b, m):
-    """Signed log-likelihood ratio of the rates a/n and b/m (positive: the first is higher)."""
-
-    def part(k, t, p):
-        return F.when(k > 0, k * F.log(k / (t * p))).otherwise(0.0) + F.when(t > k, (t - k) * F.log((t - k) / (t * (1 - p)))).otherwise(0.0)
-
-    p = (a + b) / (n + m)
-    p = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
-    g = 2 * (part(a, n, p) + part(b, m, p))
-    return F.when(a / n > b / m, g).otherwise(-g)
-
-
-def repeated(pages: DataFrame, key: str = "page_id", text: str = "content", url: str = "url", min_pages: int = MIN_PAGES, min_letters: int = MIN_LETTERS, fdr: float = FDR) -> DataFrame:
-    """(_site, _line, n) of the significant excess lines of each site, as hashes, with their number of pages.
+def repeated(pages: DataFrame, key: str = "page_id", text: str = "content", url: str = "url", min_pages: int = MIN_PAGES, min_letters: int = MIN_LETTERS) -> DataFrame:
+    """(_site, _line, n) of the lines on at least ``min_pages`` pages of each site, as hashes, with their number of pages.
 
     Every row is a page (keys are unique in the table; a null key is a page as
     well).  A line counts once for its page.  Pages without a site take no part.
     """
     seen = _lines(pages, key, text, url, min_letters, False)
-    here = written(seen.groupBy("_site", "_line").agg(F.count(F.lit(1)).alias("n")))
-    total = here.groupBy("_line").agg(F.sum("n").alias("t"))
-    sizes = pages.select(F.xxhash64(site(F.col(url))).alias("_site"), site(F.col(url)).isNotNull().alias("_has")).where("_has").groupBy("_site").agg(F.count(F.lit(1)).cast("double").alias("pages"))
-    tests = written(here.where("n >= 2").join(total, "_line").join(sizes, "_site").select("_site", "_line", F.col("n").cast("double").alias("n"), F.col("t").cast("double").alias("t"), "pages"))
-    n_all = sizes.agg(F.sum("pages")).first()[0] or 0.0
-    m = F.greatest(F.lit(float(n_all)) - F.col("pages"), F.lit(1.0))
-    own = _llr(F.col("n"), F.col("pages"), F.col("t") - F.col("n"), m)
-    # the rate of any line outside: one page for each page there
-    any_line = _llr(F.col("n"), F.col("pages"), F.lit(1.0), F.greatest(m, F.lit(1000.0)))
-    g = F.greatest(own, any_line)
-    # upper tail of chi-square with one degree of freedom, in steps of -log10; its bound exp(-g/2)/sqrt(pi g/2) is used for large g
-    score = F.when(g <= 0, 0.0).otherwise((g / 2 + F.log(F.greatest(F.sqrt(g * math.pi / 2), F.lit(1.0)))) / math.log(10))
-    tests = tests.withColumn("_bin", F.least(F.floor(score / _STEP), F.lit(_LAST)).cast("int"))
-    bins = sorted(((r["_bin"], r["c"]) for r in tests.groupBy("_bin").agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)  # at most _LAST + 1 rows
-    count, cut, tested = 0, _LAST + 1, sum(c for _, c in bins)
-    for at, c in bins:
-        count += c
-        if at * _STEP >= -math.log10(fdr * count / tested):
-            cut = at
-    return tests.where((F.col("_bin") >= cut) & (F.col("n") >= min_pages)).select("_site", "_line", "n")
+    return seen.groupBy("_site", "_line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
 
 
 def found(pages: DataFrame, key: str = "page_id", text: str = "content", url: str = "url", **bounds) -> DataFrame:

@@ -82,6 +82,24 @@ def test_site_lines_against_brute_force(spark):
     assert site_lines.found(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("others", [0, 300])
+def test_lines_on_ten_pages_of_a_site_with_most_pages(spark, others):
+    # line x of the first 200 stands on pages 10 x to 10 x + 9, the next hundred on nine pages, the last hundred on two
+    on = [list(range(10 * x, 10 * x + 10)) for x in range(200)] + [list(range(9 * x, 9 * x + 9)) for x in range(100)] + [[x, 2999 - x] for x in range(100)]
+    name = lambda x: "Shared sentence " + "".join(chr(97 + int(c)) for c in f"{x:03d}") + " stands here"
+    lines = defaultdict(list)
+    for x, p in enumerate(on):
+        for q in p:
+            lines[q].append(x)
+    rows = [(i, "\n".join(name(x) for x in lines[i]) or "short", "https://one.test/p", 1) for i in range(3000)]
+    rows += [(5000 + i, "short", "https://two.test/p", 1) for i in range(others)]
+    want = sorted((q, k) for q in lines for k, x in enumerate(lines[q], 1) if x < 200)
+    df = pages(spark, rows)
+    assert len(want) == 2000 and sorted(tuple(r) for r in site_lines.found(df).collect()) == want
+    out = {r["page_id"]: r["cleaned"] for r in site_lines.without(df).collect()}
+    assert out[0] == "\n".join(name(x) for x in lines[0] if x >= 200) and len(out) == len(rows)
+
+
 # --- problem 3
 
 
