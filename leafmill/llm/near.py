@@ -1,9 +1,9 @@
 """Problem 5: pages whose main bodies are near-duplicates.
 
 Main bodies become sequences of word hashes, written once.  A fingerprint of
-``BLOCKS`` x ``WIDTH`` min-hash symbols is taken over the three-word sequences
-of a page, without those that stand on very many pages where enough others
-remain.  By the pigeonhole principle two pages whose fingerprints differ in
+``BLOCKS`` x ``WIDTH`` min-hash symbols is taken over all three-word sequences
+of a page, so that two fingerprints agree in expectation as their texts do.  By
+the pigeonhole principle two pages whose fingerprints differ in
 fewer than ``BLOCKS`` symbols agree on a whole block; beyond that a pair at the
 threshold still shares one with a probability of more than 0.999.  Texts that
 share a block are joined on it, their fingerprints are compared by Hamming
@@ -24,11 +24,9 @@ from .kernel import ALNUM, Block, mix, spans_hash
 
 SIMILARITY, MIN_WORDS, SHINGLE = 0.6, 60, 3
 BLOCKS, WIDTH = 64, 3
-#: A sequence on more than this share of a partition's pages is common; it is left out if half of the page's sequences remain.
-COMMON = 0.001
-#: Least share of agreeing symbols that goes on to the exact check; pairs at the threshold lie about 0.17 (5 deviations) above it.
+#: Least share of agreeing symbols that goes on to the exact check; pairs at the threshold lie 0.3 (8 deviations) above it.
 AGREE = 0.3
-#: Least agreement of the sketches (one bit of each symbol), tested in the join itself: a pair at the threshold lies 3 deviations above it.
+#: Least agreement of the sketches (one bit of each symbol), tested in the join itself: a pair at the threshold lies 0.17 (5.9 deviations) above it.
 SKETCH_AGREE = 0.63
 #: Copies of one text that are all paired with each other; a larger class is linked through its first page.
 COPIES = 1000
@@ -84,47 +82,10 @@ def _shingles(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return h[first], r[first], whole, row
 
 
-def common_sequences(words: DataFrame, share: float = COMMON) -> np.ndarray:
-    """Sorted hashes of the sequences on more than ``share`` of the pages.
-
-    Each partition counts its own sequences and passes on those over half the
-    share, so at most 2 / share times the mean number of sequences of a page
-    come out, whatever the number of pages; their counts are added up.
-    """
-
-    def count(batches):
-        keys, total, pages = np.empty(0, np.uint64), np.empty(0, np.int64), 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                h, *_ = _shingles(batch.slice(i, 500))
-                pages += min(500, batch.num_rows - i)
-                k, c = np.unique(h, return_counts=True)
-                keys, inv = np.unique(np.concatenate([keys, k]), return_inverse=True)
-                total = np.bincount(inv, np.concatenate([total, c]), len(keys)).astype(np.int64)
-                low = total > share / 2 * pages * 0.5  # rare ones are dropped on the way, so the table stays small
-                if len(keys) > 400_000:
-                    keys, total = keys[low], total[low]
-        ok = total > share / 2 * pages
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[ok].view(np.int64), 0)), pa.array(np.append(total[ok], 0)), pa.array(np.append(np.zeros(ok.sum(), np.int64), pages))], names=["h", "c", "pages"])
-
-    part = words.mapInArrow(count, "h bigint, c bigint, pages bigint")
-    got = written(part.groupBy("h").agg(F.sum("c").alias("c"), F.sum("pages").alias("pages")))
-    pages = got.agg(F.sum("pages")).first()[0] or 0
-    rows = got.where(F.col("c") > share * pages).select("h").collect()
-    return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
-
-
-def _fingerprints(batch: pa.RecordBatch, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _fingerprints(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(class hash of each row, symbols of each row: rows x _K)."""
     h, r, whole, _ = _shingles(batch)
     n = batch.num_rows
-    pos = np.searchsorted(common, h)
-    is_common = np.zeros(len(h), bool)
-    ok = pos < len(common)
-    is_common[ok] = common[pos[ok]] == h[ok]
-    size, rare = np.bincount(r, minlength=n), np.bincount(r, ~is_common, n)
-    keep = ~is_common | (rare < 0.5 * size)[r]
-    h, r = h[keep], r[keep]
     x = (h >> np.uint64(20)).astype(np.uint32)
     y = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     start = np.searchsorted(r, np.arange(n))
@@ -143,13 +104,13 @@ def _fingerprints(batch: pa.RecordBatch, common: np.ndarray) -> tuple[np.ndarray
     return whole, out
 
 
-def _fingerprint_table(words: DataFrame, common: np.ndarray, kind: str) -> DataFrame:
+def _fingerprint_table(words: DataFrame, kind: str) -> DataFrame:
     def run(batches):
         seen: set[int] = set()  # texts whose blocks this partition has given already
         for batch in batches:
             for i in range(0, batch.num_rows, 300):
                 part = batch.slice(i, 300)
-                whole, sym = _fingerprints(part, common)
+                whole, sym = _fingerprints(part)
                 n = len(whole)
                 new = []
                 for x in whole.tolist():
@@ -184,8 +145,7 @@ def class_pairs(pages: DataFrame, key: str = "page_id", text: str = "content", s
     """(members, pairs): members (_id, class) of every page with a long enough body; pairs (a, b, similarity) of different texts, a < b."""
     kind = pages.schema[key].dataType.simpleString()
     words = written(body_words(pages, key, text, min_words))
-    common = common_sequences(words)
-    prints = written(_fingerprint_table(words, common, kind))
+    prints = written(_fingerprint_table(words, kind))
     members = prints.select("_id", "class")
     # one row for each text and block: copies fall together in their partition and after the one shuffle by block, which both sides of the join share
     rows = prints.select("class", *_SKETCH, F.explode("blocks").alias("block")).repartition("block").dropDuplicates(["block", "class"])

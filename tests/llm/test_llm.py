@@ -170,6 +170,24 @@ def test_near_duplicates_against_brute_force(spark):
     assert near.found(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_among_pages_of_one_template(spark):
+    rows = [(10_000 + i, "# Title\n\n" + sentences(62, 90_000 + i) + ".", "u", 1) for i in range(2500)]
+    for g in range(60):  # the template stands on more than 0.1 % of the pages, most pairs lie just above the threshold
+        common, shared, own_a, own_b = (122, 61, 52, 62) if g % 2 else (102, 52, 46, 47)
+        start = sentences(common, 7 + g % 2) + " " + sentences(shared, 100 + g)
+        for k, own in enumerate((own_a - g % 5, own_b)):
+            rows.append((g * 10 + k, "# Title\n\n" + start + " " + sentences(own, 1000 + g * 10 + k) + ".", "u", 1))
+    sets = {}
+    for p, t, *_ in rows:
+        w = re.findall(r"[^\W_]+", t.lower())
+        sets[p] = {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    ids = sorted(p for p in sets if p < 10_000)
+    sim = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in ids for b in ids if a < b}
+    want = sorted(p for p, x in sim.items() if x >= 0.6)
+    assert len(want) >= 50 and sum(0.6 <= sim[p] <= 0.65 for p in want) >= 50
+    assert sorted(tuple(x) for x in near.found(pages(spark, rows)).collect()) == want
+
+
 def test_large_copy_classes_are_linked_through_one_page(spark, monkeypatch):
     monkeypatch.setattr(near, "COPIES", 3)
     t = "# Title\n\n" + sentences(100, 1) + "."
