@@ -28,8 +28,8 @@ BLOCKS, WIDTH = 64, 3
 AGREE = 0.3
 #: Least agreement of the sketches (one bit of each symbol), tested in the join itself: a pair at the threshold lies 0.17 (5.9 deviations) above it.
 SKETCH_AGREE = 0.63
-#: Copies of one text that are all paired with each other; a larger class is linked through its first page.
-COPIES = 1000
+#: Copies of one text up to which all are paired with each other, a larger class being linked through its first page; None pairs all of every class.
+COPIES: int | None = None
 #: Texts to be checked exactly whose ids are broadcast (32 MB at most); more are joined by a shuffle.
 MAP_SIDE = 2_000_000
 _K = BLOCKS * WIDTH
@@ -182,20 +182,21 @@ def class_pairs(pages: DataFrame, key: str = "page_id", text: str = "content", s
 def found(pages: DataFrame, key: str = "page_id", text: str = "content", **kw) -> DataFrame:
     """(key_a, key_b), key_a < key_b, of each pair of near-duplicate pages.
 
-    Null keys and null, blank and short bodies take no part.  All copies of a
-    text are paired while there are at most ``COPIES`` of them; a larger class
-    of exact copies is linked to its first page, through which its links to
-    other texts go.
+    Null keys and null, blank and short bodies take no part.  All pairs come
+    out, whatever the number of copies of a text, unless ``COPIES`` names a
+    bound.
     """
     members, pairs = class_pairs(pages, key, text, **kw)
     sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("rep")).where("n > 1")
     many = members.join(sizes, "class")
-    small = many.where(F.col("n") <= COPIES)
+    small = many if COPIES is None else many.where(F.col("n") <= COPIES)
     inner = small.select("class", F.col("_id").alias("x")).join(small.select("class", F.col("_id").alias("y")), "class").where("x < y").select("x", "y")
-    star = many.where((F.col("n") > COPIES) & (F.col("_id") > F.col("rep"))).select(F.col("rep").alias("x"), F.col("_id").alias("y"))
-    ends = members.join(sizes.where(F.col("n") > COPIES).select("class", "rep"), "class", "left").where("rep is null or _id = rep").select("class", "_id")
+    ends = members.select("class", "_id")
+    if COPIES is not None:
+        inner = inner.unionByName(many.where((F.col("n") > COPIES) & (F.col("_id") > F.col("rep"))).select(F.col("rep").alias("x"), F.col("_id").alias("y")))
+        ends = members.join(sizes.where(F.col("n") > COPIES).select("class", "rep"), "class", "left").where("rep is null or _id = rep").select("class", "_id")
     cross = pairs.join(ends.select(F.col("class").alias("a"), F.col("_id").alias("x")), "a").join(ends.select(F.col("class").alias("b"), F.col("_id").alias("y")), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    return inner.unionByName(star).unionByName(cross).select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b"))
+    return inner.unionByName(cross).select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b"))
 
 
 def classes(pages: DataFrame, key: str = "page_id", text: str = "content", **kw) -> DataFrame:

@@ -196,6 +196,13 @@ def test_large_copy_classes_are_linked_through_one_page(spark, monkeypatch):
     assert sorted(tuple(x) for x in near.found(df).collect()) == [(0, 1), (0, 2), (0, 3), (0, 4), (0, 9)]
 
 
+def test_all_copies_of_a_large_class_are_paired(spark):
+    t = "# Title\n\n" + sentences(100, 1) + "."
+    df = pages(spark, [(i, t, "u", 1) for i in range(1001)] + [(2000 + i, t.replace("# Title", "# Changed"), "u", 1) for i in range(2)])
+    got = near.found(df)
+    assert got.count() == got.distinct().count() == 1003 * 1002 // 2 and got.where("page_id_a >= page_id_b").count() == 0
+
+
 # --- problems 6 and 7
 
 TEXTS = ["it's 're'll we've 'x ''s  'd\n\n 'm\t\t't", "a  b \n", "  ", "\n", "", None, "'s", "x'Re 12'34's", "日本語 テスト's 👍🏽", "\x1c \x1d a", "don't" * 50, "a" * 3000, "don't", "<|endoftext|>", "🏳️‍🌈" * 20]
