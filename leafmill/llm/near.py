@@ -199,9 +199,28 @@ def found(pages: DataFrame, key: str = "page_id", text: str = "content", **kw) -
     return inner.unionByName(cross).select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b"))
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """(class, root) of every class in the pairs (a, b), root being the least class that a chain of pairs leads to.
+
+    Labels are passed along the pairs and shortened through the label's own
+    label, each round a written table, until no label changes.
+    """
+    both = written(pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("p.a", "p.b"))
+    labels = written(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("root")).select(F.col("a").alias("class"), "root"))
+    while True:
+        heard = both.join(labels.select(F.col("class").alias("b"), F.col("root").alias("_heard")), "b").groupBy(F.col("a").alias("class")).agg(F.min("_heard").alias("_heard"))
+        nearest = written(labels.join(heard, "class").select("class", "root", F.least("root", "_heard").alias("_new")))
+        if nearest.where("_new < root").limit(1).count() == 0:
+            return labels
+        labels = written(nearest.join(nearest.select(F.col("class").alias("_new"), F.col("_new").alias("_jump")), "_new").select("class", F.least("_new", "_jump").alias("root")))
+
+
 def classes(pages: DataFrame, key: str = "page_id", text: str = "content", **kw) -> DataFrame:
-    """(key, class, copies, links): one row for each page that takes part, with the first page of its text as class, the number of copies of the text and of links to other texts."""
+    """(key, class, copies, links, group): one row for each page that takes part, with the first page of its text as class, the number of copies of the text and of links to other texts, and the first page of all that a chain of near-duplicates leads to as group."""
     members, pairs = class_pairs(pages, key, text, **kw)
+    pairs = written(pairs.select("a", "b"))
     links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
-    info = members.groupBy("class").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies")).join(links, "class", "left")
-    return members.join(info, "class").select(F.col("_id").alias(key), F.col("rep").alias("class"), "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
+    info = members.groupBy("class").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies")).join(links, "class", "left").join(components(pairs), "class", "left")
+    info = written(info.withColumn("root", F.coalesce("root", "class")))
+    first = info.groupBy("root").agg(F.min("rep").alias("group"))
+    return members.join(info.join(first, "root"), "class").select(F.col("_id").alias(key), F.col("rep").alias("class"), "copies", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), "group")

@@ -203,6 +203,25 @@ def test_all_copies_of_a_large_class_are_paired(spark):
     assert got.count() == got.distinct().count() == 1003 * 1002 // 2 and got.where("page_id_a >= page_id_b").count() == 0
 
 
+def test_groups_of_near_duplicates(spark):
+    def edited(k, seed):  # 120 words of which the first k times 15 are replaced: neighbours in k are near-duplicates, others are not
+        return "# Title\n\n" + " ".join([sentences(15, seed + 50 + j) if j < k else sentences(15, seed + j) for j in range(8)]) + "."
+
+    rows = [(g * 100 + k, edited(k, 1000 * (g + 1)), "u", 1) for g in range(3) for k in range(7)] + [(900, edited(3, 1000), "v", 1), (901, "# Title\n\n" + sentences(80, 77) + ".", "u", 1)]
+    df = pages(spark, rows)
+    pair = {tuple(r) for r in near.found(df).collect()}
+    assert (0, 6) not in pair and all((g * 100 + k, g * 100 + k + 1) in pair for g in range(3) for k in range(6))
+    group = {r["page_id"]: r["group"] for r in near.classes(df).collect()}
+    assert group == {p: 0 if p == 900 else p if p == 901 else p // 100 * 100 for p, *_ in rows}
+    r = np.random.default_rng(2)
+    edges = [(i, i + 1) for i in range(1, 40)] + [(int(a), int(b)) for a, b in np.sort(r.integers(50, 120, (45, 2)), axis=1) if a < b]
+    least = {x: x for e in edges for x in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {x["class"]: x["root"] for x in near.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} == least
+
+
 # --- problems 6 and 7
 
 TEXTS = ["it's 're'll we've 'x ''s  'd\n\n 'm\t\t't", "a  b \n", "  ", "\n", "", None, "'s", "x'Re 12'34's", "日本語 テスト's 👍🏽", "\x1c \x1d a", "don't" * 50, "a" * 3000, "don't", "<|endoftext|>", "🏳️‍🌈" * 20]
