@@ -112,9 +112,13 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP, prefix: list[in
         else:
             top = max(bisect_right(prefix, size(start) + limit) - 1, start + 1)
         least = max(cut, start + overlap) + 1  # a cut must move past the overlap
-        for kind, at in marks.items():
+        # sentences and words in the second half of the window first, then any past the overlap
+        half = start + (top - start) // 2
+        tries = [(kind, max(least, half) if kind in ("sentence", "word") else least) for kind in marks] + [("sentence", least), ("word", least)]
+        for kind, bound in tries:
+            at = marks[kind]
             k = bisect_right(at, top) - 1
-            if k >= 0 and at[k] >= max(least, start + (top - start) // 2 if kind in ("sentence", "word") else least):
+            if k >= 0 and at[k] >= bound:
                 new = at[k]
                 break
         else:

@@ -117,6 +117,18 @@ def test_pieces_put_together_again(text):
     assert text[: cuts[0][1]] + "".join(text[p[1] : c[1]] for p, c in zip(cuts, cuts[1:])) == text
 
 
+@pytest.mark.parametrize("first, kind", [("word " * 300, "word"), ("One sentence. Words after it ", "word"), ("A sentence here. " * 40, "sentence")])
+def test_long_runs_are_not_cut_where_an_earlier_boundary_is(first, kind):
+    text = first + "x" * 6100 + " and more words"
+    cuts = pieces.split(text)
+    want = len(first)
+    if want > pieces.OVERLAP:
+        assert cuts[0] == (0, want, kind) and cuts[1][0] == want - pieces.OVERLAP
+    else:  # no boundary past the overlap
+        assert cuts[0][2] == "hard"
+    assert all(z - a <= pieces.LIMIT for a, z, _ in cuts)
+
+
 def test_pieces_by_tokens():
     text = "some words here. " * 100
     prefix = [i // 3 for i in range(len(text) + 1)]
