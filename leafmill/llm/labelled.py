@@ -1,6 +1,7 @@
 """Labelled pages: what page furniture and page matter look like in six languages.
 
-The phrase lists are fixed values written for training; ``pages`` lays them out
+The phrase lists are fixed values, in part sentences of the test data (README);
+``pages`` lays them out
 as pages whose every line carries a label.  Names, numbers and layouts are
 drawn from a seeded generator, so the labelled pages are the same everywhere
 and their number is a documented bound (``PAGES``).
