@@ -87,7 +87,6 @@ class Lines:
         seen = np.concatenate(([0], np.cumsum(fence)))
         inside = ((seen[:-1] - seen[in_page]) % 2 == 1) | fence
         white4 = (s - self.raw >= 4)
-        self.code = inside | white4
         pipes = b.count(cp == 124, s, e)
         links = b.count((cp == 93) & (np.append(cp[1:], 0) == 40), s, e)
         solid = b.count(~b.has(SPACE), s, e)
@@ -115,6 +114,8 @@ class Lines:
         blen = np.bincount(self.block_no) if n else np.zeros(0, int)
         self.block_len = blen[self.block_no] if n else blen
         bpos = np.arange(n) - np.searchsorted(self.block_no, self.block_no)
+        flush = np.cumsum(~white4)  # an indented line is code if its block has no flush line before it
+        self.code = inside | (white4 & (flush == (flush - ~white4)[np.searchsorted(self.block_no, self.block_no)])) if n else inside
         headed = np.concatenate(([0], np.cumsum(head)))
         before = (headed[:-1] == headed[in_page])
         ntok, chars = self.n_tokens, e - s

@@ -1,11 +1,12 @@
 """Problem 4: template residue, filler, error messages and script notices in place of content.
 
 Two character n-gram models are fitted on labelled texts: one of filler and
-notices against natural prose, one of the shapes of unfilled placeholders
-against the shapes of prose.  Log-likelihood ratios are summed over windows
-(sentences and short lines of the main body, code left out).  A page is a case
-if a placeholder window is confirmed, or if residue windows cover most of its
-body.
+notices against natural prose and page furniture, one of the shapes of unfilled
+placeholders against the shapes of prose.  Log-likelihood ratios are summed
+over windows (sentences and short lines, code left out).  Every window weighs
+as much as it is likely to be the page's own matter, by the main-body model and
+by its own ratio.  A page is a case if a placeholder window is confirmed, or if
+residue windows cover most of that weight.
 """
 
 from __future__ import annotations
@@ -18,18 +19,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import labelled
+from . import labelled, residue_texts
+from .body import CLIP as SURE
 from .body import Lines, model
 from .common import by_blocks, strings
-from .kernel import ALNUM, CJK, SPACE, Block, mix, spans_hash, tables
+from .kernel import ALNUM, SPACE, Block, mix, spans_hash, tables
 
 BUCKETS = 1 << 18
+#: Weight of the shorter context in the n-gram models, in counts; ratios of single symbols are cut at CLIP.
+BACK, CLIP = 3.0, 3.0
 #: A window is residue if its ratio is this high in all and on average; a page if so much of its body is.
-TOTAL, MEAN, COVERAGE = 4.0, 0.12, 0.5
-# Filler words and messages of the kinds to be found.
-LOREM = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
-FILLER = ["Text goes here. Text goes here. Text goes here.", "Title goes here", "Your text here", "Insert text here", "Add a short description of your product in two or three lines.", "Copy to be delivered by marketing.", "Coming soon", "TODO write this section", "TBD", "To be written", "This section is empty", "blah blah blah blah blah", "test test 1 test", "hello world test page please ignore", "asdf asdf asdf qwer qwer", "xxxx xxxxx xxx xxxxxxx xx xxxx", "foo bar baz", "Sample text", "Placeholder", "undefined undefined", "[object Object]", "null", "NaN", "Untitled document", "Hier steht ein Beispieltext, der später ersetzt wird.", "Ici un texte d'exemple qui sera remplacé plus tard.", "Aquí va un texto de ejemplo que se cambiará después.", "Aqui vai um texto de exemplo que será trocado depois.", "ここに文章が入ります", "サンプルテキストです", "Platzhaltertext", "Texte provisoire", "Texto de relleno", "Texto provisório", "Under construction", "Click to edit this text"]
-NOTICES = ["Check the address or return to the start page.", "Go back to the home page or use the search.", "Our team has been told about it. Please try again in 28 minutes.", "This documentation is an interactive application. It cannot be shown without script support.", "Please wait while we load your content...", "Page not found", "404", "404 Not Found", "Not found", "The page you are looking for may have been moved or deleted.", "Sorry, we could not find that page.", "Oops! Something went wrong.", "The requested URL /page was not found on this server.", "This content is no longer available.", "410 – Gone", "410 Gone", "Access denied", "403 Forbidden", "You do not have permission to view this resource on this server.", "500 Internal Server Error", "Internal server error", "The server met an unexpected condition. Reference 7ed81efe59.", "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout", "Service temporarily unavailable, try again later.", "We are down for maintenance", "The site will be back shortly. Thank you for your patience.", "Too many requests", "You have hit the rate limit. Slow down and reload after 596 seconds.", "Request timed out while rendering /page", "Could not connect to database: connection refused on port 5432", "Warning: Undefined variable $page in /srv/app/render.php on line 9", "Traceback (most recent call last):", 'File "/srv/app/render.py", line 12, in render', "KeyError: 'body'", "TypeError: cannot read properties of undefined", "NullPointerException", "Error code: NOT_FOUND", "Ray 7ed81efe59", "Ray ID", "Error 404", "An error occurred while processing your request.", "You need to enable JavaScript to run this app.", "Please enable JavaScript to view this page.", "JavaScript is required to view this site.", "JavaScript is disabled in your browser.", "This site requires JavaScript. Please enable scripts and reload.", "Loading...", "Loading…", "Loading, please wait", "Please wait while we load the page", "Checking your browser before accessing the site.", "Verify you are human", "Your browser is not supported", "Please enable cookies and reload the page", "Session expired. Please sign in again.", "Bad request", "Unauthorized", "Seite nicht gefunden", "Die angeforderte Adresse gibt es nicht mehr.", "Interner Serverfehler. Bitte versuchen Sie es später noch einmal.", "Bitte aktivieren Sie JavaScript, um diese Anwendung zu nutzen.", "Zugriff verweigert", "Wird geladen", "Dienst nicht verfügbar", "Page introuvable", "L'adresse demandée n'existe pas ou plus.", "Erreur interne du serveur. Merci de réessayer plus tard.", "Veuillez activer JavaScript pour afficher cette page.", "Accès refusé", "Chargement en cours", "Página no encontrada", "La dirección solicitada ya no existe.", "Error interno del servidor. Inténtelo más tarde.", "Active JavaScript para ver esta página.", "Acceso denegado", "Cargando", "Página não encontrada", "O endereço pedido não existe mais.", "Erro interno do servidor. Tente mais tarde.", "Ative o JavaScript para ver esta página.", "Acesso negado", "Carregando", "ページが見つかりません", "お探しのページは移動または削除されました。", "サーバーで問題が発生しました。しばらくしてからもう一度お試しください。", "このページを表示するにはJavaScriptを有効にしてください。", "読み込み中", "アクセスが拒否されました"]
+TOTAL, MEAN, COVERAGE = 2.0, 0.05, 0.5
+#: Texts of each model's two classes (bounded, independent of the corpus).
+TEXTS = 12_000
+#: Labelled pages whose furniture is fitted as natural (bounded as well).
+PAGES = 250
+#: The most that a window's own ratio adds to its log-odds of being the page's own matter.
+PULL = 6.0
 # Natural sentences near the subject that are no cases.
 NEAR = ["W answers 404 Not Found when the page does not exist.", "Pages that need JavaScript are opened in a headless browser.", "Designers fill a mock-up with lorem ipsum before the real text is ready.", "The error page tells readers what went wrong and where to look next.", "If the server is down for maintenance, the crawler waits and tries again later.", "A template replaces each placeholder with the value of the record.", "The log lists every request that timed out.", "Write the name of the variable where the value belongs.", "Each error has a code, and the table below explains it.", "The loader shows a short notice until the scripts have run.", "Der Server meldet einen Fehler, wenn die Seite nicht vorhanden ist.", "Le serveur signale une erreur quand la page manque.", "El servidor avisa de un error cuando falta la página.", "O servidor avisa de um erro quando falta a página."]
 # Words of technical prose, for natural sentences of wide vocabulary.
@@ -40,103 +46,114 @@ WORDS = {
     "es": "el la los las un cada ese cuando sin con en para si basta archivo servidor lote módulo esquema registro informe permiso recurso enlace filtro campo proceso proyecto mensaje capítulo documento plazo páginas líneas reglas claves imágenes tablas notas tareas secciones columnas rutas copias abre lee guarda copia ordena revisa combina cuenta cambia antes de que quede abierto al cabo intentos siguen ahí porque siempre apenas pronto despacio otra vez más fácil encontrar dar puede abrir ya fue las demás solo faltan".split(),
     "pt": "o a os as um cada esse quando sem com no para basta arquivo servidor lote módulo esquema registro relatório acesso recurso atalho filtro campo processo projeto bloco índice motor aviso prazo páginas linhas regras chaves imagens tabelas notas tarefas seções colunas rotas cópias abre lê guarda copia ordena revisa combina conta muda antes que seja verificado ao fim de continuam ali porque sempre logo raramente mais uma vez entregar fique as outras somente faltam".split(),
 }
-NAMES = "title name heading summary body author date version company product_name page.title page.author user.name section_name intro first_name email site.url item".split()
-FORMS = ["{{N}}", "{{ N }}", "${N}", "#{N}", "<%= N %>", "{% block N %}", "{% N %}", "[[N]]", "((N))", "%%N%%", "@@N@@", "__N__", "$N$", "{N}", "<N>", "&lt;N&gt;", "[N goes here]", "[insert N]", "TBD: N text", "TODO: N", "%(N)s", "{{{N}}}", "[% N %]", "<<N>>", "~~N~~", "[Your N]"]
+# Marks for a text still to be written.
+MARKS = ["TBD", "TODO", "FIXME"]
 _ID = r"[A-Za-z][\w.\-]*"
 #: What confirms a placeholder window: each syntax of FORMS around an identifier.
 CONFIRM = re.compile(
-    rf"\{{\{{\{{?\s*[^{{}}\n]{{1,60}}\}}\}}|\{{%[^%\n]{{1,60}}%\}}|[$#]\{{\s*{_ID}\s*\}}|<%[=-]?[^%\n]{{1,60}}%>|\[%[^%\n]{{1,60}}%\]|\[\[\s*{_ID}\s*\]\]|\(\(\s*{_ID}\s*\)\)|%%{_ID}%%|@@{_ID}@@|(?<!\w)__[A-Za-z][A-Za-z0-9.\-]*(?:_[A-Za-z0-9.\-]+)*__(?!\w)|\${_ID}\$|\{{\s*{_ID}\s*\}}|%\({_ID}\)[sd]|<<\s*{_ID}\s*>>"
-    rf"|&lt;\s*{_ID}\s*&gt;|<(?!/|br|hr|p\b|b\b|i\b|h[1-6]\b|em\b|strong|code|pre|a\b|img|div|span|ul|li|ol|table|t[rdh]\b|sup|sub|kbd|https?:|mailto:){_ID}>|\[[^\[\]\n]{{0,40}}\b(?:goes here|here)\]|\[(?:insert|your|enter|add)\b[^\[\]\n]{{1,40}}\]|\bTBD\b|\bTODO\b|\bFIXME\b",
+    rf"\{{\{{\{{?\s*[^{{}}\n]+\}}\}}|\{{%[^%\n]+%\}}|[$#]\{{\s*{_ID}\s*\}}|<%[=-]?[^%\n]+%>|\[%[^%\n]+%\]|\[\[\s*{_ID}\s*\]\]|\(\(\s*{_ID}\s*\)\)|%%{_ID}%%|@@{_ID}@@|(?<!\w)__[A-Za-z][A-Za-z0-9.\-]*(?:_[A-Za-z0-9.\-]+)*__(?!\w)|\${_ID}\$|\{{\s*{_ID}\s*\}}|%\({_ID}\)[sd]|<<\s*{_ID}\s*>>"
+    rf"|&lt;\s*{_ID}\s*&gt;|<(?!/|br|hr|p\b|b\b|i\b|h[1-6]\b|em\b|strong|code|pre|a\b|img|div|span|ul|li|ol|table|t[rdh]\b|sup|sub|kbd|https?:|mailto:){_ID}>|\[[^\[\]\n]*\b(?:goes here|here)\]|\[(?:insert|your|enter|add)\b[^\[\]\n]+\]|(?-i:\b(?:TBD|TODO|FIXME)\b)",
     re.I,
 )
 _INLINE = re.compile(r"``[^`\n]+``|`[^`\n]+`")
 
 
-def _grams(b: Block, shape: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, place) of the n-grams of a block: 5-grams of characters, or 3-grams of the shapes of runs."""
-    if not shape:
-        v = b.lower_hash.copy()
-        v[(b.lower >= 48) & (b.lower < 58)] = tables()[2][48]
-        v[b.has(SPACE)] = tables()[2][32]
-        n = 5
-        at = np.arange(b.n)
-    else:
-        kind = np.where(b.has(SPACE), 0, np.where(b.has(ALNUM), 1, 2))
-        v = np.where(kind == 0, np.uint64(1), np.where(kind == 1, np.uint64(2), b.lower.astype(np.uint64) + np.uint64(9)))
-        change = np.ones(b.n, bool)
-        change[1:] = (v[1:] != v[:-1]) | (kind[1:] == 2)
-        at = np.flatnonzero(change)
-        v, n = mix(v[at]), 3
+def _shapes(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(symbol, place) of the runs of a block: white space, words, each of MARKS, and each other character by itself."""
+    kind = np.where(b.has(SPACE), 0, np.where(b.has(ALNUM), 1, 2))
+    v = np.where(kind == 0, np.uint64(1), np.where(kind == 1, np.uint64(2), b.lower.astype(np.uint64) + np.uint64(9)))
+    change = np.ones(b.n, bool)
+    change[1:] = (v[1:] != v[:-1]) | (kind[1:] == 2)
+    at = np.flatnonzero(change)
+    v = v[at]
+    known = Block(MARKS)
+    h = spans_hash(tables()[2][b.ix], at, np.append(at[1:], b.n))
+    for k, mark in enumerate(spans_hash(tables()[2][known.ix], known.starts, known.ends)):
+        v[h == mark] = np.uint64(3 + k)
+    return mix(v), at
+
+
+def _characters(b: Block) -> np.ndarray:
+    """Symbol of each character: lower case, digits alike, white space alike but for line feeds."""
+    v = b.lower_hash.copy()
+    v[(b.lower >= 48) & (b.lower < 58)] = tables()[2][48]
+    v[b.has(SPACE) & (b.cp != 10)] = tables()[2][32]
+    return v
+
+
+def _grams(v: np.ndarray, order: int):
+    """Buckets of the n-grams that end at each symbol, for n = 1 to ``order``."""
     h = np.zeros(len(v), np.uint64)
-    for k in range(n):
-        h[: len(v) - k] += v[k:] * np.uint64(2 * k * k + 3)
-    return (mix(h) & np.uint64(BUCKETS - 1)).astype(np.int64), at
+    for k in range(order):
+        h[k:] += v[: len(v) - k] * np.uint64(2 * k * k + 3)
+        yield (mix(h + np.uint64(k)) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-class Models:
-    def __init__(self, text: np.ndarray, shape: np.ndarray):
-        self.text, self.shape = text, shape
+class Ratios:
+    """Log-likelihood ratio of each symbol after the symbols before it, under two n-gram models.
+
+    The models are interpolated: an n-gram's probability is its count with
+    ``BACK`` times the probability after a shorter context added.  ``tables``
+    hold the ratio of every n-gram seen in either class; a symbol takes the one
+    of its longest n-gram that was seen, none if even the shortest was not.
+    """
 
+    def __init__(self, bad: list[np.ndarray], good: list[np.ndarray], order: int):
+        self.order = order
+        self.tables = [np.full(BUCKETS, np.nan, np.float32) for _ in range(order)]
+        seqs = [[list(_grams(v, order)) for v in part] for part in (bad, good)]
+        grams = [[np.concatenate([g[k] for g in part]) for k in range(order)] for part in seqs]
+        # the context of an n-gram is the (n-1)-gram that ends one symbol earlier
+        before = [[np.concatenate([np.concatenate([[0], g[k - 1][:-1]]) for g in part]) if k else np.zeros(len(grams[c][0]), np.int64) for k in range(order)] for c, part in enumerate(seqs)]
+        seen = [np.unique(np.concatenate([grams[0][k], grams[1][k]]), return_index=True) for k in range(order)]
+        both = [np.concatenate([grams[0][k], grams[1][k]]) for k in range(order)]
+        ctx = [np.concatenate([before[0][k], before[1][k]]) for k in range(order)]
+        prob = [np.full(len(both[0]), 1 / 4000) for _ in range(2)]
+        for k in range(order):
+            for c in range(2):
+                n = np.bincount(grams[c][k], minlength=BUCKETS)
+                d = np.bincount(before[c][k], minlength=BUCKETS)
+                prob[c] = (n[both[k]] + BACK * prob[c]) / (d[ctx[k]] + BACK)
+            g, first = seen[k]
+            self.tables[k][g] = np.clip(np.log(prob[0][first] / prob[1][first]), -CLIP, CLIP)
+
+    def of(self, v: np.ndarray) -> np.ndarray:
+        """The ratio of each symbol."""
+        out = np.zeros(len(v), np.float32)
+        for k, g in enumerate(_grams(v, self.order)):
+            x = self.tables[k][g]
+            out = np.where(np.isnan(x), out, x)
+        return out
 
-def _ratio(bad: list[str], good: list[str], shape: bool, alpha: float = 0.08) -> np.ndarray:
-    out = []
-    for part in (bad, good):
-        b = Block(part)
-        g, _ = _grams(b, shape)
-        c = np.bincount(g, minlength=BUCKETS).astype(float)
-        out.append((c / max(1, len(part)) * 200 + alpha))
-    return np.clip(np.log(out[0] / out[1]), -3, 3).astype(np.float32)
 
+class Models:
+    def __init__(self, text: Ratios, shape: Ratios):
+        self.text, self.shape = text, shape
 
-@functools.lru_cache(1)
-def models(seed: int = 11) -> Models:
-    """Both ratio tables, fitted on labelled texts made from the fixed values above."""
+
+@functools.lru_cache(20)
+def models(seed: int = 11, without: tuple[str, ...] = ()) -> Models:
+    """Both ratio tables, fitted on labelled texts; ``without`` names kinds of residue that are left out of the fit."""
     r = random.Random(seed)
     mk = labelled._Maker(seed)
-    bad = (FILLER + NOTICES) * 10
-    for _ in range(300):
-        words = r.choices(LOREM, k=r.randint(8, 30))
-        bad.append(" ".join(words).capitalize() + ".")
+    bad = [residue_texts.text(r, without) for _ in range(TEXTS)]
     good = []
     for lang, phrases in labelled.PROSE.items():
         for p in phrases * 6 + labelled.TITLES[lang] * 3:
             good.append(mk.fill(p, mk.word().capitalize(), lang))
     good += [mk.fill(p, "Halden", "en") for p in NEAR * 14]
+    good += [line for p in labelled.pages(PAGES, seed) for line, own in p if own == 0]
     for lang, words in WORDS.items():
         good += [" ".join(r.choices(words, k=r.randint(8, 18))).capitalize() + "." for _ in range(400 if lang == "en" else 150)]
     good += [f"data:{mk.word()};base64," + "".join(r.choices("0123456789abcdefABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/", k=400)) for _ in range(60)]
     good += [f"data:{mk.word()};base64," + "".join(r.choices("0123456789abcdef", k=400)) for _ in range(60)]
-    ph = []
-    for f in FORMS * 8:
-        x = f.replace("N", r.choice(NAMES))
-        x = r.choice([x, x.upper(), x])
-        ph.append(r.choice(["# %s", "Welcome to %s", "%s", "By %s", "%s for the guide", "Version %s", "Each %s keeps its own links", "The server %s at once and leaves"]) % x)
-    return Models(_ratio(bad, good, False), _ratio(ph, good, True))
+    chars = lambda texts: [_characters(Block(texts))]
+    runs = lambda texts: [_shapes(Block(texts))[0]]
+    return Models(Ratios(chars(bad), chars(good), 5), Ratios(runs([residue_texts.placeholder(r) for _ in range(TEXTS // 4)]), runs(good), 3))
 
 
-def _cases(texts: list[str | None], body_model, m: Models, total: float, mean: float, coverage: float) -> np.ndarray:
-    b = Block(texts)
-    x = Lines(b)
-    keep = body_model.body(x) & ~x.code
-    s, e, page = x.s[keep], x.e[keep], x.page[keep]
-    flag = np.zeros(len(texts), bool)
-    if not len(s):
-        return flag
-    # placeholder windows: five runs of shapes in a row
-    g, at = _grams(b, True)
-    w = np.concatenate([[0.0], np.cumsum(m.shape[g])])
-    a, z = np.searchsorted(at, s), np.searchsorted(at, e)
-    score = np.concatenate([np.zeros(0), w[3:] - w[:-3]]) if len(w) > 3 else np.zeros(1)
-    best = np.maximum.reduceat(np.append(score, -9.0), np.minimum(np.stack([a, np.maximum(z, a + 1)], 1).ravel(), len(score)))[::2]
-    hint = np.flatnonzero(best > 0.5)
-    word = b.cp[s] | 32
-    hint = np.union1d(hint, np.flatnonzero((word == ord("t")) & (e - s < 60)))  # TBD and TODO have the shape of words
-    for p, line in zip(page[hint].tolist(), strings(b, s[hint], e[hint])):
-        if not flag[p] and CONFIRM.search(_INLINE.sub(" ", line)):
-            flag[p] = True
-    # residue windows: sentences
-    g, _ = _grams(b, False)
-    w = np.concatenate([[0.0], np.cumsum(m.text[g])])
+def _windows(b: Block, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, line) of the sentences of each line."""
     stop = np.isin(b.cp, [46, 33, 63, 0x3002, 0xFF01, 0xFF1F])
     stop[:-1] &= b.has(SPACE)[1:] | (b.cp[:-1] > 0x3000)
     cut = np.flatnonzero(stop) + 1
@@ -146,14 +163,43 @@ def _cases(texts: list[str | None], body_model, m: Models, total: float, mean: f
     k = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
     ws = np.where(k == 0, s[line], cut[np.minimum(lo[line] + k - 1, max(len(cut) - 1, 0))] if len(cut) else 0)
     we = np.where(k == n[line] - 1, e[line], cut[np.minimum(lo[line] + k, max(len(cut) - 1, 0))] if len(cut) else 0)
+    return ws, we, line
+
+
+def _cases(texts: list[str | None], body_model, m: Models, total: float, mean: float, coverage: float) -> np.ndarray:
+    b = Block(texts)
+    x = Lines(b)
+    own = np.clip(body_model.score(x), -SURE, SURE)
+    own[body_model.body(x)] = SURE  # lines of the best runs are the page's own matter
+    own, s, e, page = own[~x.code], x.s[~x.code], x.e[~x.code], x.page[~x.code]
+    flag = np.zeros(len(texts), bool)
+    if not len(s):
+        return flag
+    # residue windows: sentences whose ratio is high in all and on average
+    w = np.concatenate([[0.0], np.cumsum(m.text.of(_characters(b)), dtype=np.float64)])
+    ws, we, line = _windows(b, s, e)
     size = np.maximum(we - ws, 0)
-    ratio = w[np.maximum(we - 3, ws)] - w[np.maximum(ws - 1, 0)]
+    ratio = w[np.maximum(we, ws)] - w[ws]
     table = (b.cp[s] == 124)[line]
     res = (ratio > np.minimum(total, 0.6 * size)) & (ratio > mean * size) & ~table
-    solid = np.bincount(page[line], size, len(texts))
-    hit = np.bincount(page[line], np.where(res, size, 0), len(texts))
-    head = (b.cp[s] == 35)[line]
-    solid -= np.bincount(page[line], np.where(head & ~res, size, 0), len(texts))  # a natural title over residue does not make it content
+    # placeholder windows: runs of shapes with a high ratio, and short residue that stands for a text still to be written
+    v, at = _shapes(b)
+    w = np.concatenate([[0.0], np.cumsum(m.shape.of(v), dtype=np.float64)])
+    a, z = np.searchsorted(at, s), np.searchsorted(at, e)
+    score = w[3:] - w[:-3] if len(w) > 3 else np.zeros(1)
+    best = np.maximum.reduceat(np.append(score, -9.0), np.minimum(np.stack([a, np.maximum(z, a + 1)], 1).ravel(), len(score)))[::2]
+    some = np.zeros(len(s), bool)
+    some[line[res]] = True
+    hint = np.flatnonzero(((best > 0.5) | some) & (own + np.maximum(best, some * 3.0) > 0))
+    for p, v in zip(page[hint].tolist(), strings(b, s[hint], e[hint])):
+        if not flag[p] and CONFIRM.search(_INLINE.sub(" ", v)):
+            flag[p] = True
+    # coverage: each window weighs its size times the probability that it is the page's own matter
+    odds = own[line] + np.where(res, np.clip(ratio, 0, PULL), 0.0)
+    heavy = size / (1 + np.exp(-odds))
+    natural = (b.cp[s] == 35)[line] & ~res  # a natural title over residue does not make it content
+    hit = np.bincount(page[line], np.where(res, heavy, 0), len(texts))
+    solid = np.bincount(page[line], np.where(natural, 0, heavy), len(texts))
     flag |= (hit > 0) & (hit >= coverage * solid)
     return flag
 
@@ -161,7 +207,8 @@ def _cases(texts: list[str | None], body_model, m: Models, total: float, mean: f
 def found(pages: DataFrame, key: str = "page_id", text: str = "content", total: float = TOTAL, mean: float = MEAN, coverage: float = COVERAGE) -> DataFrame:
     """(key) of each page that shows residue, filler, an error or a script notice in place of content.
 
-    Null, empty and blank texts and pages of furniture only are no cases.
+    Null, empty and blank texts are no cases, nor are pages of furniture only: no line
+    is left out, but furniture weighs next to nothing.
     """
     bm, m, kind = model(), models(), pages.schema[key].dataType.simpleString()
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("leafmill.llm")
-from leafmill.llm import body, bpe, labelled, main_body, mixing, near, pieces, quality, residue, site_lines, tokens  # noqa: E402
+from leafmill.llm import body, bpe, labelled, main_body, mixing, near, pieces, quality, residue, residue_texts, site_lines, tokens  # noqa: E402
 from leafmill.llm.kernel import Block, blocks  # noqa: E402
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -155,6 +155,47 @@ def test_residue(spark):
     assert left.columns == df.columns and sorted(r["page_id"] for r in left.collect()) == list(range(len(cases), len(cases) + len(fine)))
 
 
+def dressed(body_lines, r):
+    """A page of furniture only, drawn by the labelled generator, around the given lines."""
+    page = labelled._Maker(int(r.integers(1 << 30))).page()
+    own = [i for i, (_, label) in enumerate(page) if label == 1]
+    rest = [t for i, (t, label) in enumerate(page) if label < 1 and i < own[0]], [t for i, (t, label) in enumerate(page) if label < 1 and i > own[-1]]
+    return "\n".join([*rest[0], "", *body_lines, "", *rest[1]])
+
+
+@pytest.mark.parametrize("family, least", [("codes", 0.45), ("lost", 0.5), ("broken", 0.55), ("standard", 0.5), ("refused", 0.4), ("scripts", 0.1), ("wait", 0.35), ("checks", 0.1), ("traces", 0.15), ("blanks", 0.2), ("lorem", 0.0), ("keys", 0.1), ("unwritten", 0.25)])
+def test_residue_of_a_kind_left_out_of_the_fit(family, least):
+    import random
+
+    r, draw = np.random.default_rng(2), random.Random(77)
+    m = residue.models(11, (family, "mixed"))
+    texts = [dressed([residue_texts.FAMILIES[family](draw)], r) for _ in range(150)]
+    flag = residue._cases(texts, body.model(), m, residue.TOTAL, residue.MEAN, residue.COVERAGE)
+    print(f"{family}: {flag.mean():.2f} of the pages of a kind left out of the fit")
+    assert flag.mean() >= least
+
+
+def test_residue_alone_and_between_furniture():
+    import random
+
+    r, draw = np.random.default_rng(3), random.Random(99)
+    texts = [f(draw) for f in residue_texts.FAMILIES.values() for _ in range(20)] + [residue_texts.placeholder(draw) for _ in range(60)]
+    alone = residue._cases(texts, body.model(), residue.models(), residue.TOTAL, residue.MEAN, residue.COVERAGE)
+    between = residue._cases([dressed([t], r) for t in texts], body.model(), residue.models(), residue.TOTAL, residue.MEAN, residue.COVERAGE)
+    print(f"alone {alone.mean():.3f}, between furniture {between.mean():.3f}")
+    assert alone.mean() > 0.94 and between.mean() > 0.94
+    prose = [" ".join(labelled._Maker(5 + k).fill(p, "Halden", "en") for p in draw.sample(labelled.PROSE["en"], 3)) for k in range(100)]
+    assert residue._cases([dressed([p], r) for p in prose], body.model(), residue.models(), residue.TOTAL, residue.MEAN, residue.COVERAGE).mean() < 0.02
+
+
+def test_placeholders_in_nested_lists_and_code():
+    flag = lambda t: bool(residue._cases([t], body.model(), residue.models(), residue.TOTAL, residue.MEAN, residue.COVERAGE)[0])
+    prose = "# Configure salder\n\nEach batch copies its own tables, so a small key never blocks another one.\n\n"
+    assert flag(prose + "- The first entry of the list\n    - Welcome to {{ page.title | default: 'a very long text that stands for the title of this page' }} again")
+    assert not flag(prose + "    x = {{ page.title }}\n    y = 2")
+    assert flag("TBD: the author of this page, who will be named by the editors in the coming weeks") and not flag("")
+
+
 # --- problem 5
 
 
