@@ -100,6 +100,29 @@ def test_lines_on_ten_pages_of_a_site_with_most_pages(spark, others):
     assert out[0] == "\n".join(name(x) for x in lines[0] if x >= 200) and len(out) == len(rows)
 
 
+def test_lines_as_common_elsewhere_are_no_excess_over_other_sites(spark):
+    rows = [(i, "This line stands on every page of all the sites\n" + ("Only the first site has this line on its pages\n" if i % 2 == 0 and i % 4 < 2 else "") + f"Own text {sentences(6, i)}", f"https://s{i % 2}.test/", 1) for i in range(400)]
+    df = pages(spark, rows)
+    by_rule, by_others = site_lines.found(df).collect(), site_lines.found(df, chance=None).collect()
+    assert len(by_rule) == 500 and sorted(r["line_no"] for r in by_others) == [2] * 100
+    got = {(r["n"], r["outside"]) for r in site_lines.repeated(df).collect()}
+    assert got == {(200, 200), (100, 0)}
+    one = df.where("url = 'https://s0.test/'")
+    assert site_lines.found(one).count() == 300 and site_lines.found(one, chance=None).count() == 0
+
+
+def test_threshold_of_the_false_discovery_rate():
+    import math
+
+    assert site_lines.threshold([], 0) == math.inf and site_lines.threshold([(2, 1000)], 1000) == math.inf
+    r = np.random.default_rng(4)
+    g = np.concatenate([r.chisquare(1, 20_000) * (r.random(20_000) < 0.5), np.full(500, 30.0)])
+    steps = np.unique((g * site_lines.STEPS).astype(int), return_counts=True)
+    t = site_lines.threshold(list(zip(steps[0].tolist(), steps[1].tolist())), len(g))
+    false = (g[:20_000] >= t).sum()
+    assert (g >= t).sum() >= 500 and false <= 0.08 * (g >= t).sum()
+
+
 # --- problem 3
 
 
