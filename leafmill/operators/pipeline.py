@@ -26,8 +26,8 @@ def with_assets(pages: DataFrame, assets: DataFrame, key: str = "page_id", text:
 def convert(pages: DataFrame, config: L.CrawlConfig | None = None, key: str = "page_id", text: str = "html", url: str = "url", compat: bool = False) -> DataFrame:
     """(key, url, title, host, path, markdown, links) of HTML pages: content chosen, converted and cleaned; a null text gives null Markdown."""
     config = config or L.CrawlConfig()
-    body = html.content_udf(config.content_selectors or None)(M.strip_empty_links(M.strip_script_and_style(F.col(text))))
-    out = pages.select(F.col(key), F.col(url).alias("url"), html.title_udf(F.col(text)).alias("title"), html.to_markdown_udf(body).alias("_md"), F.size(html.links_udf(F.col(text), F.col(url))).cast("bigint").alias("links"))
+    parsed = html.page_udf(config.content_selectors or None)(F.col(text), F.col(url))
+    out = pages.select(F.col(key), F.col(url).alias("url"), parsed.alias("p")).select(key, "url", "p.title", F.col("p.markdown").alias("_md"), F.size("p.links").cast("bigint").alias("links"))
     return out.select(key, "url", "title", F.coalesce(U.host(F.col("url")), F.lit("unknown")).alias("host"), U.page_path(F.col("url")).alias("path"), M.clean(F.col("_md"), compat).alias("markdown"), "links")
 
 
