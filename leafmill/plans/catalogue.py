@@ -20,32 +20,14 @@ from ..operators import search as S
 from ..operators import sitemap as X
 from ..sources import readers, sinks
 from ..streaming import events as E
+from .registry import oracle_sql, queries, query  # noqa: F401 - the catalogue is asked for them
 from .shared import written
 
-_QUERIES, _SQL = {}, {}
 #: Time at which running jobs are measured.
 NOW = "2026-01-01T00:00:00+00:00"
 TERM, HALVENOR = "queue", "docs.halvenor.example"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries():
-    return dict(_QUERIES)
-
-
-def oracle_sql():
-    return dict(_SQL)
-
-
 def _t(spark, path, name):
     return spark.read.parquet(f"{path}/{name}.parquet")
 
@@ -260,13 +242,18 @@ def strip_empty_links(spark, path):
     return _md(spark, path, M.strip_empty_links)
 
 
-def _bare(c):
-    for p in M.UI_PATTERNS:
-        c = f"regexp_replace({c}, '{p}', '', 'g')"
-    return c
+def _prompt(x):
+    """SQL: one kind of prompt is all that a line holds."""
+    w = _WS
+    kinds = [f"(?i)(copy{w}*page{w}*(open{w}*markdown{w}*)?(edit{w}*page)?|edit{w}*page|open{w}*markdown)", f"(?i)^.*we{w}+use{w}+cookies.*$", f"(?i)subscribe{w}+to{w}+our{w}+newsletter", f"(?i)copy{w}+code"]
+    return "(" + " or ".join(_blank(f"regexp_replace({_trim(x)}, '{k}', '', 'g')") for k in kinds) + ")"
+
+
+def _ui(c):
+    return f"array_to_string(list_filter({_lines(c)}, lambda x: {_blank('x')} or not {_prompt('x')}), E'\\n')"
 
 
-@query(_md_sql(f"array_to_string(list_filter({_lines('content')}, lambda x: {_blank('x')} or not {_blank(_bare('x'))}), E'\\n')"))
+@query(_md_sql(_ui("content")))
 def md_boilerplate(spark, path):
     return _md(spark, path, M.strip_ui)
 
@@ -278,11 +265,31 @@ def _toc(x):
     return _TOC.replace("{x}", x)
 
 
-@query(f"""with s as (select page_id, content, generate_subscripts(string_split(content, E'\\n\\n'), 1) as i, unnest(string_split(content, E'\\n\\n')) as x from page_results where content is not null),
-k as (select *, {_trim('x')} as t, count(*) over (partition by page_id) as n, {_toc('x')} as toc from s),
-f as (select *, row_number() over (partition by page_id, t order by i) as r from k where {_blank('x')} or not toc)
-select p.page_id, md5(case when len(string_split(p.content, E'\\n\\n')) < 6 then p.content else coalesce(string_agg(f.x, E'\\n\\n' order by f.i) filter (where f.r = 1 or strlen(f.t) <= 80), '') end) as digest
-from page_results p left join f on p.page_id = f.page_id where p.content is not null group by p.page_id, p.content""")
+def _dedup_steps(src, out):
+    """SQL: common table expressions that end in ``out`` (page_id, content) without tables of contents and repeats."""
+    return f"""{out}_s as (select page_id, content, generate_subscripts(string_split(content, E'\\n\\n'), 1) as i, unnest(string_split(content, E'\\n\\n')) as x from {src}),
+{out}_k as (select *, {_trim('x')} as t, {_toc('x')} as toc from {out}_s),
+{out}_f as (select *, row_number() over (partition by page_id, t order by i) as r from {out}_k where {_blank('x')} or not toc),
+{out} as (select p.page_id, case when len(string_split(p.content, E'\\n\\n')) < 6 then p.content else coalesce(string_agg(f.x, E'\\n\\n' order by f.i) filter (where f.r = 1 or strlen(f.t) <= 80), '') end as content
+from {src} p left join {out}_f f on p.page_id = f.page_id group by p.page_id, p.content)"""
+
+
+def _stub_steps(src, out):
+    """SQL: the same without the stubs at the end."""
+    full = f"list_filter({_lines('x')}, lambda y: not {_blank('y')})"
+    one, two = _trim(f"({full})[1]"), _trim(f"({full})[2]")
+    kind = f"case when {_blank('x')} then 0 when len({full}) = 1 and (regexp_matches({one}, '^(#|=+$|-+$)') or (strlen({one}) < 30 and not contains({one}, '.'))) then 1 when len({full}) = 2 and regexp_matches({two}, '^(=+|-+)$') then 1 else 2 end"
+    return f"""{out}_s as (select page_id, content, generate_subscripts(string_split(content, E'\\n\\n'), 1) as i, unnest(string_split(content, E'\\n\\n')) as x from {src}),
+{out}_k as (select *, {kind} as kind from {out}_s),
+{out}_l as (select *, count(*) over (partition by page_id) as n, coalesce(max(case when kind = 2 then i end) over (partition by page_id), 0) as last from {out}_k),
+{out}_c as (select *, min(case when kind = 1 and i > last then i end) over (partition by page_id) as stub from {out}_l),
+{out} as (select page_id, case when any_value(n) < 4 or any_value(stub) is null or any_value(stub) = 1 then any_value(content) else regexp_replace(string_agg(x, E'\\n\\n' order by i) filter (where i < stub), '{_WS}+$', '') end as content from {out}_c group by page_id)"""
+
+
+_START = "with base as (select page_id, content from page_results where content is not null), "
+
+
+@query(_START + _dedup_steps("base", "d") + " select page_id, md5(content) as digest from d")
 def md_dedup(spark, path):
     return _md(spark, path, M.dedup)
 
@@ -293,12 +300,18 @@ def md_toc(spark, path):
     return p.groupBy("page_id").agg(F.count(F.lit(1)).alias("sections"), F.count_if(M.is_toc(F.col("x"))).alias("toc_sections"))
 
 
-@query()
+@query(_START + _stub_steps("base", "d") + " select page_id, md5(content) as digest from d")
 def md_stub_suffix(spark, path):
     return _md(spark, path, M.strip_trailing_stubs)
 
 
-@query()
+def _clean_sql(base):
+    """SQL: all cleaning steps on ``base``, a query of (page_id, content)."""
+    tidy = "regexp_replace(regexp_replace(regexp_replace(content, E'\\n{3,}', E'\\n\\n', 'g'), '!\\[([^\\]]*)\\]\\([\\t\\n\\v\\f\\r ]*\\)', '', 'g'), '\\[([^\\]]+)\\]\\([\\t\\n\\v\\f\\r ]*\\)', '\\1', 'g')"
+    return f"with base as ({base}), u as (select page_id, {_ui('content')} as content from base), " + _dedup_steps("u", "d") + ", " + _stub_steps("d", "e") + f" select page_id, {tidy} as content from e"
+
+
+@query("select page_id, md5(content) as digest from (" + _clean_sql("select page_id, content from page_results where content is not null") + ")")
 def md_clean(spark, path):
     return _md(spark, path, M.clean)
 
@@ -345,6 +358,10 @@ def _book(spark, path):
 
 
 _BOOK = "with pages as (select source as book, row_number() over (partition by source order by page_no nulls first, doc_id) - 1 as page_no, coalesce(text, '') as text from documents), "
+def _lined(pages):
+    return pages.select("book", "page_no", P.page_lines(F.col("text")).alias("lines"))
+
+
 _BLINES = _BOOK + f"""raw as (select book, page_no, generate_subscripts(ls, 1) - 1 as line_no, unnest(ls) as line from (select book, page_no, {_lines('text')} as ls from pages)),
 full_lines as (select *, count(*) over (partition by book, page_no) as n, row_number() over (partition by book, page_no order by line_no) as rank from raw where not {_blank('line')}),
 zones as (select *, n - rank + 1 as back, least(5, n // 2) as zone, lower(trim(regexp_replace(regexp_replace(line, '[0-9]', ' ', 'g'), '{_WS}+', ' ', 'g'))) as sig from full_lines),
@@ -354,30 +371,72 @@ sizes as (select book, count(*) as pages from pages group by book) """
 @query(_BLINES + ", ends as (select book, true as top, sig from zones where rank <= zone and sig <> '' union all select book, false, sig from zones where back <= zone and sig <> '') select e.book, top, sig, count(*) as uses from ends e join sizes s on e.book = s.book where s.pages >= 4 group by e.book, top, sig, s.pages having count(*) >= ceil(0.6 * s.pages - 1e-9)")
 def clean_frequent_edges(spark, path):
     pages = _book(spark, path)
-    return P.frequent_edges(P.to_lines(pages), P.book_sizes(pages))
+    return P.frequent_edges(_lined(pages), P.book_sizes(pages))
 
 
 @query(_BLINES + "select book, page_no::bigint as page_no, line_no::bigint as line_no, sig from zones where rank <= zone or back <= zone")
 def clean_zones(spark, path):
-    ls = P.to_lines(_book(spark, path)).where("rank <= zone or back <= zone")
+    ls = P.edge_lines(_lined(_book(spark, path)))
     return ls.select("book", F.col("page_no").cast("bigint").alias("page_no"), F.col("line_no").cast("bigint").alias("line_no"), T.signature(F.col("line")).alias("sig"))
 
 
 @query(_BLINES + r", nums as (select book, page_no, line_no, try_cast(trim(line) as int) - page_no as start from zones where regexp_matches(line, '^\s*[0-9]{1,4}\s*$')), firsts as (select book, start, page_no, min(line_no) as line_no from nums where start between 0 and 5 group by all), score as (select f.book, start, count(*) as hits from firsts f join sizes s on f.book = s.book where s.pages >= 3 group by f.book, start, s.pages having count(*) >= ceil(0.6 * s.pages - 1e-9)), best as (select book, arg_max(start, hits * 10 - start) as start from score group by book) select f.book, f.page_no::bigint as page_no, f.line_no::bigint as line_no from firsts f join best b on f.book = b.book and f.start = b.start")
 def clean_sequential(spark, path):
     pages = _book(spark, path)
-    return P.sequential_numbers(P.to_lines(pages), P.book_sizes(pages)).select("book", F.col("page_no").cast("bigint").alias("page_no"), F.col("line_no").cast("bigint").alias("line_no"))
+    return P.sequential_numbers(_lined(pages), P.book_sizes(pages)).select("book", F.col("page_no").cast("bigint").alias("page_no"), F.col("line_no").cast("bigint").alias("line_no"))
 
 
-@query()
+_NOTES = r""", m as (select book, page_no, line_no, regexp_replace(line, '\[[0-9]{1,3}\]', '', 'g') as line from {src}),
+nf as (select *, regexp_matches({trim}, '^[0-9]{1,3}[.)][\t\n\v\f\r ]') as note from m),
+nl as (select *, max(case when note then line_no end) over (partition by book, page_no) as last from nf),
+ng as (select *, coalesce(max(case when not note and line_no < last then line_no end) over (partition by book, page_no), -1) as gap from nl),
+nr as (select *, coalesce(max(case when line_no = gap and regexp_matches(line, '^[\t\n\v\f\r ]*[-_]{3,}[\t\n\v\f\r ]*$') then 1 end) over (partition by book, page_no), 0) as rule from ng),
+noted as (select book, page_no, line_no, line from nr where last is null or line_no <= gap - rule) """
+
+
+def _notes(src):
+    return _NOTES.replace("{src}", src).replace("{trim}", _trim("line"))
+
+
+@query(_BLINES + _notes("raw") + "select p.book, p.page_no::bigint as page_no, md5(coalesce(t.text, '')) as digest from pages p left join (select book, page_no, string_agg(line, E'\\n' order by line_no) as text from noted group by all) t on p.book is not distinct from t.book and p.page_no = t.page_no")
 def clean_footnotes(spark, path):
-    pages = _book(spark, path)
-    return P.rejoin(P.remove_footnotes(P.to_lines(pages)), pages).select("book", "page_no", F.md5("text").alias("digest"))
+    return _lined(_book(spark, path)).select("book", F.col("page_no").cast("bigint").alias("page_no"), F.md5(F.array_join(P.remove_footnotes(F.col("lines")), "\n")).alias("digest"))
 
 
-@query()
+_NUMBERS = r"(^\s*[0-9]{1,4}\s*$|(?i:^\s*page\s+[0-9]{1,4}\s*$)|^\s*[-–—]\s*[0-9]{1,4}\s*[-–—]\s*$|(?i:^\s*[0-9]{1,4}\s+of\s+[0-9]{1,4}\s*$)|(?i:^\s*[ivxlcdm]+\s*$))"
+_LEGAL = r"(?i)(©|\bcopyright\b|\ball rights reserved\b|\bconfidential\b|\bdraft\s*[-–—]\s*do not distribute\b)"
+
+
+def _zoned(src, out):
+    """SQL: the non-blank lines of ``src`` with their rank from both ends and the size of the zones."""
+    return f"{out}_f as (select *, count(*) over (partition by book, page_no) as n, row_number() over (partition by book, page_no order by line_no) as rank from {src} where not {_blank('line')}), {out} as (select *, rank <= least(5, n // 2) as in_top, n - rank + 1 <= least(5, n // 2) as in_bottom from {out}_f)"
+
+
+def _book_sql(base):
+    """SQL: cleaned pages (book, page_no, text) of ``base``, a query of (book, page_no, text) with pages numbered from 0."""
+    sig = f"lower(trim(regexp_replace(regexp_replace(line, '[0-9]', ' ', 'g'), '{_WS}+', ' ', 'g')))"
+    gone = "(select 1 from {t} g where g.book is not distinct from r.book and g.page_no = r.page_no and g.line_no = r.line_no)"
+    return f"""with pages as ({base}), raw as (select book, page_no, generate_subscripts(ls, 1) - 1 as line_no, unnest(ls) as line from (select book, page_no, {_lines('text')} as ls from pages)),
+sizes as (select book, count(*) as pages from pages group by book), {_zoned('raw', 'z')},
+ends as (select book, true as top, {sig} as sig from z where in_top union all select book, false, {sig} from z where in_bottom),
+freq as (select e.book, top, sig from ends e join sizes s on e.book = s.book where s.pages >= 4 and sig <> '' group by e.book, top, sig, s.pages having count(*) >= ceil(0.6 * s.pages - 1e-9)),
+heads as (select z.book, page_no, line_no from z join freq f on z.book = f.book and f.sig = {sig} and ((f.top and in_top) or (not f.top and in_bottom))),
+a as (select * from raw r where not exists {gone.replace('{t}', 'heads')}), {_zoned('a', 'y')},
+nums as (select book, page_no, line_no, trim(line)::int - page_no as start from a where regexp_matches(line, '^[\\t\\n\\v\\f\\r ]*[0-9]{{1,4}}[\\t\\n\\v\\f\\r ]*$')),
+firsts as (select book, start, page_no, min(line_no) as line_no from nums where start between 0 and 5 group by all),
+score as (select f.book, start, count(*) as hits from firsts f join sizes s on f.book = s.book where s.pages >= 3 group by f.book, start, s.pages having count(*) >= ceil(0.6 * s.pages - 1e-9)),
+best as (select book, arg_max(start, hits * 10 - start) as start from score group by book),
+numbers as (select f.book, f.page_no, f.line_no from firsts f join best b on f.book = b.book and f.start = b.start union all select book, page_no, line_no from y where (in_top or in_bottom) and regexp_matches(line, '{_NUMBERS}')),
+b as (select * from a r where not exists {gone.replace('{t}', 'numbers')}){_notes('b')}, {_zoned('noted', 'x')},
+legal as (select book, page_no, line_no from x where (in_top or in_bottom) and regexp_matches(line, '{_LEGAL}')),
+c as (select * from noted r where not exists {gone.replace('{t}', 'legal')}),
+made as (select book, page_no, {_trim("regexp_replace(string_agg(regexp_replace(line, '^[ \\t\\r]+$', ''), E'\\n' order by line_no), E'\\n{3,}', E'\\n\\n', 'g')").replace('{3,}', '{3,}')} as text from c group by all)
+select book, row_number() over (partition by book order by page_no) - 1 as page_no, text from made where text <> ''"""
+
+
+@query("select book, page_no::bigint as page_no, md5(text) as digest from (" + _book_sql("select source as book, row_number() over (partition by source order by page_no nulls first, doc_id) - 1 as page_no, coalesce(text, '') as text from documents") + ")")
 def clean_full(spark, path):
-    return P.clean_pages(_book(spark, path), cut=written).select("book", "page_no", F.md5("text").alias("digest"))
+    return P.clean_pages(_book(spark, path)).select("book", F.col("page_no").cast("bigint").alias("page_no"), F.md5("text").alias("digest"))
 
 
 @query(_BOOK + "b as (select book, string_agg(case when n > 1 then '## Page ' || (page_no + 1) || E'\\n\\n' || text else text end, E'\\n\\n' order by page_no) as body from (select *, count(*) over (partition by book) as n from pages) group by book) select book, md5('# ' || book || E'\\n\\n' || body) as digest from b")

@@ -4,16 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of this machine only where the session names none."""
+    """The folder that spark.checkpoint.dir names.
+
+    One of this machine stands in only where all executors run in the driver's
+    own process; on a cluster that names none this is an error, as each
+    executor would write to its own disk.
+    """
     sc = spark.sparkContext
     named = sc._jsc.sc().getCheckpointDir()
     if not named.isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="leafmill-"))
+        to = sc.getConf().get("spark.checkpoint.dir")
+        if not to and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(to or tempfile.mkdtemp(prefix="leafmill-"))
         named = sc._jsc.sc().getCheckpointDir()
     return named.get()
 
@@ -26,3 +37,21 @@ def written(df: DataFrame) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with the rank from 0 of each row within its group, by ``order`` (nulls first).
+
+    Rows are range-partitioned by group and order and written once; ranks are
+    the places in a partition plus the sizes of the partitions before it, so a
+    group of any size is spread over tasks.  Null is a group.
+    """
+    keys = [*group, *order]
+    placed = df.repartitionByRange(*(F.col(c).asc_nulls_first() for c in keys)).sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in keys))
+    placed = written(placed.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    runs = placed.groupBy(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    w = Window.partitionBy(*([f"_g{i}" for i in range(len(group))] or [F.lit(1)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition that holds the group
+    base = runs.select("*", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    on = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)], part == F.col("_part"))
+    return placed.join(base, on).select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(name))
