@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from functools import reduce
 from operator import or_
 
@@ -17,7 +18,7 @@ MIME_TYPES = ["application/javascript", "application/ecmascript", "application/j
 MIME_REJECTED = ["text/html", "application/xhtml+xml"]
 TRANSIENT_TEXTS = ["timeout", "timed out", "connection refused", "dns", "connect"]
 DISK_TEXTS = ["permission denied", "no space", "read-only", "os error 28", "os error 5", "os error 30"]
-EPUB_IMAGES = {"image/jpeg": "jpg", "image/png": "png", "image/gif": "gif", "image/svg+xml": "svg", "image/webp": "webp"}
+EPUB_IMAGES = {"image/jpeg": "jpg", "image/jpg": "jpg", "image/png": "png", "image/gif": "gif", "image/svg+xml": "svg", "image/webp": "webp"}
 
 
 def is_private(url: Column, resolved: Column | None = None) -> Column:
@@ -39,6 +40,19 @@ def is_private(url: Column, resolved: Column | None = None) -> Column:
     return F.coalesce(out, F.lit(True))
 
 
+def private_host(host: str) -> bool:
+    """The same test for one host, before a crawl is planned."""
+    h = host.lower()
+    if h in LOCAL_NAMES or h.endswith((".local", ".localhost")):
+        return True
+    try:
+        a = ipaddress.ip_address(h.strip("[]"))
+    except ValueError:
+        return False
+    a = getattr(a, "ipv4_mapped", None) or a
+    return a.is_loopback or a.is_link_local or a.is_unspecified or (a.is_private and (a.version == 6 or any(a in ipaddress.ip_network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16"))))
+
+
 def is_allowed_mime(c: Column) -> Column:
     """Types of assets that may be stored; a missing type is allowed, pages are not."""
     t = F.lower(F.trim(F.element_at(F.split(F.coalesce(c, F.lit("")), ";"), 1)))

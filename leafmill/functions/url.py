@@ -52,8 +52,9 @@ def asset_path(c: Column) -> Column:
     return F.when(host(c).isNotNull(), F.concat_ws("/", host(c), F.when(F.size(segs) == 0, "index.asset").otherwise(F.array_join(segs, "/"))))
 
 
-def output_dir(base: str, c: Column) -> Column:
-    return F.concat(F.lit(base.rstrip("/") + "/"), F.coalesce(host(c), F.lit("unknown")))
+def output_dir(base: Column | str, c: Column) -> Column:
+    base = F.lit(base) if isinstance(base, str) else base
+    return F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), F.coalesce(host(c), F.lit("unknown")))
 
 
 def path_prefix(c: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,8 +56,78 @@ def dashboard(jobs: DataFrame, now: str, sizes: DataFrame | None = None) -> Data
     return j.agg(total.alias("jobs"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("pages_saved"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("total_size_bytes"), F.coalesce(running, completed, F.lit(0.0)).alias("velocity"), F.coalesce(F.try_divide(F.count_if(is_("failed")) * 100.0, total), F.lit(0.0)).alias("fail_rate"))
 
 
+def list_batches(active: DataFrame, stored: DataFrame) -> DataFrame:
+    """Active batches and the stored ones that are not active, newest first."""
+    return list_union(active, stored).orderBy(F.desc_nulls_last("created_at"), "id")
+
+
+def matching_jobs(jobs: DataFrame, status: str | None = None, text: str = "") -> DataFrame:
+    """Jobs of a status (``batch``: those of a batch) that hold a text in url, id or batch id, in any case."""
+    out = jobs.where("batch_id is not null" if status == "batch" else F.col("status") == status) if status else jobs
+    low = text.lower()
+    return out.where(reduce(or_, [F.lower(F.coalesce(c, F.lit(""))).contains(low) for c in ("url", "id", "batch_id")])) if text else out
+
+
+def history_groups(jobs: DataFrame, batches: DataFrame, status: str | None = None, text: str = "") -> DataFrame:
+    """(kind, id, url, status, sort_key, children) of batches and single jobs, newest first.
+
+    A batch stays if it fits itself, by status and by a text in its id, name or
+    urls, or if one of its jobs does; ``children`` counts those that do.
+    """
+    fits = matching_jobs(jobs, status, text)
+    kids = fits.where("batch_id is not null").groupBy(F.col("batch_id").alias("id")).agg(F.count(F.lit(1)).alias("children"))
+    b = batches.join(kids, "id", "left").withColumn("children", F.coalesce("children", F.lit(0)))
+    any_child = F.col("children") > 0
+    if status and status != "batch":
+        b = b.where((F.col("status") == status) | any_child)
+    if text:
+        own = F.exists(F.concat(F.array("id", F.coalesce("name", F.lit(""))), F.coalesce("urls", F.array().cast("array<string>"))), lambda x: F.lower(x).contains(text.lower()))
+        b = b.where(F.coalesce(own, F.lit(False)) | any_child)
+    many = b.select(F.lit("batch").alias("kind"), "id", F.col("name").alias("url"), "status", F.coalesce("start_time", "created_at", F.lit("")).alias("sort_key"), "children")
+    single = fits.where("batch_id is null").select(F.lit("job").alias("kind"), "id", "url", "status", F.coalesce("start_time", "end_time", F.lit("")).alias("sort_key"), F.lit(0).cast("bigint").alias("children"))
+    return many.unionByName(single).orderBy(F.desc("sort_key"), "kind", "id")
+
+
+def filter_pages(pages: DataFrame, text: str = "", bookmarks: DataFrame | None = None, matches: DataFrame | None = None) -> DataFrame:
+    """Pages (url, title) among the bookmarks (url), if given, and among the search matches (url), if given, else with a text in title or url."""
+    out = pages if bookmarks is None else pages.join(bookmarks.select("url").distinct(), "url", "left_semi")
+    if matches is not None:
+        return out.join(matches.select("url").distinct(), "url", "left_semi")
+    low = text.lower()
+    return out.where(F.lower(F.coalesce("title", F.lit(""))).contains(low) | F.lower(F.coalesce("url", F.lit(""))).contains(low)) if text else out
+
+
+def total_links(jobs: DataFrame) -> DataFrame:
+    """(id, links): links of all pages of each job."""
+    return jobs.select("id", F.aggregate(F.coalesce("results", F.array().cast(jobs.schema["results"].dataType)), F.lit(0).cast("bigint"), lambda a, r: a + F.coalesce(r["links_count"], F.lit(0))).alias("links"))
+
+
+def display(jobs: DataFrame) -> DataFrame:
+    """(id, short_id, url, label): what lists of pages show, the first eight characters of the id, and the title of each page or else its url."""
+    return jobs.select("id", F.substring("id", 1, 8).alias("short_id"), F.explode("results").alias("r")).select("id", "short_id", "r.url", F.coalesce(F.when(F.col("r.title") != "", F.col("r.title")), "r.url").alias("label"))
+
+
+def template_error(name: Column, url: Column) -> Column:
+    """Why a template must not be saved; null if it may be."""
+    return F.when(ws_trim(F.coalesce(name, F.lit(""))) == "", "Template name must not be empty").when(~F.coalesce(url, F.lit("")).rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s]+$"), "Template URL is invalid")
+
+
+def save_templates(store: DataFrame, rows: DataFrame) -> DataFrame:
+    """A store of templates with valid rows put in under trimmed names; rows that must not be saved are left out."""
+    good = rows.where(template_error(F.col("name"), F.col("url")).isNull()).withColumn("name", ws_trim(F.col("name")))
+    return store.join(good.select("id"), "id", "left_anti").unionByName(good, allowMissingColumns=True)
+
+
+def persist_due(events: DataFrame, pages: int = 50, seconds: int = 10) -> DataFrame:
+    """(job_id, event_id) of the page events at which a job is written to its store: each ``pages`` pages, and the first of each further ``seconds`` seconds."""
+    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
+    at = events.select("job_id", "event_id", "ts", F.row_number().over(w).alias("n"), F.floor((F.unix_micros("ts") - F.min(F.unix_micros("ts")).over(Window.partitionBy("job_id"))) / (seconds * 1_000_000)).alias("slot"))
+    at = at.withColumn("was", F.lag("slot").over(w))
+    return at.where((F.col("n") % pages == 0) | (F.col("slot") > F.col("was"))).select("job_id", "event_id")
+
+
 def history(jobs: DataFrame, batches: DataFrame, status: str | None = None, text: str = "") -> DataFrame:
-    """(kind, id, url, status, sort_key) of single jobs and batches, newest first; filtered by status (or ``batch``) and by a text in url, id or batch id."""
+    """(kind, id, url, status, sort_key) of single jobs and batches, newest first; filtered by status (or ``batch``) and by a text in url or id."""
     single = jobs.where("batch_id is null").select(F.lit("job").alias("kind"), "id", "url", "status", F.coalesce("start_time", "end_time", F.lit("")).alias("sort_key"))
     many = batches.select(F.lit("batch").alias("kind"), "id", F.col("name").alias("url"), "status", F.coalesce("start_time", "created_at", F.lit("")).alias("sort_key"))
     out = single.unionByName(many)
@@ -129,14 +202,25 @@ def site_tree(pages: DataFrame, url: str = "url", seq: str = "page_id") -> DataF
 
 
 def delete_cascade(batches: DataFrame, jobs: DataFrame, batch_id: str) -> tuple[DataFrame, DataFrame]:
-    """Batches and jobs without a batch and its children."""
-    kids = batches.where(F.col("id") == batch_id).select(F.explode("child_job_ids").alias("id"))
-    return batches.where(F.col("id") != batch_id), jobs.join(kids, "id", "left_anti")
+    """Batches and jobs without a batch and the jobs that belong to it."""
+    return batches.where(F.col("id") != batch_id), jobs.where(~F.col("batch_id").eqNullSafe(batch_id))
 
 
 def log_lines(events: DataFrame) -> DataFrame:
-    """(event_id, level, line): how events read in a console."""
+    """(event_id, level, line): how events read in a console; both spellings of the event types are known."""
     kind = F.col("event_type")
-    level = F.coalesce(F.lower("level"), F.when(F.lower(F.coalesce("status", F.lit(""))) == "failed", "error").otherwise("info"))
-    text = F.coalesce(F.col("message"), F.concat_ws(" ", kind, F.col("status"), F.col("page.url")))
-    return events.select("event_id", level.alias("level"), text.alias("line"))
+    said = lambda c, other="": F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit(other))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    child = F.when(F.col("current_job_id") != "", F.concat(F.lit(" (child "), F.substring("current_job_id", 1, 8), F.lit(")"))).otherwise("")
+    line = (
+        F.when(kind.isin("progress", "jobProgress"), F.concat(F.lit("Crawling "), said("progress.current_url", "..."), F.lit(" (depth "), count("progress.depth"), F.lit("/"), count("progress.max_depth"), F.lit(")")))
+        .when(kind.isin("pageComplete", "pageCrawled"), F.concat(F.lit("Completed: "), F.coalesce("page.url", F.lit("undefined")), F.lit(" ("), said("page.title", "no title"), F.lit(")")))
+        .when(kind == "error", F.concat(F.lit("Error: "), said("message", "Unknown error")))
+        .when(kind == "log", said("message"))
+        .when(kind.isin("jobStatusChanged", "jobStatus"), F.concat(F.lit("Job status: "), said("status")))
+        .when(kind.isin("batchStatusChanged", "batchStatus"), F.concat(F.lit("Batch status: "), said("status")))
+        .when(kind == "batchProgress", F.concat(F.lit("Batch progress: "), count("current_index"), F.lit("/"), count("total"), child))
+        .otherwise("Unknown event")
+    )
+    level = F.when(kind == "error", "error").when(kind.isin("pageComplete", "pageCrawled"), "success").otherwise("info")
+    return events.select("event_id", level.alias("level"), line.alias("line"))

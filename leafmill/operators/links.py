@@ -6,14 +6,16 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, safety
 from ..functions import url as U
+from ..plans.shared import ranked, written
 
-#: Most urls that wait in a crawl.
+#: Most urls that wait in a crawl (a parameter of ``crawl``).
 QUEUE = 50_000
 
 
@@ -35,7 +37,18 @@ class CrawlConfig:
     ssrf_protection: bool = True
     profile: str | None = None
 
-    def check(self) -> None:
+    def check(self, seed: str | None = None) -> None:
+        """Raise ValueError for a configuration, or a seed, that must not be crawled."""
+        if seed is not None:
+            try:
+                parts = urlsplit(seed.strip())
+                host = parts.hostname
+            except ValueError as e:
+                raise ValueError(f"invalid url: {e}") from e
+            if parts.scheme not in ("http", "https") or not host:
+                raise ValueError("the start url needs the scheme http or https and a host")
+            if self.ssrf_protection and safety.private_host(host):
+                raise ValueError(f"the start url {seed!r} is private; turn ssrf_protection off to allow it")
         if self.max_depth < 1 or self.page_limit < 1:
             raise ValueError("max_depth and page_limit must be at least 1")
         if not self.headless_strategy:
@@ -85,7 +98,7 @@ def extract(pages: DataFrame, key: str = "page_id", text: str = "html", url: str
 
 def listed(pages: DataFrame, key: str = "page_id", links: str = "links", url: str = "url") -> DataFrame:
     """(key, pos, link, resolved) of the links that pages list, relative ones resolved against the page."""
-    return pages.select(F.col(key), F.col(url).alias("_base"), F.posexplode(links).alias("pos", "link")).withColumn("resolved", F.when(U.is_valid_url(F.col("link")), F.col("link")).otherwise(U.resolve(F.col("_base"), F.col("link")))).drop("_base")
+    return pages.select(F.col(key), F.col(url).alias("_base"), F.posexplode(links).alias("pos", "link")).withColumn("resolved", F.when(U.is_valid_url(F.col("link")), F.regexp_replace("link", r"^(https?://[^/?#]+)(?=$|[?#])", "$1/")).otherwise(U.resolve(F.col("_base"), F.col("link")))).drop("_base")
 
 
 def parse_robots(robots: DataFrame) -> DataFrame:
@@ -127,30 +140,31 @@ def admit(links: DataFrame, config: CrawlConfig, start_host: str | None, url: st
     return out
 
 
-def crawl(edges: DataFrame, pages: DataFrame, seed: str, config: CrawlConfig, cut) -> DataFrame:
+def crawl(edges: DataFrame, pages: DataFrame, seed: str, config: CrawlConfig, queue: int | None = QUEUE) -> DataFrame:
     """(url, depth, seq) of the pages that a crawl from ``seed`` fetches, breadth first.
 
     ``edges`` holds (src, pos, link), ``pages`` the urls that answer.  Each
     depth is one join of the frontier with the edges, links are admitted and
-    the visited ones anti-joined; ``cut`` writes each frontier to the shared
-    folder.  The limit is exact, in the order (depth, seq).
+    the visited ones anti-joined; each frontier is written to the shared
+    folder and ranked without a task that holds it all.  At most ``queue`` urls
+    of a depth wait (None: no bound).  The limit is exact, in the order
+    (depth, seq).
     """
-    config.check()
+    config.check(seed)
     start = U.resolve_one(None, seed)
-    from urllib.parse import urlsplit
-
     host = urlsplit(start or seed).hostname
     spark = edges.sparkSession
     have = pages.select("url").distinct()
     frontier = spark.createDataFrame([(seed, 0, 0)], "url string, depth int, seq bigint").join(have, "url", "left_semi")
-    done = visited = cut(frontier)
+    done = visited = written(frontier)
     frontier = done
     for depth in range(1, config.max_depth + 1):
         out = edges.join(frontier.select(F.col("url").alias("src"), "seq"), "src")
         out = admit(out, config, host).groupBy(F.col("link").alias("url")).agg(F.min(F.struct("seq", "pos")).alias("_o")).join(visited.select("url"), "url", "left_anti")
-        known = out.join(have, "url", "left_semi").orderBy("_o", "url").limit(QUEUE)
-        ranked = known.withColumn("seq", F.row_number().over(Window.orderBy("_o", "url")).cast("bigint")).select("url", F.lit(depth).alias("depth"), "seq")  # at most QUEUE rows
-        frontier = cut(ranked)
+        known = ranked(out.join(have, "url", "left_semi"), [], ["_o", "url"], "seq")
+        if queue is not None:
+            known = known.where(F.col("seq") < queue)
+        frontier = written(known.select("url", F.lit(depth).alias("depth"), (F.col("seq") + 1).alias("seq")))
         if frontier.isEmpty():
             break
         visited = done = done.unionByName(frontier)

@@ -10,17 +10,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
-#: Bounds of an expansion: urls, sub-sitemaps, depth, bytes of a body.
+from ..plans.shared import written
+
+#: Bounds of an expansion (parameters of ``expand``): urls, sub-sitemaps, depth, bytes of a body.
 URLS, SUBS, DEPTH, BYTES, WARN = 10_000, 50, 2, 50 * 1024 * 1024, 1000
 _ENTRY = StructType([StructField("url", StringType()), StructField("lastmod", StringType()), StructField("priority", FloatType())])
 SCHEMA = StructType([StructField("kind", StringType()), StructField("entries", ArrayType(_ENTRY)), StructField("subs", ArrayType(StringType())), StructField("error", StringType())])
 
 
 def unpack(url: str, body: bytes | None, most: int = BYTES) -> bytes | None:
-    """A body, gunzipped if it is compressed; None if it is larger than allowed."""
+    """A body, gunzipped if it or its url says that it is compressed; None if it is larger than allowed."""
     if body is None or len(body) > most:
         return None
-    if body[:2] == b"\x1f\x8b":
+    if body[:2] == b"\x1f\x8b" or (url or "").lower().endswith(".gz"):
         d = zlib.decompressobj(31)
         out = d.decompress(body, most + 1)
         return None if len(out) > most else out
@@ -81,23 +83,32 @@ def parse(url: pd.Series, body: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "entries", "subs", "error"])
 
 
-def expand(bodies: DataFrame, roots: list[str], cut) -> tuple[DataFrame, DataFrame]:
-    """(entries, sources) of sitemaps (url, body), index files followed to depth 2.
+def expand(bodies: DataFrame, roots: list[str], urls: int | None = URLS, subs: int | None = SUBS, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(entries, sources) of sitemaps (url, body), index files followed to a depth.
 
-    Entries are distinct by url, at most 10,000; at most 50 sub-sitemaps are
-    followed.  ``sources`` has a row for each sitemap read with its depth and
-    error, if any; one that fails leaves the others whole.
+    Entries are distinct by url; the first ``urls`` of them are kept, and
+    ``truncated`` says in each row whether more were there.  At most ``subs``
+    sub-sitemaps of a depth are followed (None: all).  ``sources`` has a row for
+    each sitemap read with its depth and error, if any; one that fails leaves
+    the others whole.
     """
     spark = bodies.sparkSession
-    parsed = cut(bodies.select("url", parse("url", "body").alias("p")).select("url", "p.*"))
+    parsed = written(bodies.select("url", parse("url", "body").alias("p")).select("url", "p.*"))
     level = spark.createDataFrame([(r,) for r in roots], "url string")
-    seen = cut(parsed.join(level, "url").withColumn("depth", F.lit(0)))
-    for depth in range(1, DEPTH + 1):
-        subs = seen.where(F.col("depth") == depth - 1).select(F.explode("subs").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").orderBy("url").limit(SUBS)
-        seen = cut(seen.unionByName(parsed.join(subs, "url").withColumn("depth", F.lit(depth))))
+    seen = written(parsed.join(level, "url").withColumn("depth", F.lit(0)))
+    for d in range(1, depth + 1):
+        below = seen.where(F.col("depth") == d - 1).select(F.explode("subs").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
+        below = below if subs is None else below.orderBy("url").limit(subs)
+        seen = written(seen.unionByName(parsed.join(below, "url").withColumn("depth", F.lit(d))))
     e = seen.select("depth", F.col("url").alias("source"), F.posexplode("entries").alias("pos", "e")).select("depth", "source", "pos", "e.*").where("url <> ''")
     first = e.groupBy("url").agg(F.min_by(F.struct("lastmod", "priority"), F.struct("depth", "source", "pos")).alias("v"), F.min(F.struct("depth", "source", "pos")).alias("o"))
-    return first.orderBy("o", "url").limit(URLS).select("url", "v.lastmod", "v.priority"), seen.select("url", "depth", "kind", "error")
+    if urls is not None:
+        first = written(first.orderBy("o", "url").limit(urls + 1))  # one more than is kept tells whether any were left out
+        more = first.count() > urls
+        first = first.orderBy("o", "url").limit(urls).withColumn("truncated", F.lit(more))
+    else:
+        first = first.withColumn("truncated", F.lit(False))
+    return first.select("url", "v.lastmod", "v.priority", "truncated"), seen.select("url", "depth", "kind", "error")
 
 
 def from_robots(robots: DataFrame) -> DataFrame:

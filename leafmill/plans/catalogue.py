@@ -158,9 +158,9 @@ def link_admission(spark, path):
     return L.admit(links, _CONFIG, HALVENOR)
 
 
-@query()
+@query(_L + f"select page_id, pos::int as pos, link, regexp_replace(link, '^(https?://[^/?#]+)($|[?#])', '\\1/\\2') as resolved from l where {_valid('link')}")
 def link_resolve(spark, path):
-    return L.listed(_t(spark, path, "page_results"))
+    return L.listed(_t(spark, path, "page_results")).where(U.is_valid_url(F.col("link")))  # relative links: link_resolve_cases
 
 
 @query(_L + f"select {_host('link')} as host, count(*) as links, count(distinct link) as distinct_links from l group by 1")
@@ -177,7 +177,7 @@ def crawl_bfs(spark, path):
     seed = p.where(F.col("url").like("https://docs.halvenor.example/%")).agg(F.min("url")).first()[0]
     edges = p.select(F.col("url").alias("src"), F.posexplode("links").alias("pos", "link"))
     config = L.CrawlConfig(max_depth=2, page_limit=L.QUEUE)
-    return L.crawl(edges, p.select("url"), seed or "https://docs.halvenor.example/", config, written).select("url", "depth")
+    return L.crawl(edges, p.select("url"), seed or "https://docs.halvenor.example/", config).select("url", "depth")
 
 
 _ROBOTS = "# rules\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /help/crawler\nDisallow: /help/\nDisallow: /kb/\nCrawl-delay: 1.5\nSitemap: https://docs.halvenor.example/map.xml\n"
@@ -344,10 +344,13 @@ def html_content(spark, path):
     return L.content_places(p, L.CrawlConfig()).select("page_id", F.md5("content").alias("digest"))
 
 
-@query()
+_TITLE = "coalesce(title, '')"
+
+
+@query(f"select page_id, {_trim(_TITLE)} as title from page_results")
 def html_titles(spark, path):
-    p = _t(spark, path, "page_results")
-    return p.select("page_id", html.title_udf(F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head></html>"))).alias("title"))
+    escaped = F.replace(F.replace(F.coalesce("title", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    return _t(spark, path, "page_results").select("page_id", html.title_udf(F.concat(F.lit("<html><head><title>"), escaped, F.lit("</title></head></html>"))).alias("title"))
 
 
 # --- page texts of books
@@ -439,25 +442,34 @@ def clean_full(spark, path):
     return P.clean_pages(_book(spark, path)).select("book", F.col("page_no").cast("bigint").alias("page_no"), F.md5("text").alias("digest"))
 
 
-@query(_BOOK + "b as (select book, string_agg(case when n > 1 then '## Page ' || (page_no + 1) || E'\\n\\n' || text else text end, E'\\n\\n' order by page_no) as body from (select *, count(*) over (partition by book) as n from pages) group by book) select book, md5('# ' || book || E'\\n\\n' || body) as digest from b")
+@query(_BOOK + "b as (select book, string_agg(case when n > 1 then '## Page ' || (page_no + 1) || E'\\n\\n' || text else text end, E'\\n\\n' order by page_no) as body from (select *, count(*) over (partition by book) as n from pages) group by book) select book, 0::bigint as part, md5('# ' || coalesce(book, '') || E'\\n\\n' || body) as digest from b")
 def import_books(spark, path):
-    return sinks.book(_book(spark, path)).select("book", F.md5("content").alias("digest"))
+    return sinks.book(_book(spark, path)).select("book", "part", F.md5("content").alias("digest"))
 
 
 # --- exports and trees
 
 
-@query(f"select coalesce({_host('url')}, 'unknown') as host, md5(string_agg(coalesce(content, ''), E'\\n\\n---\\n\\n' order by string_split(coalesce({_page_path('url')}, 'unnamed.md'), '/'), coalesce(content, ''))) as digest, count(*) as files from page_results group by 1")
+_PART = 100_000
+
+
+@query(f"""with f as (select coalesce({_host('url')}, 'unknown') as host, string_split(coalesce({_page_path('url')}, 'unnamed.md'), '/') as k, content from page_results),
+o as (select *, coalesce(sum(strlen(coalesce(content, '')) + 1) over (partition by host order by k nulls first, content nulls first rows between unbounded preceding and 1 preceding), 0)::bigint as at_byte from f)
+select host, at_byte // {_PART} as part, md5(string_agg(case when at_byte = 0 then '' else E'\\n\\n---\\n\\n' end || coalesce(content, ''), '' order by at_byte)) as digest from o group by 1, 2""")
 def merged_markdown(spark, path):
     files = sinks.pages_out(_t(spark, path, "page_results"))
-    n = files.groupBy("host").agg(F.count(F.lit(1)).alias("files"))
-    return sinks.merged(files, ["host"]).join(n, "host").select("host", F.md5("content").alias("digest"), "files")
+    parts = sinks.merged(files, ["host"], _PART)
+    return parts.select("host", "part", F.md5("content").alias("digest"))
 
 
-@query()
+_MD_TITLE = f"coalesce(nullif({_trim(chr(39).join(['regexp_extract(content, ', '(?m)^(?:# )+(.*)$', ', 1)']))}, ''), nullif({_trim(chr(39).join(['regexp_extract(content, ', '(?m)^(.*[^ \\t\\r\\n].*)\\n={3,}', ', 1)']))}, ''), "
+
+
+@query(f"with f as (select coalesce({_page_path('url')}, 'unnamed.md') as path, content from page_results) select path, path as source, {_MD_TITLE} regexp_extract(path, '([^/]+?)(\\.[^./]*)?$', 1)) as title, md5(content) as digest from f")
 def export_json(spark, path):
     files = sinks.pages_out(_t(spark, path, "page_results"))
-    return sinks.json_records(files).select("path", F.md5("json").alias("digest"))
+    record = sinks.json_records(files).select("path", F.from_json("json", "content string, source string, title string").alias("r"))
+    return record.select("path", "r.source", "r.title", F.md5("r.content").alias("digest"))
 
 
 @query(f"""with u as (select page_id as seq, case when {_host('url')} is not null then list_prepend({_host('url')}, list_filter(string_split({_path('url')}, '/'), lambda s: s <> '')) else [url] end as parts from page_results where url is not null),
@@ -579,7 +591,11 @@ def event_sessions(spark, path):
     return E.sessions(_events(spark, path)).select("job_id", F.unix_micros("start").alias("start_us"), "events")
 
 
-@query(_ONCE + "select event_id, coalesce(lower(level), case when lower(coalesce(status, '')) = 'failed' then 'error' else 'info' end) as level, coalesce(message, concat_ws(' ', event_type, status, page.url)) as line from d")
+@query(_ONCE + """select event_id, case event_type when 'error' then 'error' when 'pageCrawled' then 'success' else 'info' end as level, case event_type
+when 'jobProgress' then 'Crawling ' || coalesce(nullif(progress.current_url, ''), '...') || ' (depth ' || coalesce(progress.depth, 0) || '/' || coalesce(progress.max_depth, 0) || ')'
+when 'pageCrawled' then 'Completed: ' || coalesce(page.url, 'undefined') || ' (' || coalesce(nullif(page.title, ''), 'no title') || ')'
+when 'log' then coalesce(message, '') when 'jobStatus' then 'Job status: ' || coalesce(status, '') when 'batchStatus' then 'Batch status: ' || coalesce(status, '')
+when 'batchProgress' then 'Batch progress: ' || coalesce(current_index, 0) || '/' || coalesce(total, 0) || case when coalesce(current_job_id, '') <> '' then ' (child ' || left(current_job_id, 8) || ')' else '' end else 'Unknown event' end as line from d""")
 def event_log(spark, path):
     return J.log_lines(_events(spark, path))
 
@@ -613,10 +629,10 @@ def sitemap_parse(spark, path):
 # --- sources
 
 
-@query()
+@query("select page_id, coalesce(case when status between 200 and 299 then length(content) end, -1)::bigint as chars, coalesce(status between 500 and 599 or status = 408, false) as retry from page_results")
 def fetch_retry(spark, path):
     p = _t(spark, path, "page_results").select("page_id", F.col("content").alias("html"), F.lit(None).cast("string").alias("rendered"), "status")
-    return readers.fetched(p).select("page_id", F.length("body").alias("chars"), "retry")
+    return readers.fetched(p).select("page_id", F.coalesce(F.length("body").cast("bigint"), F.lit(-1)).alias("chars"), "retry")
 
 
 @query()
@@ -628,3 +644,6 @@ def convert_pages(spark, path):
 @query(_ONCE + "select event_id, event_type, status from d where lower(status) in ('completed', 'failed', 'cancelled')")
 def event_terminal(spark, path):
     return _events(spark, path).where(safety.is_terminal(F.col("status"))).select("event_id", "event_type", "status")
+
+
+from . import cases  # noqa: E402, F401 - registers its queries

@@ -7,7 +7,7 @@ import uuid
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -39,19 +39,21 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
-    """``df`` with the rank from 0 of each row within its group, by ``order`` (nulls first).
+def ranked(df: DataFrame, group: list[str], order: list, name: str, weight: Column | None = None) -> DataFrame:
+    """``df`` with the rank from 0 of each row within its group, by ``order`` (nulls first); with ``weight``, the sum of the weights before the row instead.
 
-    Rows are range-partitioned by group and order and written once; ranks are
-    the places in a partition plus the sizes of the partitions before it, so a
+    Rows are range-partitioned by group and order and written once; a rank is
+    the place in a partition plus the sizes of the partitions before it, so a
     group of any size is spread over tasks.  Null is a group.
     """
-    keys = [*group, *order]
-    placed = df.repartitionByRange(*(F.col(c).asc_nulls_first() for c in keys)).sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in keys))
-    placed = written(placed.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    runs = placed.groupBy(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    w = Window.partitionBy(*([f"_g{i}" for i in range(len(group))] or [F.lit(1)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition that holds the group
-    base = runs.select("*", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    on = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)], part == F.col("_part"))
-    return placed.join(base, on).select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first")).alias(name))
+    keys = [F.col(c).asc_nulls_first() if isinstance(c, str) else c.asc_nulls_first() for c in [*group, *order]]
+    placed = df.withColumn("_w", F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = written(placed.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    labels = [f"_g{i}" for i in range(len(group))]
+    runs = placed.groupBy(*(F.col(g).alias(x) for g, x in zip(group, labels)), F.col("_part").alias("_p")).agg(F.sum("_w").alias("_n"), F.min("_at").alias("_first"))
+    w = Window.partitionBy(*(labels or [F.lit(1)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition that holds the group
+    base = runs.select(*labels, "_p", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    on = reduce(and_, [F.col(g).eqNullSafe(F.col(x)) for g, x in zip(group, labels)], F.col("_part") == F.col("_p"))
+    within = Window.partitionBy(*group, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.col("_at") - F.col("_first") if weight is None else F.coalesce(F.sum("_w").over(within), F.lit(0))
+    return placed.join(base, on).select(*df.columns, (F.col("_before") + place).alias(name))

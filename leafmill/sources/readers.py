@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import re
 import zipfile
 from urllib.parse import unquote
 from xml.etree import ElementTree
@@ -70,25 +71,51 @@ def pdf_pages(texts: DataFrame, key: str = "path", text: str = "text") -> DataFr
     return texts.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\f", -1)).alias("page_no", "text"))
 
 
-def epub_chapters(body: bytes) -> tuple[str | None, list[tuple[int, str]]]:
-    """Title and (position, Markdown) of the chapters of an EPUB in spine order; images are named by their media type."""
-    z = zipfile.ZipFile(io.BytesIO(body))
-    local = lambda e: e.tag.rsplit("}", 1)[-1]
+def _local(e) -> str:
+    return e.tag.rsplit("}", 1)[-1]
+
+
+def _package(z: zipfile.ZipFile):
+    """Path, document, folder, title and items (id to href and media type) of the package of an EPUB."""
     box = ElementTree.fromstring(z.read("META-INF/container.xml"))
-    opf = next(e.attrib["full-path"] for e in box.iter() if local(e) == "rootfile")
-    doc, base = ElementTree.fromstring(z.read(opf)), posixpath.dirname(opf)
-    title = next((e.text for e in doc.iter() if local(e) == "title"), None)
-    items = {e.attrib["id"]: (e.attrib["href"], e.attrib.get("media-type", "")) for e in doc.iter() if local(e) == "item"}
+    opf = next(e.attrib["full-path"] for e in box.iter() if _local(e) == "rootfile")
+    doc = ElementTree.fromstring(z.read(opf))
+    title = next((e.text for e in doc.iter() if _local(e) == "title"), None)
+    items = {e.attrib["id"]: (e.attrib["href"], e.attrib.get("media-type", "")) for e in doc.iter() if _local(e) == "item"}
+    return opf, doc, posixpath.dirname(opf), title, items
+
+
+def epub_images(z: zipfile.ZipFile, opf: str, base: str, items: dict, title: str | None) -> list[tuple[str, str, str]]:
+    """(file name in the book, path below the output, name in the archive) of the images of an EPUB, numbered in the order of its manifest."""
+    stem = re.sub(r"[^\w.-]", "_", title or "book")
     out = []
-    for pos, ref in enumerate(e.attrib["idref"] for e in doc.iter() if local(e) == "itemref"):
+    for href, mime in items.values():
+        name = posixpath.normpath(posixpath.join(base, unquote(href)))
+        if mime.startswith("image/") and name in z.namelist():
+            out.append((posixpath.basename(name), f"images/{stem}_{len(out) + 1}.{EPUB_IMAGES.get(mime.lower(), 'bin')}", name))
+    return out
+
+
+def epub_image_files(body: bytes) -> list[tuple[str, bytes]]:
+    """(path below the output, bytes) of the images of an EPUB, to be written beside its text."""
+    z = zipfile.ZipFile(io.BytesIO(body))
+    opf, doc, base, title, items = _package(z)
+    return [(to, z.read(name)) for _, to, name in epub_images(z, opf, base, items, title)]
+
+
+def epub_chapters(body: bytes) -> tuple[str | None, list[tuple[int, str]]]:
+    """Title and (position, Markdown) of the chapters of an EPUB in spine order; images are referred to by their place below ``images``."""
+    z = zipfile.ZipFile(io.BytesIO(body))
+    opf, doc, base, title, items = _package(z)
+    out, images = [], epub_images(z, opf, base, items, title)
+    for pos, ref in enumerate(e.attrib["idref"] for e in doc.iter() if _local(e) == "itemref"):
         href = items.get(ref, (None, ""))[0]
         name = posixpath.normpath(posixpath.join(base, unquote(href or "")))
         if href and name in z.namelist():
-            html = z.read(name).decode("utf-8", "replace")
-            for iid, (src, mime) in items.items():
-                if mime.startswith("image/"):
-                    html = html.replace(posixpath.basename(src), f"{iid}.{EPUB_IMAGES.get(mime, 'bin')}")
-            out.append((pos, to_markdown(html) or ""))
+            md = to_markdown(z.read(name).decode("utf-8", "replace")) or ""
+            for original, local_path, _ in images:
+                md = md.replace(original, local_path)
+            out.append((pos, md))
     return title, out
 
 

@@ -88,8 +88,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def to_json(events: DataFrame) -> DataFrame:
-    """(event_id, json): events as they go out, nulls left out."""
-    return events.select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.col("job_id").alias("jobId"), F.col("batch_id").alias("batchId"), "status", "level", "message", "kind", F.col("current_index").alias("currentIndex"), "total", F.col("current_job_id").alias("currentJobId"))).alias("json"))
+    """(event_id, json): events as they go out in camel case, nulls left out."""
+    p, g = F.col("progress"), F.col("page")
+    progress = F.when(p.isNotNull(), F.struct(p["pages_crawled"].alias("pagesCrawled"), p["page_limit"].alias("pageLimit"), p["current_url"].alias("currentUrl"), p["depth"].alias("depth"), p["max_depth"].alias("maxDepth"), p["start_time"].alias("startTime")))
+    page = F.when(g.isNotNull(), F.struct(g["url"].alias("url"), g["title"].alias("title"), g["status"].alias("status"), g["links_count"].alias("linksCount")))
+    return events.select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.col("job_id").alias("jobId"), F.col("batch_id").alias("batchId"), "status", "level", "message", "kind", progress.alias("progress"), page.alias("page"), F.col("current_index").alias("currentIndex"), "total", F.col("current_job_id").alias("currentJobId"))).alias("json"))
 
 
 def auto_export(events: DataFrame, export: Callable[[str], None], checkpoint: str):

@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import jobs, links, markdown, pagetext, search, sitemap
-from leafmill.plans.shared import written
 from leafmill.sources import readers, sinks
 
 
@@ -91,9 +90,9 @@ def test_crawl(spark):
     h = "https://h.com/"
     edges = spark.createDataFrame([(h, 0, h + "a"), (h, 1, h + "b"), (h + "a", 0, h), (h + "a", 1, h + "c"), (h + "b", 0, h + "c"), (h + "c", 0, h + "d"), (h, 2, "https://other.com/"), (h + "b", 1, h + "missing")], "src string, pos int, link string")
     pages = spark.createDataFrame([(h,), (h + "a",), (h + "b",), (h + "c",), (h + "d",), ("https://other.com/",)], "url string")
-    got = [(r["url"], r["depth"]) for r in links.crawl(edges, pages, h, links.CrawlConfig(max_depth=2), written).collect()]
+    got = [(r["url"], r["depth"]) for r in links.crawl(edges, pages, h, links.CrawlConfig(max_depth=2)).collect()]
     assert got == [(h, 0), (h + "a", 1), (h + "b", 1), (h + "c", 2)]
-    assert links.crawl(edges, pages, h, links.CrawlConfig(max_depth=2, page_limit=2), written).count() == 2
+    assert links.crawl(edges, pages, h, links.CrawlConfig(max_depth=2, page_limit=2)).count() == 2
 
 
 def test_search(spark):
@@ -116,7 +115,7 @@ def test_sitemaps(spark):
 
     assert sitemap.unpack("x", gzip.compress(ok)) == ok and sitemap.unpack("x", gzip.compress(b"0" * 1000), 100) is None
     df = spark.createDataFrame([("https://h/i.xml", idx), ("https://h/s.xml", ok)], "url string, body binary")
-    entries, sources = sitemap.expand(df, ["https://h/i.xml"], written)
+    entries, sources = sitemap.expand(df, ["https://h/i.xml"])
     assert entries.count() == 2 and {r["url"]: r["depth"] for r in sources.collect()} == {"https://h/i.xml": 0, "https://h/s.xml": 1}
 
 
