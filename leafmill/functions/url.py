@@ -29,7 +29,7 @@ def path(c: Column) -> Column:
 
 def is_valid_url(c: Column) -> Column:
     """True for http and https urls with a host; null counts as invalid."""
-    return F.coalesce(scheme(c).isin("http", "https") & host(c).isNotNull() & ~host(c).rlike(r"[\s<>^|%]"), F.lit(False))
+    return F.coalesce(scheme(c).isin("http", "https") & host(c).isNotNull() & ~F.regexp_replace(host(c), r"^\[[0-9a-f:.]+\]$", "").rlike(r"[\s<>^|%\[\]]"), F.lit(False))
 
 
 def _segments(c: Column) -> Column:

@@ -50,7 +50,7 @@ def _path(c):
 
 
 def _valid(c):
-    return f"coalesce({_scheme(c)} in ('http', 'https') and {_host(c)} is not null and not regexp_matches({_host(c)}, '[\\s<>^|%]'), false)"
+    return f"coalesce({_scheme(c)} in ('http', 'https') and {_host(c)} is not null and not regexp_matches(regexp_replace({_host(c)}, '^\\[[0-9a-f:.]+\\]$', ''), '[\\s<>^|%\\[\\]]'), false)"
 
 
 def _segs(c):
