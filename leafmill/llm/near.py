@@ -7,8 +7,10 @@ the pigeonhole principle two pages whose fingerprints differ in
 fewer than ``BLOCKS`` symbols agree on a whole block; beyond that a pair at the
 threshold still shares one with a probability of more than 0.999.  Texts that
 share a block are joined on it, their fingerprints are compared by Hamming
-distance, and the pairs that are close enough are checked exactly.  Equal
-bodies are one text throughout and are expanded to pages at the end.
+distance, and the pairs that are close enough are checked exactly.  A block
+that many texts share is split into cells, each the pairs of two slices of its
+texts, so that no task meets all of them.  Equal bodies are one text
+throughout and are expanded to pages at the end.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ BLOCKS, WIDTH = 64, 3
 AGREE = 0.3
 #: Least agreement of the sketches (one bit of each symbol), tested in the join itself: a pair at the threshold lies 0.17 (5.9 deviations) above it.
 SKETCH_AGREE = 0.63
-#: Copies of one text up to which all are paired with each other, a larger class being linked through its first page; None pairs all of every class.
-COPIES: int | None = None
+#: Texts of a block that are compared in one place; a block that more texts share is compared in cells of so many texts each.
+HOT = 2000
+#: Texts that a partition remembers to give the blocks of copies once; beyond that it starts anew (the rest falls together in the shuffle).
+SEEN = 1_000_000
 #: Texts to be checked exactly whose ids are broadcast (32 MB at most); more are joined by a shuffle.
 MAP_SIDE = 2_000_000
 _K = BLOCKS * WIDTH
@@ -113,6 +117,8 @@ def _fingerprint_table(words: DataFrame, kind: str) -> DataFrame:
                 whole, sym = _fingerprints(part)
                 n = len(whole)
                 new = []
+                if len(seen) > SEEN:
+                    seen.clear()
                 for x in whole.tolist():
                     new.append(x not in seen)
                     seen.add(x)
@@ -141,17 +147,42 @@ def _agreeing(batches):
         yield batch.select(["a", "b"]).take(pa.array(ok))
 
 
+def _cells(rows: DataFrame, item: str) -> DataFrame:
+    """``rows`` (with k, the slices of their group; null for one) dealt by hash of ``item`` to a slice, one row for each cell (i, j) that holds the slice."""
+    dealt = rows.withColumn("slice", F.coalesce(F.pmod(F.xxhash64(F.lit("slice"), item), F.col("k")).cast("int"), F.lit(0)))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("k"), F.lit(1)) - 1)))
+    return dealt.withColumn("i", F.least("slice", "other")).withColumn("j", F.greatest("slice", "other")).drop("other", "k")
+
+
+def _meet():
+    """Rows of a cell that are compared there: those of different slices, or all where the cell is of one slice."""
+    return (F.col("slicea") != F.col("sliceb")) | (F.col("i") == F.col("j"))
+
+
+def _candidates(prints: DataFrame, hot: int | None = None) -> DataFrame:
+    """(a, b), a < b, of the texts that share a block and whose sketches are close.
+
+    The texts of a block with more than ``hot`` of them are dealt by hash to k
+    slices; the cell (i, j) holds the slices i and j and compares one with the
+    other, or a slice with itself where i = j.
+    """
+    blocks = prints.select("class", *_SKETCH, F.explode("blocks").alias("block"))
+    hot = hot or HOT
+    crowded = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("block", F.ceil(F.col("n") / hot).cast("int").alias("k"))
+    # one row for each text and cell: copies fall together in their partition and after the one shuffle by cell, which both sides of the join share
+    rows = _cells(blocks.join(crowded, "block", "left"), "class").repartition("block", "i", "j").dropDuplicates(["block", "i", "j", "class"])
+    a, b = (rows.select("block", "i", "j", F.col("slice").alias("slice" + x), F.col("class").alias(x), *(F.col(c).alias(c + x) for c in _SKETCH)) for x in "ab")
+    apart = sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in _SKETCH), F.lit(0))
+    return a.join(b, ["block", "i", "j"]).where((F.col("a") < F.col("b")) & _meet() & (apart <= int((1 - SKETCH_AGREE) * _K))).select("a", "b").distinct()
+
+
 def class_pairs(pages: DataFrame, key: str = "page_id", text: str = "content", similarity: float = SIMILARITY, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members (_id, class) of every page with a long enough body; pairs (a, b, similarity) of different texts, a < b."""
     kind = pages.schema[key].dataType.simpleString()
     words = written(body_words(pages, key, text, min_words))
     prints = written(_fingerprint_table(words, kind))
     members = prints.select("_id", "class")
-    # one row for each text and block: copies fall together in their partition and after the one shuffle by block, which both sides of the join share
-    rows = prints.select("class", *_SKETCH, F.explode("blocks").alias("block")).repartition("block").dropDuplicates(["block", "class"])
-    a, b = (rows.select("block", F.col("class").alias(x), *(F.col(c).alias(c + x) for c in _SKETCH)) for x in "ab")
-    apart = sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in _SKETCH), F.lit(0))
-    cand = written(a.join(b, "block").where((F.col("a") < F.col("b")) & (apart <= int((1 - SKETCH_AGREE) * _K))).select("a", "b").distinct())
+    cand = written(_candidates(prints))
     fp = prints.groupBy("class").agg(F.first("fp").alias("fp"), F.min("_id").alias("rep"))
     near = cand.join(fp.select(F.col("class").alias("a"), F.col("fp").alias("fp_a")), "a").join(fp.select(F.col("class").alias("b"), F.col("fp").alias("fp_b")), "b")
     near = written(near.select("a", "b", "fp_a", "fp_b").mapInArrow(_agreeing, "a bigint, b bigint"))
@@ -179,22 +210,26 @@ def class_pairs(pages: DataFrame, key: str = "page_id", text: str = "content", s
     return members, pairs
 
 
-def found(pages: DataFrame, key: str = "page_id", text: str = "content", **kw) -> DataFrame:
+def found(pages: DataFrame, key: str = "page_id", text: str = "content", copies: int | None = None, **kw) -> DataFrame:
     """(key_a, key_b), key_a < key_b, of each pair of near-duplicate pages.
 
     Null keys and null, blank and short bodies take no part.  All pairs come
-    out, whatever the number of copies of a text, unless ``COPIES`` names a
-    bound.
+    out, whatever the number of copies of a text.  ``copies`` may name a size
+    of class up to which all copies are paired with each other; the pages of a
+    larger one are then linked through its first page, and ``classes`` has the
+    membership from which the rest follows.
     """
     members, pairs = class_pairs(pages, key, text, **kw)
     sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("rep")).where("n > 1")
     many = members.join(sizes, "class")
-    small = many if COPIES is None else many.where(F.col("n") <= COPIES)
-    inner = small.select("class", F.col("_id").alias("x")).join(small.select("class", F.col("_id").alias("y")), "class").where("x < y").select("x", "y")
+    small = many if copies is None else many.where(F.col("n") <= copies)
+    dealt = _cells(small.select("class", "_id", F.ceil(F.col("n") / HOT).cast("int").alias("k")), "_id")
+    x, y = (dealt.select("class", "i", "j", F.col("slice").alias("slice" + s), F.col("_id").alias(v)) for s, v in (("a", "x"), ("b", "y")))
+    inner = x.join(y, ["class", "i", "j"]).where((F.col("x") < F.col("y")) & _meet()).select("x", "y")
     ends = members.select("class", "_id")
-    if COPIES is not None:
-        inner = inner.unionByName(many.where((F.col("n") > COPIES) & (F.col("_id") > F.col("rep"))).select(F.col("rep").alias("x"), F.col("_id").alias("y")))
-        ends = members.join(sizes.where(F.col("n") > COPIES).select("class", "rep"), "class", "left").where("rep is null or _id = rep").select("class", "_id")
+    if copies is not None:
+        inner = inner.unionByName(many.where((F.col("n") > copies) & (F.col("_id") > F.col("rep"))).select(F.col("rep").alias("x"), F.col("_id").alias("y")))
+        ends = members.join(sizes.where(F.col("n") > copies).select("class", "rep"), "class", "left").where("rep is null or _id = rep").select("class", "_id")
     cross = pairs.join(ends.select(F.col("class").alias("a"), F.col("_id").alias("x")), "a").join(ends.select(F.col("class").alias("b"), F.col("_id").alias("y")), "b").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     return inner.unionByName(cross).select(F.col("x").alias(f"{key}_a"), F.col("y").alias(f"{key}_b"))
 

@@ -18,6 +18,8 @@ from .common import by_blocks, site
 VOCABULARY = "byte_bpe_50k"
 #: Characters of a block handed to the encoder: new pre-tokens are learned in larger groups.
 ENCODE_CHARS = 1_500_000
+#: Texts that a partition remembers to drop its own repeats; beyond that it starts anew (the rest meets in the shuffle).
+SEEN = 1_000_000
 
 
 def _path(name: str, folder: str) -> str:
@@ -50,6 +52,8 @@ def distinct_counts(texts: DataFrame, vocabulary: str = VOCABULARY, folder: str
         for batch in batches:
             keep = []
             for i, pair in enumerate(zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist())):
+                if len(seen) > SEEN:
+                    seen.clear()
                 if pair not in seen:
                     seen.add(pair)
                     keep.append(i)

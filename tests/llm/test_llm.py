@@ -264,12 +264,27 @@ def test_near_duplicates_among_pages_of_one_template(spark):
     assert sorted(tuple(x) for x in near.found(pages(spark, rows)).collect()) == want
 
 
-def test_large_copy_classes_are_linked_through_one_page(spark, monkeypatch):
-    monkeypatch.setattr(near, "COPIES", 3)
+def test_large_copy_classes_are_linked_through_one_page(spark):
     t = "# Title\n\n" + sentences(100, 1) + "."
     other = t.replace("# Title", "# Changed")
     df = pages(spark, [(i, t, "u", 1) for i in range(5)] + [(9, other, "u", 1)])
-    assert sorted(tuple(x) for x in near.found(df).collect()) == [(0, 1), (0, 2), (0, 3), (0, 4), (0, 9)]
+    assert sorted(tuple(x) for x in near.found(df, copies=3).collect()) == [(0, 1), (0, 2), (0, 3), (0, 4), (0, 9)]
+
+
+@pytest.mark.parametrize("hot", [3, 20])
+def test_cells_of_crowded_blocks_lose_no_pair(spark, monkeypatch, hot):
+    r = np.random.default_rng(6)
+    base = sentences(120, 1).split()
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(i % 5):
+            w[int(r.integers(len(w)))] = f"e{int(r.integers(99))}"
+        rows.append((i, " ".join(w[: 120 - i % 3]) + ".", "u", 1))
+    df = pages(spark, rows)
+    want = sorted(tuple(x) for x in near.found(df).collect())
+    monkeypatch.setattr(near, "HOT", hot)
+    assert len(want) > 500 and sorted(tuple(x) for x in near.found(df).collect()) == want
 
 
 def test_all_copies_of_a_large_class_are_paired(spark):
