@@ -5,13 +5,17 @@
 looks each distinct pre-token up in a cache of the worker, and encodes the new
 ones as length-bucketed padded matrices: in each round every row merges its
 leftmost pair of minimum rank, found by a hashed pair lookup, and closes the
-gap.  Nothing is trained; the ranks come from the vocabulary file.
+gap.  A round costs the width of the matrix, so pre-tokens of more than
+``WIDE`` bytes are merged on a linked list with a heap of their pairs instead;
+the order of merges, and so the ids, are the same.  Nothing is trained; the
+ranks come from the vocabulary file.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import heapq
 import os
 
 import numpy as np
@@ -22,6 +26,8 @@ from .kernel import LETTER, NUMBER, SPACE, Block, mix, spans_hash, tables
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 #: Distinct pre-tokens kept by a worker before the cache is emptied (about 150 MB).
 CACHE = 1 << 20
+#: Bytes of a pre-token from which merges go over a heap.
+WIDE = 1024
 _BIG = np.int32(2**31 - 1)
 #: 0 white space, 1 letter, 2 number, 3 symbol, by class bits.
 _KIND = np.array([0 if x & SPACE else 1 if x & LETTER else 2 if x & NUMBER else 3 for x in range(256)], np.int8)
@@ -34,6 +40,9 @@ class Ranks:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.size = max(ranks.values()) + 1
+        self.bytes = np.zeros(self.size, np.int64)
+        for token, i in ranks.items():
+            self.bytes[i] = len(token)
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         left, right, out = [], [], []
         for token, i in ranks.items():
@@ -102,6 +111,36 @@ class Ranks:
         return done
 
 
+    @functools.cached_property
+    def table(self) -> dict[int, int]:
+        """Merged id of each pair, left id times 2**32 plus right id."""
+        used = self.vals != _BIG
+        return dict(zip(self.keys[used].tolist(), self.vals[used].tolist()))
+
+    def merge_wide(self, ids: np.ndarray) -> np.ndarray:
+        """Encode one row of byte ids, leftmost minimum rank first."""
+        ids = ids.tolist()
+        n, table = len(ids), self.table
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(table[k], i) for i in range(n - 1) if (k := ids[i] << 32 | ids[i + 1]) in table]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or table.get(ids[i] << 32 | ids[j]) != rank:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = rank, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (m := rank << 32 | ids[k]) in table:
+                    heapq.heappush(heap, (table[m], i))
+            h = before[i]
+            if h >= 0 and (m := ids[h] << 32 | rank) in table:
+                heapq.heappush(heap, (table[m], h))
+        return np.array([x for x in ids if x >= 0], np.int32)
+
+
 @functools.lru_cache(2)
 def ranks(path: str) -> Ranks:
     return Ranks(path)
@@ -203,9 +242,13 @@ class Encoder:
         raw = [text[4 * i : 4 * j].decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for i, j in zip(s.tolist(), e.tolist())]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         new_len, rows = np.zeros(len(raw), np.int64), [None] * len(raw)
+        for i in np.flatnonzero(size > WIDE).tolist():
+            rows[i] = self.ranks.merge_wide(self.ranks.byte[np.frombuffer(raw[i], np.uint8)])
+            new_len[i] = len(rows[i])
         order = np.argsort(size, kind="stable")
+        order = order[size[order] <= WIDE]
         bucket = np.ceil(np.log2(np.maximum(size[order], 1)) * 2).astype(int)
-        for part in np.split(order, np.flatnonzero(np.diff(bucket)) + 1):
+        for part in np.split(order, np.flatnonzero(np.diff(bucket)) + 1) if len(order) else []:
             width = int(size[part].max())
             step = max(1, 2_000_000 // max(width, 1))
             for k in range(0, len(part), step):
@@ -246,6 +289,14 @@ class Encoder:
         shift = np.repeat(at - (np.cumsum(size) - size), size)
         return self.pool[np.arange(total) + shift], np.bincount(text, size, len(texts)).astype(np.int64)
 
+    def sizes_before(self, text: str) -> np.ndarray:
+        """How many tokens begin before each character of a text, and in all of it."""
+        ids, _ = self.encode([text])
+        starts = np.cumsum(self.ranks.bytes[ids]) - self.ranks.bytes[ids]
+        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        wide = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
+        return np.searchsorted(starts, np.concatenate([[0], np.cumsum(wide)]))
+
     def count(self, texts: list[str | None]) -> np.ndarray:
         """Number of ids of each text."""
         b = Block(texts)

@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import TOKENIZER_DIR, encoder
+from .tokens import VOCABULARY
+
 LIMIT, OVERLAP = 6000, 200
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 _ATX = re.compile(r"^ {0,3}#{1,6}(?:[ \t\xa0]+\S|$)")
@@ -80,16 +84,23 @@ def title_lines(text: str) -> list[int]:
     return out
 
 
+def sections(text: str) -> list[int]:
+    """Sorted offsets at which a section opens, that of the first line included."""
+    starts = line_starts(text)
+    return [starts[i] for i in title_lines(text)]
+
+
+def line_starts(text: str) -> list[int]:
+    """Offset of each line (prefix sums of the lengths of the lines)."""
+    return [0, *accumulate(len(line) + 1 for line in text.split("\n"))][:-1]
+
+
 def boundaries(text: str) -> dict[str, list[int]]:
     """Sorted offsets at which a section, paragraph, sentence or word begins."""
-    lines = text.split("\n")
-    starts, at = [], 0
-    for line in lines:
-        starts.append(at)
-        at += len(line) + 1
+    lines, starts = text.split("\n"), line_starts(text)
     para = [starts[i] for i in range(1, len(lines)) if lines[i].strip() and not lines[i - 1].strip()]
     return {
-        "section": [starts[i] for i in title_lines(text)][1:],
+        "section": sections(text)[1:],
         "paragraph": para,
         "sentence": sorted({m.end() for m in _SENTENCE.finditer(text)} | set(starts[1:])),
         "word": [m.end() for m in _WORD.finditer(text)],
@@ -133,31 +144,38 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP, prefix: list[in
 
 
 def titles(pages: DataFrame, key: str = "page_id", text: str = "content", limit: int = LIMIT) -> DataFrame:
-    """(key, line_no) of each section opening of the texts longer than ``limit``; null and shorter texts give no rows."""
+    """(key, line_no) of each section boundary of the texts longer than ``limit``: the offsets at which sections are cut, looked up among those of the lines; null and shorter texts give no rows."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             at, no = [], []
             for i, t in enumerate(batch.column(text).to_pylist()):
-                hits = title_lines(t)
+                starts = line_starts(t)
+                hits = [bisect_right(starts, x) for x in sections(t)]
                 at += [i] * len(hits)
-                no += [h + 1 for h in hits]
+                no += hits
             yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), pa.array(no, pa.int32())], names=[key, "line_no"])
 
     return pages.select(key, text).where(F.length(text) > limit).mapInArrow(run, f"`{key}` {kind}, line_no int")
 
 
-def pieces(pages: DataFrame, key: str = "page_id", text: str = "content", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def pieces(pages: DataFrame, key: str = "page_id", text: str = "content", limit: int = LIMIT, overlap: int = OVERLAP, unit: str = "characters", vocabulary: str = VOCABULARY, folder: str = TOKENIZER_DIR) -> DataFrame:
     """(key, piece_no, start, stop, boundary, piece) of every text that is not null.
 
     Texts up to ``limit`` characters come out as one piece (boundary ``whole``),
     an empty text as one empty piece; ``start`` and ``stop`` are character
     offsets, each piece after the first starts with the last ``overlap``
     characters before its cut.
+
+    With ``unit`` "tokens" the limit is in tokens of a public tokenizer: those
+    of the whole text that begin in the piece.
     """
+    if unit not in ("characters", "tokens"):
+        raise ValueError(f"unknown unit {unit}")
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and below limit")
+    by_tokens, path = unit == "tokens", f"{folder}/{vocabulary}.tiktoken"
     kind = pages.schema[key].dataType.simpleString()
     names = [key, "piece_no", "start", "stop", "boundary", "piece"]
 
@@ -165,7 +183,10 @@ def pieces(pages: DataFrame, key: str = "page_id", text: str = "content", limit:
         for batch in batches:
             at, rows = [], []
             for i, t in enumerate(batch.column(text).to_pylist()):
-                cuts = split(t, limit, overlap)
+                sizes = encoder(path).sizes_before(t).tolist() if by_tokens else None
+                cuts = split(t, limit, overlap, sizes)
+                if by_tokens and len(cuts) == 1:
+                    cuts = [(0, len(t), "whole")]
                 at += [i] * len(cuts)
                 rows += [(k, a, z, how, t[a:z]) for k, (a, z, how) in enumerate(cuts, 1)]
             cols = list(zip(*rows)) or [()] * 5

@@ -76,8 +76,10 @@ def _hashed(pages: DataFrame, text: str, *keep) -> DataFrame:
 def page_tokens(pages: DataFrame, key: str = "page_id", text: str = "content", **kw) -> DataFrame:
     """(key, n_tokens) of every row; null and empty texts have 0 tokens."""
     rows = _hashed(pages, text, F.col(key).alias("_key"))
-    counts = distinct_counts(rows.where("text <> ''").select("h1", "h2", "text"), **kw)
-    return rows.drop("text").join(counts, ["h1", "h2"], "left").select(F.col("_key").alias(key), F.coalesce("n_tokens", F.lit(0).cast("bigint")).alias("n_tokens"))
+    full = rows.where("text <> ''")
+    counts = distinct_counts(full.select("h1", "h2", "text"), **kw)
+    void = rows.where("coalesce(text, '') = ''").select(F.col("_key").alias(key), F.lit(0).cast("bigint").alias("n_tokens"))  # these would all meet in one key
+    return full.drop("text").join(counts, ["h1", "h2"]).select(F.col("_key").alias(key), "n_tokens").unionByName(void)
 
 
 def totals(pages: DataFrame, jobs: DataFrame, text: str = "content", **kw) -> DataFrame:
@@ -91,9 +93,10 @@ def totals(pages: DataFrame, jobs: DataFrame, text: str = "content", **kw) -> Da
     counts = distinct_counts(rows.where("text <> ''").select("h1", "h2", "text"), **kw)
     profile = jobs.select(F.col("id").alias("job_id"), F.col("config.profile").alias("profile")).groupBy("job_id").agg(F.min("profile").alias("profile"))
     lang = F.lower(F.regexp_extract(F.trim("lang"), "^([A-Za-z0-9]+)", 1))
-    many = rows.select("h1", "h2", "job_id", F.when(lang != "", lang).alias("lang"), site(F.col("url")).alias("host")).groupBy("h1", "h2", "job_id", "lang", "host").agg(F.count(F.lit(1)).alias("pages"))
+    many = rows.select("h1", "h2", (F.coalesce("text", F.lit("")) == "").alias("void"), "job_id", F.when(lang != "", lang).alias("lang"), site(F.col("url")).alias("host")).groupBy("h1", "h2", "void", "job_id", "lang", "host").agg(F.count(F.lit(1)).alias("pages"))
     many = many.join(profile, "job_id", "left")
     kinds = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(c).alias("value")) for d, c in (("profile", "profile"), ("language", "lang"), ("host", "host")))))
-    per = many.select("h1", "h2", "pages", kinds.alias("d")).groupBy("h1", "h2", "d.dimension", "d.value").agg(F.sum("pages").alias("pages"))
-    n = F.coalesce("n_tokens", F.lit(0))
-    return per.join(counts, ["h1", "h2"], "left").groupBy("dimension", "value").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("distinct_texts"), F.sum(F.col("pages") * n).cast("bigint").alias("tokens"), F.sum(n).cast("bigint").alias("distinct_tokens"))
+    per = many.select("h1", "h2", "void", "pages", kinds.alias("d")).groupBy("h1", "h2", "void", "d.dimension", "d.value").agg(F.sum("pages").alias("pages"))
+    n = F.col("n_tokens")
+    void = per.where("void").select("dimension", "value", "pages", F.lit(0).cast("bigint").alias("n_tokens"))
+    return per.where("not void").join(counts, ["h1", "h2"]).select("dimension", "value", "pages", "n_tokens").unionByName(void).groupBy("dimension", "value").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("distinct_texts"), F.sum(F.col("pages") * n).cast("bigint").alias("tokens"), F.sum(n).cast("bigint").alias("distinct_tokens"))

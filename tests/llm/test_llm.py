@@ -158,6 +158,38 @@ def test_pieces_by_tokens():
     assert all(prefix[z] - prefix[a] <= 100 for a, z, _ in pieces.split(text, 100, 10, prefix))
 
 
+@pytest.mark.skipif(not os.path.exists(VOCAB), reason="needs the vocabulary files")
+def test_pieces_by_tokens_of_a_tokenizer(spark):
+    text = "# One\n\n" + "Some words here. " * 300 + "\n\n## Two\n\n" + "日本語の文です。" * 200
+    df = pages(spark, [(1, text, "u", 1), (2, "short", "u", 1), (3, None, "u", 1), (4, "", "u", 1)])
+    got = {}
+    for r in pieces.pieces(df, limit=400, overlap=30, unit="tokens").collect():
+        got.setdefault(r["page_id"], []).append(r)
+    sizes = bpe.encoder(VOCAB).sizes_before(text)
+    cuts = sorted(got[1], key=lambda r: r["piece_no"])
+    assert sizes[-1] == len(bpe.encoder(VOCAB).encode([text])[0]) and len(cuts) > 3 and all(sizes[r["stop"]] - sizes[r["start"]] <= 400 for r in cuts)
+    assert cuts[0]["piece"] + "".join(text[a["stop"] : b["stop"]] for a, b in zip(cuts, cuts[1:])) == text
+    assert got[2][0]["boundary"] == "whole" and got[4][0]["piece"] == "" and 3 not in got
+    with pytest.raises(ValueError):
+        pieces.pieces(df, unit="pages")
+
+
+@pytest.mark.parametrize("name", ["p2_found", "p6_slices"])
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_queries_against_sql(spark, name):
+    import duckdb
+
+    from leafmill.llm import queries
+
+    con = duckdb.connect()
+    for t in ("page_results", "jobs"):
+        con.execute(f"create view {t} as select * from read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    got = queries.queries()[name](spark, "/root/testdata/sf0.001").toPandas()
+    want = con.execute(queries.oracle_sql()[name]).df()[list(got.columns)]
+    key = lambda d: sorted(map(tuple, d.astype(str).values.tolist()))
+    assert len(want) > 10 and key(got) == key(want)
+
+
 def test_pieces_table(spark):
     df = pages(spark, [(1, "a\n" + "b. " * 4000, "u", 7), (2, "short", None, 1), (3, None, None, 1), (4, "", None, 1)])
     got = {(r["page_id"], r["piece_no"]): r for r in pieces.pieces(df).collect()}
@@ -343,6 +375,20 @@ def test_token_tables(spark):
     assert tot[("profile", "wiki")] == (2, 2) and tot[("profile", None)] == (2, 3) and tot[("language", "en")] == (2, 2) and tot[("language", None)] == (2, 3) and tot[("host", "h")] == (2, 3) and tot[("host", None)] == (2, 2)
 
 
+@pytest.mark.skipif(not os.path.exists(VOCAB), reason="needs the vocabulary files")
+def test_wide_tokens_merge_alike():
+    r = bpe.encoder(VOCAB).ranks
+    g = np.random.default_rng(3)
+    for letters in (b"ab", b"abcdefghijklmnopqrstuvwxyz", bytes(range(128, 256))):
+        for n in (1, 2, 7, 300, 2000):
+            ids = r.byte[np.frombuffer(letters, np.uint8)[g.integers(len(letters), size=n)]]
+            a = r.merge(ids[None, :])[0]
+            assert (a[a >= 0] == r.merge_wide(ids)).all()
+    text = "".join(g.choice(list("abcdefgh"), 200_000))
+    ids, _ = bpe.encoder(VOCAB).encode([text])
+    assert r.bytes[ids].sum() == 200_000
+
+
 # --- problem 8
 
 
