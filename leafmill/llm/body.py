@@ -226,10 +226,10 @@ def best_runs(score: np.ndarray, page: np.ndarray, cost: float = RUN_COST) -> np
     return keep
 
 
-@functools.lru_cache(1)
-def model(count: int = labelled.PAGES) -> Model:
-    """Both models, fitted on ``count`` labelled pages; the second one sees scores of pages held out from the first."""
-    made = labelled.pages(count)
+@functools.lru_cache(20)
+def model(count: int = labelled.PAGES, languages: tuple[str, ...] = (), without: tuple[str, ...] = ()) -> Model:
+    """Both models, fitted on ``count`` labelled pages; the second one sees scores of pages held out from the first.  ``languages`` and ``without`` restrict the pages to languages and leave out groups of furniture."""
+    made = labelled.pages(count, languages=list(languages) or None, without=without)
     x = Lines(Block(["\n".join(t for t, _ in p) for p in made]))
     y = np.array([lab for p in made for _, lab in p if lab >= 0], float)
     assert len(y) == len(x.s)

@@ -1,111 +1,21 @@
 """Labelled pages: what page furniture and page matter look like in six languages.
 
-The phrase lists are fixed values, in part sentences of the test data (README);
-``pages`` lays them out
-as pages whose every line carries a label.  Names, numbers and layouts are
-drawn from a seeded generator, so the labelled pages are the same everywhere
-and their number is a documented bound (``PAGES``).
+Furniture comes from the parts of ``furniture_texts``, error pages and other
+short matter from those of ``residue_texts``; ``pages`` lays them out as pages
+whose every line carries a label.  Names, numbers and layouts are drawn from a
+seeded generator, so the labelled pages are the same everywhere and their
+number is a documented bound (``PAGES``).
 """
 
 from __future__ import annotations
 
 import random
 
+from . import furniture_texts, matter_texts, residue_texts
+
 #: Labelled pages made for fitting (bounded, independent of the corpus).
 PAGES = 700
 
-# Furniture phrases by language.  S is the site's name, T a page title, N a number, D a date.
-CONTROLS = {
-    "en": ["Skip to content", "Skip to main content", "Edit this page", "Copy page", "Copy link", "Print this article", "Toggle dark mode", "Open as plain text", "View source on the S forge", "Report a problem with this page", "Search S docs (Ctrl K)", "Search", "Open menu", "Close menu", "Expand all", "Edit on the S forge", "Download as PDF", "Jump to navigation"],
-    "de": ["Zum Inhalt springen", "Diese Seite bearbeiten", "Artikel drucken", "Link kopieren", "Suche öffnen", "Seite melden", "Menü öffnen", "Als PDF laden"],
-    "fr": ["Aller au contenu", "Modifier cette page", "Imprimer", "Copier le lien", "Signaler un problème", "Ouvrir le menu", "Rechercher dans S"],
-    "es": ["Saltar al contenido", "Editar esta página", "Imprimir", "Copiar enlace", "Informar de un problema", "Abrir el menú", "Buscar en S"],
-    "pt": ["Ir para o conteúdo", "Editar esta página", "Imprimir", "Copiar link", "Relatar um problema", "Abrir o menu", "Pesquisar em S"],
-    "ja": ["本文へ移動", "このページを編集", "リンクをコピー", "印刷する", "問題を報告", "メニューを開く"],
-}
-MENU = {
-    "en": ["Home", "Docs", "API", "Blog", "Guides", "Tutorials", "Reference", "Support", "Community", "Changelog", "Pricing", "Status", "Contact", "About us", "Login", "Sign up", "Download", "Search", "Careers", "News", "Products", "Help", "Account"],
-    "de": ["Startseite", "Handbuch", "Anleitungen", "Referenz", "Blog", "Preise", "Hilfe", "Kontakt", "Anmelden", "Suche", "Status", "Über uns", "Produkte", "Download"],
-    "fr": ["Accueil", "Manuel", "Guides", "Référence", "Blog", "Tarifs", "Aide", "Contact", "Connexion", "Recherche", "Statut", "Produits", "À propos"],
-    "es": ["Inicio", "Manual", "Guías", "Referencia", "Blog", "Precios", "Ayuda", "Contacto", "Entrar", "Buscar", "Estado", "Productos", "Nosotros"],
-    "pt": ["Início", "Manual", "Guias", "Referência", "Blog", "Preços", "Ajuda", "Contato", "Entrar", "Busca", "Estado", "Produtos", "Sobre nós"],
-    "ja": ["ホーム", "文書", "ガイド", "参照", "ブログ", "料金", "支援", "ログイン", "検索", "会社案内", "製品"],
-}
-CONSENT = {
-    "en": ["We use cookies to keep you signed in and to measure how the S site is used.", "This website remembers your preferences. Read the cookie policy or close this banner to continue.", "By staying on this site you consent to our storage of session data as set out in the privacy notice.", "Your privacy matters: pick which trackers S may set on this browser.", "S and its partners store small files on your device to remember your choices.", "Before you continue: we would like to count visits with a third-party tool. You can withdraw at any time.", "We and selected partners use cookies for analytics and advertising."],
-    "de": ["Wir verwenden Cookies, damit die Seiten von S zuverlässig funktionieren.", "S speichert kleine Dateien auf Ihrem Gerät, um Ihre Auswahl zu merken.", "Mit der Nutzung dieser Website stimmen Sie unserer Datenschutzerklärung zu."],
-    "fr": ["Nous utilisons des cookies pour mesurer la fréquentation du site S.", "S enregistre vos préférences sur cet appareil. Vous pouvez changer d'avis à tout moment.", "En poursuivant votre visite, vous acceptez notre politique de confidentialité."],
-    "es": ["Usamos cookies para medir las visitas al sitio de S.", "S guarda sus preferencias en este dispositivo. Puede cambiarlas cuando quiera.", "Al continuar acepta nuestra política de privacidad."],
-    "pt": ["Usamos cookies para medir as visitas ao site da S.", "A S guarda suas preferências neste aparelho. Você pode mudar isso quando quiser.", "Ao continuar você aceita nossa política de privacidade."],
-    "ja": ["Sのサイトでは利用状況を測るためにクッキーを使用しています。", "Sはお使いの端末に設定を保存します。いつでも変更できます。"],
-}
-BUTTONS = {
-    "en": ["Accept all", "Only necessary", "Got it", "Allow  Decline  Settings", "Manage choices | Agree", "Reject all", "Cookie settings", "OK", "Accept | Decline"],
-    "de": ["Alle annehmen", "Auswahl ändern | Zustimmen", "Ablehnen", "Einstellungen"],
-    "fr": ["Tout accepter | Refuser", "Accepter", "Gérer mes choix"],
-    "es": ["Aceptar todo | Rechazar", "Aceptar", "Configurar cookies"],
-    "pt": ["Aceitar tudo | Recusar", "Aceitar", "Definições"],
-    "ja": ["すべて許可", "拒否する", "同意する"],
-}
-SIDE = {
-    "en": ["On this page", "In this section", "Related guides", "Popular articles", "Recently updated", "More from S", "Table of contents", "You may also like", "Related links"],
-    "de": ["Auf dieser Seite", "In diesem Bereich", "Verwandte Themen", "Beliebte Artikel", "Mehr von S"],
-    "fr": ["Sur cette page", "Dans cette rubrique", "Articles liés", "Articles populaires"],
-    "es": ["En esta página", "En esta sección", "Guías relacionadas", "Artículos populares"],
-    "pt": ["Nesta página", "Nesta seção", "Guias relacionados", "Artigos populares"],
-    "ja": ["このページの内容", "関連ガイド", "この章の内容", "人気の記事"],
-}
-PROMPTS = {
-    "en": ["Subscribe to our newsletter and never miss a S release.", "Get product news once a month. Enter your e-mail address to join N readers.", "Share this article with your team: Copy link | Mail | Chat", "Share on your favourite network or send it to a colleague", "Enjoyed this page? Pass it on and tag S.", "N people shared this guide", "N readers found this guide useful", "N colleagues liked this page", "N people shared this article", "Was this page helpful?  Yes  No", "Did this answer your question? Send feedback to S", "Rate this article: 1 2 3 4 5", "Still stuck? Contact S support or open a ticket.", "Join the S community forum to discuss this topic", "Advertisement: try S Cloud free for N days", "Sponsored – host your docs with S and save N percent", "Follow S on the usual networks", "Sign up for our weekly digest", "Leave a comment", "Start your free trial of S today"],
-    "de": ["Newsletter abonnieren und keine Neuigkeit von S verpassen", "Diesen Beitrag teilen: Mail | Chat | Link", "Gefällt Ihnen die Seite? Empfehlen Sie S weiter.", "War diese Seite hilfreich?  Ja  Nein", "Fragen? Schreiben Sie dem Support von S.", "Anzeige: S Cloud N Tage kostenlos testen"],
-    "fr": ["Abonnez-vous à la lettre d'information de S", "Recevez la lettre de S par courriel", "Partager cet article : courriel | lien", "Vous aimez cette page ? Parlez de S autour de vous.", "Cette page vous a-t-elle été utile ?  Oui  Non", "Une question ? Écrivez à l'assistance S.", "Publicité : essayez S Cloud pendant N jours"],
-    "es": ["Suscríbase al boletín de S", "Reciba el boletín de S por correo", "Comparta este artículo: correo | enlace", "¿Le gusta esta página? Hable de S a su equipo.", "¿Le ha servido esta página?  Sí  No", "¿Dudas? Escriba al soporte de S.", "Publicidad: pruebe S Cloud durante N días"],
-    "pt": ["Assine o boletim da S", "Assine a lista da S", "Receba o boletim da S por e-mail", "Compartilhe este artigo: e-mail | link", "Gostou da página? Conte para sua equipe sobre a S.", "Esta página foi útil?  Sim  Não", "Dúvidas? Fale com o suporte da S.", "Publicidade: teste a S Cloud por N dias"],
-    "ja": ["Sのお知らせメールに登録して最新情報を受け取る", "このページを同僚と共有して感想をお聞かせください", "このページは役に立ちましたか  はい  いいえ", "広告：S CloudをN日間無料でお試しください", "ご質問はSの窓口までお寄せください"],
-}
-BYLINE = {
-    "en": ["Published D | Reviewed by the S editors | N minutes to read", "Posted in Engineering by S staff on D", "Written by the S documentation team · D · N min read", "Last updated on D by S Docs", "S Learning Desk, D", "By the S team – D", "Updated D"],
-    "de": ["Verfasst von der Redaktion S am D", "Zuletzt geändert: D · Lesezeit N Minuten"],
-    "fr": ["Rédigé par l'équipe S le D", "Mis à jour le D · N min de lecture"],
-    "es": ["Escrito por el equipo de S el D", "Actualizado el D · N min de lectura"],
-    "pt": ["Escrito pela equipe S em D", "Atualizado em D · N min de leitura"],
-    "ja": ["S編集部がDに公開しました(読了N分)", "最終更新 D · 読了N分"],
-}
-STEPS = {
-    "en": ["← Previous: T", "Next: T →", "Up next – T", "« T | T »", "Previous | Next", "‹ T"],
-    "de": ["← Zurück: T", "Weiter: T →", "« T | T »"],
-    "fr": ["← Précédent : T", "Suivant : T →", "« T | T »"],
-    "es": ["← Anterior: T", "Siguiente: T →", "« T | T »"],
-    "pt": ["← Anterior: T", "Próximo: T →", "« T | T »"],
-    "ja": ["← 前へ: T", "次へ: T →", "« T | T »"],
-}
-FOOTER = {
-    "en": ["© N S Ltd. All rights reserved.", "Copyright N S and contributors. Content is offered under the site licence.", "Terms of use | Privacy | Imprint | Accessibility", "S is a registered mark of S Holding. Other names belong to their owners.", "Made with care by S. Build N.N", "Reproduction of this page in whole or in part requires the written consent of S.", "The information on this site is provided as is, without warranty of any kind.", "Page generated on D by the S site builder", "Back to top", "English | Deutsch | Français | Español", "Legal notice", "Privacy policy | Cookie policy", "Powered by S"],
-    "de": ["© N S GmbH. Alle Rechte vorbehalten.", "Impressum | Datenschutz | Nutzungsbedingungen", "Alle Angaben erfolgen ohne Gewähr für Richtigkeit und Vollständigkeit.", "Nach oben", "Deutsch | English | Français"],
-    "fr": ["© N S. Tous droits réservés.", "Mentions légales | Confidentialité | Plan du site", "Les informations de ce site sont données sans aucune garantie.", "Haut de page"],
-    "es": ["© N S. Todos los derechos reservados.", "Aviso legal | Privacidad | Mapa del sitio", "La información de este sitio se ofrece sin garantía alguna.", "Volver arriba"],
-    "pt": ["© N S. Todos os direitos reservados.", "Termos | Privacidade | Mapa do site", "As informações deste site são oferecidas sem qualquer garantia.", "Voltar ao topo"],
-    "ja": ["© N S 無断での転載と複製を固く禁じます", "利用規約 | 個人情報保護方針 | 会社案内", "先頭へ戻る", "このサイトの情報は現状のまま提供されます"],
-}
-# Page matter by language.  W is an invented word.
-TITLES = {
-    "en": ["Configure W", "How W handles files", "Limits of W tables", "Working with W keys", "W in detail", "Why the queue of W matters", "Restore a server with W", "The hidden cache in W", "W and the parser", "Moving tokens to W", "Overview", "Notes", "See also", "Example", "Parameters", "Errors", "Next steps", "Before you start", "Installation", "Troubleshooting"],
-    "de": ["W einrichten", "Grenzen von W und Seiten", "Wie W die Bilder liest", "Der Export von W", "W und der Ordner", "Überblick", "Hinweise", "Siehe auch", "Beispiel", "Voraussetzungen"],
-    "fr": ["Configurer W", "Limites de W pour les pages", "Les clés de W", "Le cache dans W", "W et le rapport", "Aperçu", "Notes", "Voir aussi", "Exemple", "Prérequis"],
-    "es": ["Configurar W", "Límites de W para las líneas", "Las tablas de W", "El plazo en W", "W y el esquema", "Resumen", "Notas", "Véase también", "Ejemplo", "Requisitos"],
-    "pt": ["Configurar W", "Limites de W para as linhas", "As notas de W", "O registro em W", "W e o servidor", "Resumo", "Notas", "Veja também", "Exemplo", "Requisitos"],
-    "ja": ["Wの目次", "Wと段落", "Wで警告を見る", "索引の一覧(W)", "Wの設定", "概要", "注意", "関連", "例"],
-}
-PROSE = {
-    "en": ["Each batch copies its own tables, so a small key never blocks another one.", "You can open the folder with W, but the files stay locked until the worker restarts.", "When a server is slow, the parser drops all rows and keeps the connection open.", "There is no need to rename every field; the public ones are enough for a first run.", "After N seconds, S reads the archive and marks the pages as checked.", "Most teams sort the records first and only then store the index.", "Behind the gateway sits a second queue that holds the jobs nobody has started.", "What matters for W is that the report and its columns are written together.", "Nothing is lost when the crawler stops, since the filter restores links later.", "The default of N rows suits a large table; raise it for data that come from a slow source.", "Use the option if your pages change every N hours and the site allows it.", "The command returns an error when the address does not exist.", "We recommend that you check the schedule at least once before the first release.", "If the value is empty, W falls back to the setting of the project.", "Please note how the service rejects only those requests which the owner has closed.", "This page explains how cookies, menus and newsletters are removed from a text.", "Readers can subscribe to a topic, and the server sends them each change.", "A page that needs a login is skipped, and the log names its address.", "#N fixed in W. The rule keeps the newest entry."],
-    "de": ["Der Speicher öffnet die Dateien, bevor der Auftrag geprüft wird.", "Viele Zeilen werden direkt verschoben, und der Ordner bleibt offen.", "Sobald die Regeln geschrieben sind, zählt W den kleinen Eintrag.", "Wenn der Dienst langsam antwortet, liest S die Tabellen ein weiteres Mal.", "Mit einem leeren Stapel lassen sich die Bilder leichter finden.", "Es genügt, die Rechte einmal an den Vorgang zu geben.", "Nicht jeder Crawler zählt Seiten, doch der Index liest sie immer.", "Ohne W speichert der Server die Kapitel erst nach N Minuten."],
-    "fr": ["Le serveur garde les notes avant que le rapport soit vérifié.", "Chaque dossier a ses pages, et le module lit lentement les autres.", "Quand le fichier est vide, S ouvre les tables une seconde fois.", "Il suffit de donner les clés au projet pour que le lien soit copié.", "Sans W, le journal trie les lignes au bout de N secondes.", "Les images restent en place, car le champ les ferme souvent.", "Si le contenu est copié, vous pouvez ouvrir le jeton et relire les règles."],
-    "es": ["El archivo abre las tablas antes de que el enlace quede contado.", "Cada lote tiene sus claves, y el esquema revisa despacio las demás.", "Cuando el filtro está vacío, S lee las páginas otra vez.", "Basta con dar las líneas al recurso para que el campo quede abierto.", "Sin W, el módulo copia las notas al cabo de N intentos.", "Las imágenes siguen ahí porque el informe las ordena siempre.", "Si el registro ya fue copiado, puede abrir el servidor y leer las columnas."],
-    "pt": ["O arquivo abre as tabelas antes que o acesso seja verificado.", "Cada índice tem suas rotas, e o filtro fecha sempre as outras.", "Quando o aviso está vazio, S lê as páginas mais uma vez.", "Basta entregar as chaves ao projeto para que o bloco fique aberto.", "Sem W, o processo copia as notas ao fim de N linhas.", "As imagens continuam ali porque o esquema logo as ordena.", "O motor de S combina somente as linhas que faltam."],
-    "ja": ["文書が止まっても、列は記録に残ります。", "まず画面を開き、次にファイルを分割します。", "Wを使うと、更新された規則だけを保存します。", "古い警告が多いときは、接続と索引を分けて確認します。", "Nページが過ぎると、応答は段落を読み込みます。", "設定は行を順番に比較します。"],
-}
-# Error pages and other short matter of a page, which are its own text, not furniture.
-NOTICES = ["Page not found", "404", "Access denied", "You do not have permission to view this resource on this server.", "500 Internal Server Error", "Service temporarily unavailable, try again later.", "We are down for maintenance", "The site will be back shortly. Thank you for your patience.", "You need to enable JavaScript to run this app.", "Loading...", "Coming soon", "Sorry, we could not find that page.", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Text goes here. Text goes here.", "TODO write this section", "undefined undefined", "Traceback (most recent call last):", "Error code: NOT_FOUND", "The requested URL was not found on this server.", "Request timed out", "Bitte aktivieren Sie JavaScript.", "Seite nicht gefunden", "Page introuvable", "Página no encontrada", "Página não encontrada", "ページが見つかりません", "Too many requests", "410 – Gone", "[object Object]", "# {{title}}", "By {{ page.author }}", "Welcome to ${title}", "xxxx xxxxx xxx", "test test 1 test", "blah blah blah"]
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 _SYL = "bel car dor fen gos har jor kel lum mor nel pra quo ral sil tam ule vim wex yor zan tro".split()
 
@@ -132,21 +42,22 @@ class _Maker:
         return "".join(out)
 
     def title(self, site: str, lang: str) -> str:
-        t = self.fill(self.r.choice(TITLES[lang][:10 if lang == "en" else 5]), site, lang)
-        return t[:1].upper() + t[1:]
+        return matter_texts.title(self.r, lang, lambda: self.word().capitalize(), site)
+
+    def sentence(self, site: str, lang: str) -> str:
+        return matter_texts.sentence(self.r, lang, lambda: self.word().capitalize(), site)
 
-    def page(self) -> list[tuple[str, int]]:
-        """Lines with their labels: 1 main body, 0 furniture, -1 blank."""
+    def page(self, languages: list[str] | None = None, without: tuple[str, ...] = ()) -> list[tuple[str, int]]:
+        """Lines with their labels: 1 main body, 0 furniture, -1 blank; groups of furniture may be left out."""
         r = self.r
-        lang = r.choices(list(MENU), [8, 3, 3, 2, 2, 2])[0]
+        lang = r.choice(languages) if languages else r.choices(furniture_texts.LANGUAGES, [8, 3, 3, 2, 2, 2])[0]
         site = self.word().capitalize() + r.choice(["", "", " Labs", " Cloud", "Kit"])
-        fill = lambda p: self.fill(p, site, lang)
-        pick = lambda d, k=1: [fill(p) for p in r.sample(d[lang], min(k, len(d[lang])))]
+        pick = lambda group, k=1: [] if group in without else list(dict.fromkeys(self.fill(furniture_texts.phrase(r, group, lang), site, lang) for _ in range(k)))
         top: list[list[str]] = []
         if r.random() < 0.6:
-            top.append(pick(CONTROLS, r.randint(1, 4)))
+            top.append(pick("controls", r.randint(1, 4)))
         if r.random() < 0.7:
-            items = pick(MENU, r.randint(3, 9))
+            items = pick("menu", r.randint(3, 9))
             if r.random() < 0.3:
                 items.insert(0, site)
             form = r.randrange(6)
@@ -160,20 +71,20 @@ class _Maker:
             else:
                 top.append([" | ".join(items)])
         if r.random() < 0.5:
-            top.append(pick(CONSENT) + pick(BUTTONS, r.randint(1, 2)))
+            top.append(pick("consent") + pick("buttons", r.randint(1, 2)))
         title = self.title(site, lang)
         if r.random() < 0.6:
             sep = r.choice([" > ", " / ", " » ", " › "])
-            top.append([sep.join(pick(MENU, r.randint(1, 2)) + [title])])
+            top.append([sep.join(pick("menu", r.randint(1, 2)) + [title])])
 
         def side() -> list[str]:
             m = r.choice(["", "* ", "- ", "• "])
-            return pick(SIDE) + [m + self.title(site, lang) for _ in range(r.randint(2, 6))]
+            return pick("side") + [m + self.title(site, lang) for _ in range(r.randint(2, 6))]
 
         if r.random() < 0.4:
             top.append(side())
         if r.random() < 0.5:
-            top.append(pick(BYLINE))
+            top.append(pick("byline"))
         if r.random() < 0.2:
             r.shuffle(top)
         body: list[tuple[list[str], int]] = []
@@ -193,14 +104,14 @@ class _Maker:
             return ["# " + t] if level == 1 else ["## " + t]
 
         def para(k: int) -> list[str]:
-            return [" ".join(fill(r.choice(PROSE[lang])) for _ in range(k))]
+            return [("" if lang == "ja" else " ").join(self.sentence(site, lang) for _ in range(k))]
 
         kind = r.random()
         if r.random() < 0.85:
             body.append((heading(title, 1), 1))
         if kind < 0.2:
             for _ in range(r.randint(1, 3)):
-                body.append(([r.choice(NOTICES)], 1))
+                body.append(([residue_texts.placeholder(r) if r.random() < 0.15 else residue_texts.text(r)], 1))
         else:
             for _ in range(r.randint(1, 7)):
                 body.append((para(r.randint(1, 5)), 1))
@@ -222,20 +133,20 @@ class _Maker:
                 elif what < 0.46:
                     body.append((["---"], 1))
                 elif what < 0.62:
-                    body.append((heading(self.title(site, lang) if r.random() < 0.5 else fill(r.choice(TITLES[lang])), r.choice([2, 2, 3])), 1))
+                    body.append((heading(self.title(site, lang), r.choice([2, 2, 3])), 1))
                 if r.random() < 0.16:
-                    body.append((r.choice([lambda: pick(PROMPTS), side, lambda: pick(BYLINE), lambda: pick(CONSENT)])(), 0))
+                    body.append((r.choice([lambda: pick("prompts"), side, lambda: pick("byline"), lambda: pick("consent")])(), 0))
                 if r.random() < 0.08:
                     body.append((["\n".join([])] + [x for x in para(1)[0].split(", ")], 1))
         end: list[list[str]] = []
         if r.random() < 0.5:
-            end.append(pick(PROMPTS, r.randint(1, 3)))
+            end.append(pick("prompts", r.randint(1, 3)))
         if r.random() < 0.25:
             end.append(side())
         if r.random() < 0.4:
-            end.append(pick(STEPS, r.randint(1, 2)))
+            end.append(pick("steps", r.randint(1, 2)))
         if r.random() < 0.65:
-            end.append(pick(FOOTER, r.randint(1, 6)))
+            end.append(pick("footer", r.randint(1, 6)))
         groups = [(g, 0) for g in top] + body + [(g, 0) for g in end]
         out: list[tuple[str, int]] = []
         for g, label in groups:
@@ -254,6 +165,6 @@ class _Maker:
         return out
 
 
-def pages(count: int = PAGES, seed: int = 5) -> list[list[tuple[str, int]]]:
+def pages(count: int = PAGES, seed: int = 5, languages: list[str] | None = None, without: tuple[str, ...] = ()) -> list[list[tuple[str, int]]]:
     m = _Maker(seed)
-    return [m.page() for _ in range(count)]
+    return [m.page(languages, without) for _ in range(count)]

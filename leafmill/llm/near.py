@@ -32,6 +32,8 @@ AGREE = 0.3
 SKETCH_AGREE = 0.63
 #: Texts of a block that are compared in one place; a block that more texts share is compared in cells of so many texts each.
 HOT = 2000
+#: One text in so many tells which blocks are crowded; rows of the block join for each task (about 10 MB).
+PART, TASK_ROWS = 16, 250_000
 #: Texts that a partition remembers to give the blocks of copies once; beyond that it starts anew (the rest falls together in the shuffle).
 SEEN = 1_000_000
 #: Texts to be checked exactly whose ids are broadcast (32 MB at most); more are joined by a shuffle.
@@ -166,11 +168,19 @@ def _candidates(prints: DataFrame, hot: int | None = None) -> DataFrame:
     slices; the cell (i, j) holds the slices i and j and compares one with the
     other, or a slice with itself where i = j.
     """
-    blocks = prints.select("class", *_SKETCH, F.explode("blocks").alias("block"))
     hot = hot or HOT
-    crowded = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("block", F.ceil(F.col("n") / hot).cast("int").alias("k"))
+    blocks = prints.select("class", *_SKETCH, F.explode("blocks").alias("block"))
+    # how many slices a block needs is estimated on a part of the texts, chosen by hash; it moves work between tasks and changes no result
+    part = prints.where(F.pmod(F.xxhash64(F.lit("part"), "class"), F.lit(PART)) == 0).select(F.explode("blocks").alias("block"))
+    crowded = written(part.groupBy("block").agg((F.count(F.lit(1)) * PART).alias("n")).where(F.col("n") > hot).select("block", F.ceil(F.col("n") / hot).cast("int").alias("k")))
+    some = crowded.limit(MAP_SIDE + 1).count()
+    if some:
+        blocks = _cells(blocks.join(F.broadcast(crowded) if some <= MAP_SIDE else crowded, "block", "left"), "class")  # 24 MB at most
+    else:
+        blocks = blocks.select("*", *(F.lit(0).alias(c) for c in ("slice", "i", "j")))
     # one row for each text and cell: copies fall together in their partition and after the one shuffle by cell, which both sides of the join share
-    rows = _cells(blocks.join(crowded, "block", "left"), "class").repartition("block", "i", "j").dropDuplicates(["block", "i", "j", "class"])
+    tasks = max(1, -(-prints.count() * BLOCKS // TASK_ROWS))
+    rows = blocks.repartition(tasks, "block", "i", "j").dropDuplicates(["block", "i", "j", "class"])
     a, b = (rows.select("block", "i", "j", F.col("slice").alias("slice" + x), F.col("class").alias(x), *(F.col(c).alias(c + x) for c in _SKETCH)) for x in "ab")
     apart = sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in _SKETCH), F.lit(0))
     return a.join(b, ["block", "i", "j"]).where((F.col("a") < F.col("b")) & _meet() & (apart <= int((1 - SKETCH_AGREE) * _K))).select("a", "b").distinct()

@@ -12,6 +12,7 @@ residue windows cover most of that weight.
 from __future__ import annotations
 
 import functools
+import math
 import random
 import re
 
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import labelled, residue_texts
+from . import furniture_texts, labelled, residue_texts
 from .body import CLIP as SURE
 from .body import Lines, model
 from .common import by_blocks, strings
@@ -27,13 +28,15 @@ from .kernel import ALNUM, SPACE, Block, mix, spans_hash, tables
 
 BUCKETS = 1 << 18
 #: Weight of the shorter context in the n-gram models, in counts; ratios of single symbols are cut at CLIP.
-BACK, CLIP = 3.0, 3.0
+BACK, CLIP = 20.0, 2.0
 #: A window is residue if its ratio is this high in all and on average; a page if so much of its body is.
 TOTAL, MEAN, COVERAGE = 2.0, 0.05, 0.5
 #: Texts of each model's two classes (bounded, independent of the corpus).
-TEXTS = 12_000
+TEXTS = 16_000
 #: Labelled pages whose furniture is fitted as natural (bounded as well).
 PAGES = 250
+#: Mean characters of a page's own matter where it is residue and where it is content (exponential lengths).
+LENGTHS = 80.0, 900.0
 #: The most that a window's own ratio adds to its log-odds of being the page's own matter.
 PULL = 6.0
 # Natural sentences near the subject that are no cases.
@@ -138,9 +141,9 @@ def models(seed: int = 11, without: tuple[str, ...] = ()) -> Models:
     mk = labelled._Maker(seed)
     bad = [residue_texts.text(r, without) for _ in range(TEXTS)]
     good = []
-    for lang, phrases in labelled.PROSE.items():
-        for p in phrases * 6 + labelled.TITLES[lang] * 3:
-            good.append(mk.fill(p, mk.word().capitalize(), lang))
+    for lang in furniture_texts.LANGUAGES:
+        site = mk.word().capitalize()
+        good += [mk.sentence(site, lang) for _ in range(900 if lang == "en" else 450)] + [mk.title(site, lang) for _ in range(90)]
     good += [mk.fill(p, "Halden", "en") for p in NEAR * 14]
     good += [line for p in labelled.pages(PAGES, seed) for line, own in p if own == 0]
     for lang, words in WORDS.items():
@@ -181,7 +184,10 @@ def _cases(texts: list[str | None], body_model, m: Models, total: float, mean: f
     size = np.maximum(we - ws, 0)
     ratio = w[np.maximum(we, ws)] - w[ws]
     table = (b.cp[s] == 124)[line]
-    res = (ratio > np.minimum(total, 0.6 * size)) & (ratio > mean * size) & ~table
+    # how much likelier residue is than content for a page with so much matter of its own
+    matter = np.bincount(page[line], size / (1 + np.exp(-own[line])), len(texts))
+    few = np.clip(math.log(LENGTHS[1] / LENGTHS[0]) - matter * (1 / LENGTHS[0] - 1 / LENGTHS[1]), -SURE, SURE)
+    res = (ratio > np.minimum(total, 0.6 * size) - np.maximum(few, 0)[page[line]]) & (ratio > mean * size * (few <= 0)[page[line]]) & ~table
     # placeholder windows: runs of shapes with a high ratio, and short residue that stands for a text still to be written
     v, at = _shapes(b)
     w = np.concatenate([[0.0], np.cumsum(m.shape.of(v), dtype=np.float64)])
@@ -200,7 +206,9 @@ def _cases(texts: list[str | None], body_model, m: Models, total: float, mean: f
     natural = (b.cp[s] == 35)[line] & ~res  # a natural title over residue does not make it content
     hit = np.bincount(page[line], np.where(res, heavy, 0), len(texts))
     solid = np.bincount(page[line], np.where(natural, 0, heavy), len(texts))
-    flag |= (hit > 0) & (hit >= coverage * solid)
+    # half of that will do where the page's own matter as a whole is likelier residue than prose
+    whole = np.bincount(page[line], np.where(natural, 0, np.clip(ratio, -SURE * 5, SURE * 5) * (heavy / np.maximum(size, 1))), len(texts)) + few
+    flag |= (hit > 0) & ((hit >= coverage * solid) | ((whole > 0) & (hit >= coverage / 2 * solid)))
     return flag
 
 

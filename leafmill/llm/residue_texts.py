@@ -14,7 +14,7 @@ from http import HTTPStatus
 
 # What error pages say, by language, as (subjects, predicates, advice).
 LOST = {
-    "en": (["The page", "This page", "That document", "The article", "The file you asked for", "The link you followed", "The resource", "The content"], ["could not be found", "does not exist any more", "has been removed", "was deleted", "is missing", "has moved to another address", "cannot be located", "is not here", "has expired", "was taken offline"], ["Check the spelling", "Try the search box", "Return to the homepage", "Go to the front page", "Please update your bookmarks", "The link may be broken or outdated", "Perhaps you mistyped the address", "Here are some helpful links instead"]),
+    "en": (["The page", "This page", "That document", "The article", "The file you asked for", "The link you followed", "The resource", "The content"], ["could not be found", "does not exist any more", "has been removed", "was deleted", "is missing", "has moved to another address", "cannot be located", "is not here", "has expired", "was taken offline", "is no longer available", "is unavailable"], ["Check the spelling", "Try the search box", "Return to the homepage", "Go to the front page", "Please update your bookmarks", "The link may be broken or outdated", "Perhaps you mistyped the address", "Here are some helpful links instead"]),
     "de": (["Die Seite", "Diese Datei", "Der Artikel", "Das Dokument", "Der Inhalt", "Die Adresse"], ["wurde nicht gefunden", "existiert nicht mehr", "wurde entfernt", "ist umgezogen", "ist nicht verfügbar", "konnte nicht gefunden werden", "wurde gelöscht"], ["Prüfen Sie die Schreibweise", "Zurück zur Startseite", "Nutzen Sie die Suche", "Der Link ist vermutlich veraltet"]),
     "fr": (["La page", "Ce document", "L'article", "Le fichier", "Le contenu", "Cette adresse"], ["est introuvable", "n'existe plus", "a été supprimé", "a été déplacée", "n'est plus disponible", "n'a pas été trouvé"], ["Vérifiez l'orthographe", "Retour à l'accueil", "Utilisez la recherche", "Le lien est peut-être périmé"]),
     "es": (["La página", "Este documento", "El artículo", "El archivo", "El contenido", "Esta dirección"], ["no se encuentra", "no existe", "ha sido eliminado", "se ha movido", "ya no está disponible", "no pudo encontrarse"], ["Revise la ortografía", "Vuelva al inicio", "Use el buscador", "El enlace puede estar roto"]),
@@ -22,12 +22,12 @@ LOST = {
     "ja": (["ページ", "指定されたファイル", "この記事", "アクセスしたURL"], ["は見つかりません", "は存在しません", "は削除されました", "は移動しました", "は公開を終了しました"], ["トップページへ戻ってください", "URLをご確認ください", "検索をお試しください"]),
 }
 BROKEN = {
-    "en": (["The server", "Our server", "The application", "The site", "This service", "The backend", "The database", "Something", "The gateway", "Your request", "The connection"], ["ran into a problem", "failed to answer", "did not respond in time", "is overloaded", "is offline for maintenance", "returned an invalid response", "crashed unexpectedly", "is temporarily unavailable", "is undergoing scheduled maintenance", "went wrong on our side", "could not be processed", "was interrupted", "timed out", "was refused", "has failed with an unknown error"], ["Please try again later", "Try again in a few minutes", "Reload the page", "Refresh your browser", "Contact the administrator if this goes on", "We have been notified and are working on a fix", "We apologise for the inconvenience", "We will be back soon", "Please come back in N minutes", "Quote the incident number H when you write to us"]),
-    "de": (["Der Server", "Die Anwendung", "Der Dienst", "Die Verbindung", "Ihre Anfrage", "Die Datenbank"], ["antwortet nicht", "ist überlastet", "wird gewartet", "ist vorübergehend nicht erreichbar", "konnte nicht verarbeitet werden", "hat einen Fehler gemeldet", "wurde unterbrochen", "ist abgestürzt"], ["Bitte versuchen Sie es in N Minuten wieder", "Laden Sie die Seite neu", "Wir arbeiten an der Behebung", "Wir bitten um Entschuldigung", "Ein unerwarteter Fehler ist aufgetreten"]),
-    "fr": (["Le serveur", "L'application", "Le service", "La connexion", "Votre demande", "La base de données"], ["ne répond pas", "est surchargé", "est en maintenance", "est momentanément indisponible", "n'a pas pu être traitée", "a rencontré un problème", "a été interrompue"], ["Veuillez réessayer dans N minutes", "Rechargez la page", "Nous travaillons à une solution", "Une erreur inattendue est survenue", "Veuillez nous excuser"]),
-    "es": (["El servidor", "La aplicación", "El servicio", "La conexión", "Su solicitud", "La base de datos"], ["no responde", "está saturado", "está en mantenimiento", "no está disponible por el momento", "no pudo procesarse", "ha tenido un problema", "se interrumpió"], ["Inténtelo de nuevo en N minutos", "Recargue la página", "Estamos trabajando para resolverlo", "Se ha producido un error inesperado", "Disculpe las molestias"]),
-    "pt": (["O servidor", "O aplicativo", "O serviço", "A conexão", "Sua solicitação", "O banco de dados"], ["não responde", "está sobrecarregado", "está em manutenção", "está indisponível no momento", "não pôde ser processada", "teve um problema", "foi interrompida"], ["Tente de novo em N minutos", "Recarregue a página", "Estamos trabalhando na correção", "Ocorreu um erro inesperado", "Pedimos desculpas"]),
-    "ja": (["サーバー", "システム", "サービス", "データベース", "接続"], ["が応答しません", "は現在メンテナンス中です", "が混み合っています", "でエラーが起きました", "が中断されました", "は一時的に利用できません"], ["時間をおいて再度お試しください", "ページを再読み込みしてください", "ご迷惑をおかけします", "予期しないエラーです"]),
+    "en": (["The server", "Our server", "The application", "The site", "This service", "The backend", "The database", "Something", "The gateway", "Your request", "The connection"], ["ran into a problem", "failed to answer", "did not respond in time", "is overloaded", "is offline for maintenance", "returned an invalid response", "crashed unexpectedly", "is temporarily unavailable", "is undergoing scheduled maintenance", "went wrong on our side", "could not be processed", "was interrupted", "timed out", "was refused", "has failed with an unknown error"], ["Please try again later", "Try again in a few minutes", "Reload the page", "Refresh your browser", "Contact the administrator if this goes on", "We have been notified and are working on a fix", "We apologise for the inconvenience", "We will be back soon", "Please come back in N minutes", "Quote the incident number H when you write to us", "Thank you for your patience", "Please try again shortly"]),
+    "de": (["Der Server", "Die Anwendung", "Der Dienst", "Die Verbindung", "Ihre Anfrage", "Die Datenbank"], ["antwortet nicht", "ist überlastet", "wird gewartet", "ist vorübergehend nicht erreichbar", "konnte nicht verarbeitet werden", "hat einen Fehler gemeldet", "wurde unterbrochen", "ist abgestürzt"], ["Bitte versuchen Sie es in N Minuten wieder", "Laden Sie die Seite neu", "Wir arbeiten an der Behebung", "Wir bitten um Entschuldigung", "Ein unerwarteter Fehler ist aufgetreten", "Bitte versuchen Sie es später erneut", "Danke für Ihre Geduld"]),
+    "fr": (["Le serveur", "L'application", "Le service", "La connexion", "Votre demande", "La base de données"], ["ne répond pas", "est surchargé", "est en maintenance", "est momentanément indisponible", "n'a pas pu être traitée", "a rencontré un problème", "a été interrompue"], ["Veuillez réessayer dans N minutes", "Rechargez la page", "Nous travaillons à une solution", "Une erreur inattendue est survenue", "Veuillez nous excuser", "Veuillez réessayer plus tard", "Merci de votre patience"]),
+    "es": (["El servidor", "La aplicación", "El servicio", "La conexión", "Su solicitud", "La base de datos"], ["no responde", "está saturado", "está en mantenimiento", "no está disponible por el momento", "no pudo procesarse", "ha tenido un problema", "se interrumpió"], ["Inténtelo de nuevo en N minutos", "Recargue la página", "Estamos trabajando para resolverlo", "Se ha producido un error inesperado", "Disculpe las molestias", "Vuelva a intentarlo más tarde", "Gracias por su paciencia"]),
+    "pt": (["O servidor", "O aplicativo", "O serviço", "A conexão", "Sua solicitação", "O banco de dados"], ["não responde", "está sobrecarregado", "está em manutenção", "está indisponível no momento", "não pôde ser processada", "teve um problema", "foi interrompida"], ["Tente de novo em N minutos", "Recarregue a página", "Estamos trabalhando na correção", "Ocorreu um erro inesperado", "Pedimos desculpas", "Tente novamente mais tarde", "Obrigado pela paciência"]),
+    "ja": (["サーバー", "システム", "サービス", "データベース", "接続"], ["が応答しません", "は現在メンテナンス中です", "が混み合っています", "でエラーが起きました", "が中断されました", "は一時的に利用できません"], ["時間をおいて再度お試しください", "ページを再読み込みしてください", "ご迷惑をおかけします", "予期しないエラーです", "後でもう一度お試しください"]),
 }
 # The usual translations of the reason phrases of HTTP.
 REASONS = {
@@ -56,7 +56,7 @@ SCRIPTS = {
     "ja": (["JavaScript", "スクリプト"], ["Vを有効にしてください", "Vをオンにしてください", "Vを許可してください"], [""], ["このサイトにはVが必要です", "Vが無効になっています", "お使いのブラウザには対応していません", "Vを使わないと表示できません"]),
 }
 WAIT = {
-    "en": ["Loading", "Please wait", "One moment please", "Just a second", "Fetching data", "Preparing the page", "The content is loading", "Loading the document", "Please be patient while the data loads", "Initialising", "Starting the application", "Redirecting", "You will be redirected shortly", "Still loading, hang on", "Rendering"],
+    "en": ["Loading", "Loading content", "Loading page", "Loading application", "Please wait", "One moment please", "Just a second", "Fetching data", "Preparing the page", "The content is loading", "Loading the document", "Please be patient while the data loads", "Initialising", "Starting the application", "Redirecting", "You will be redirected shortly", "Still loading, hang on", "Rendering"],
     "de": ["Laden", "Bitte warten", "Einen Moment bitte", "Inhalt wird geladen", "Daten werden abgerufen", "Sie werden weitergeleitet"],
     "fr": ["Chargement", "Veuillez patienter", "Un instant", "Chargement des données", "Vous allez être redirigé"],
     "es": ["Cargando datos", "Espere un momento", "Un instante por favor", "El contenido se está cargando", "Será redirigido"],
