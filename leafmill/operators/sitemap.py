@@ -131,6 +131,11 @@ def totals(entries: DataFrame) -> DataFrame:
     return entries.groupBy("sitemap_url").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("url").alias("urls"), F.count_if(F.col("lastmod").isNull()).alias("without_lastmod"), F.count_if(odd).alias("odd_priority"), (F.count(F.lit(1)) >= WARN).alias("many"))
 
 
+def shown(entries: DataFrame, most: int = 500) -> DataFrame:
+    """The first entries by url, as a list shows them (a bounded report)."""
+    return entries.orderBy("url").limit(most)
+
+
 def pick(entries: DataFrame, text: str = "", prefix: str | None = None) -> DataFrame:
     """Entries whose url holds a text and whose path starts with a prefix."""
     from ..functions.url import path

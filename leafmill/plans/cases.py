@@ -558,6 +558,33 @@ def dashboard_cases(spark, path):
     return out.select(F.col("total_size_bytes").alias("bytes"), "jobs", F.col("pages_saved").alias("pages"), F.round("fail_rate", 6).alias("fail"))
 
 
+@query(rows("run string, id string", [("get", "j2")]))
+def store_get_cases(spark, path):
+    jobs, _ = _jobs(spark)
+    return readers.get(jobs, "j2").unionByName(readers.get(jobs, "none")).select(F.lit("get").alias("run"), "id")
+
+
+@query(rows("url string, content string", [("https://h.example/a", "A"), ("https://h.example/b/", ""), ("no url", "U")]))
+def page_content_cases(spark, path):
+    files = _in(spark, "host string, path string, content string", [("h.example", "a.md", "A"), ("o.example", "b/index.md", "B"), ("unknown", "unnamed.md", "U"), ("h.example", "c.md", "C")])
+    return readers.with_content(_in(spark, "url string", [("https://h.example/a",), ("https://h.example/b/",), ("no url",)]), files)
+
+
+@query("select url from sitemap_entries order by url nulls first limit 500")
+def sitemap_shown(spark, path):
+    return X.shown(spark.read.parquet(f"{path}/sitemap_entries.parquet")).select("url")
+
+
+@query(rows("n bigint, path string", [(1, "a.html"), (2, "b.md"), (3, "x/c.md")]))
+def page_lookup_cases(spark, path):
+    files = _in(spark, "path string, content string", [("file:/out/x/c.md", "C"), ("file:/out/x/cc.md", "D"), ("file:/out/b.md", "B"), ("file:/out/a.html", "A")])
+    out = None
+    for n, p in ((1, "a.html"), (2, "b.md"), (3, "x/c.md")):
+        part = readers.read_page(files, p).select(F.lit(n).cast("bigint").alias("n"), F.lit(p).alias("path"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # --- events
 
 _PROGRESS = {"pages_crawled": 2, "page_limit": 10, "current_url": "https://h.example/a", "depth": 1, "max_depth": 3, "start_time": None}

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from ..functions import url as U
 from ..functions.html import to_markdown
 from ..functions.safety import EPUB_IMAGES, is_allowed_mime, is_transient_status
 from ..functions.text import extension
@@ -37,6 +38,18 @@ def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
+def get(store: DataFrame, key: str, name: str = "id") -> DataFrame:
+    """The row of a store with a key, if any; the filter reaches the scan."""
+    return store.where(F.col(name) == key)
+
+
+def with_content(pages: DataFrame, files: DataFrame, url: str = "url") -> DataFrame:
+    """Pages (url, ...) with the content of their stored file (host, path, content), empty where there is none."""
+    at = files.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("content").alias("_content"))
+    placed = pages.withColumn("_h", F.coalesce(U.host(F.col(url)), F.lit("unknown"))).withColumn("_p", F.coalesce(U.page_path(F.col(url)), F.lit("unnamed.md")))
+    return placed.join(at, (F.col("_h") == F.col("_host")) & (F.col("_p") == F.col("_path")), "left").select(*pages.columns, F.coalesce("_content", F.lit("")).alias("content"))
+
+
 def read_page(files: DataFrame, relative: str) -> DataFrame:
     return files.where(F.col("path").endswith("/" + relative))
 
