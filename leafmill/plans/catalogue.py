@@ -332,18 +332,33 @@ def html_to_markdown(spark, path):
     return _md(spark, path, lambda c: html.to_markdown_udf(html.to_html_udf(c)))
 
 
-@query()
+def _escaped(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+@query(_L + "select page_id, pos::int as pos, regexp_replace(link, '^(https?://[^/?#]+)($|[?#])', '\\1/\\2') as link from l")
 def html_links(spark, path):
-    p = _t(spark, path, "page_results").where("content is not null").select("page_id", "url", html.to_html_udf("content").alias("html"))
-    return L.extract(p)
+    anchors = F.array_join(F.transform(F.coalesce("links", F.array().cast("array<string>")), lambda x: F.concat(F.lit('<li><a class="x" href="'), _escaped(x), F.lit('">t</a></li>'))), "")
+    return L.extract(_t(spark, path, "page_results").select("page_id", "url", F.concat(F.lit("<body><ul>"), anchors, F.lit("</ul></body>")).alias("html")))
 
 
-@query()
+_ESC = "replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"select page_id, md5(case when strlen({_trim(_ESC)}) > 100 then {_ESC} else '<html><body><nav>menu</nav><main>' || {_ESC} || '</main></body></html>' end) as digest from page_results where content is not null")
 def html_content(spark, path):
-    p = _t(spark, path, "page_results").where("content is not null").select("page_id", F.concat(F.lit("<html><body><nav>menu</nav><main>"), html.to_html_udf("content"), F.lit("</main></body></html>")).alias("html"))
+    p = _t(spark, path, "page_results").where("content is not null").select("page_id", F.concat(F.lit("<html><body><nav>menu</nav><main>"), _escaped(F.col("content")), F.lit("</main></body></html>")).alias("html"))
     return L.content_places(p, L.CrawlConfig()).select("page_id", F.md5("content").alias("digest"))
 
 
+@query(f"""with t as (select page_id, trim(regexp_replace(coalesce(title, ''), '[ \\t\\n\\r\\f\\x0B\\x{{1c}}-\\x{{1f}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g')) as t, links from page_results)
+select page_id, md5(array_to_string(list_concat(case when t = '' then []::varchar[] else ['# ' || t] end, list_transform(coalesce(links, []::varchar[]), lambda x: '[t](' || x || ')')), E'\\n\\n')) as digest from t""")
+def html_page_to_markdown(spark, path):
+    anchors = F.array_join(F.transform(F.coalesce("links", F.array().cast("array<string>")), lambda x: F.concat(F.lit('<p><a href="'), _escaped(x), F.lit('">t</a></p>'))), "")
+    page = F.concat(F.lit("<html><head><style>p{}</style></head><body><script>x()</script><h1>"), _escaped(F.coalesce("title", F.lit(""))), F.lit("</h1>"), anchors, F.lit("</body></html>"))
+    return _t(spark, path, "page_results").select("page_id", F.md5(html.to_markdown_udf(page)).alias("digest"))
+
+
 _TITLE = "coalesce(title, '')"
 
 
@@ -614,9 +629,8 @@ def sitemap_pick(spark, path):
 
 
 def _bodies(spark, path):
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     e = _t(spark, path, "sitemap_entries").where("url is not null and sitemap_url is not null")
-    item = F.concat(F.lit("<url><loc>"), esc(F.col("url")), F.lit("</loc></url>"))
+    item = F.concat(F.lit("<url><loc>"), _escaped(F.col("url")), F.lit("</loc></url>"))
     return e.groupBy("sitemap_url").agg(F.array_join(F.collect_list(item), "").alias("b")).select(F.col("sitemap_url").alias("url"), F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "b", F.lit("</urlset>")).cast("binary").alias("body"))
 
 
