@@ -25,8 +25,8 @@ from .tokens import ENCODE_CHARS, VOCABULARY
 
 #: Labelled documents of a source on which the classifier is fitted (expected number, chosen by hash).
 SAMPLE = 400
-#: Rows of the target table that are accepted; it is read into the driver.
-MAX_SOURCES = 1000
+#: Rows of the target table that are accepted; it is read into the driver, and so are the sums of the strata: at most 8 k^2 rows of k numbers for k sources (64 MB).
+MAX_SOURCES = 100
 #: Prior probability of a document's own label.
 LABEL = 0.95
 _BUCKETS, _BINS = 1 << 15, 4096

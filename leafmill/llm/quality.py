@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from .common import by_blocks, written
 from .kernel import ALNUM, CJK, NUMBER, SPACE, Block, mix, spans_hash, tables
 
+#: Statistics.  Two of them say nothing about very short texts and are then 1: the share of distinct three-word sequences up to
+#: five sequences, that of distinct words up to twelve words.  The latter is taken of at most 400 words, as the vocabulary of a
+#: language grows ever slower with the length of a text.
 _STATS = ["n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_word_share", "digit_ratio", "inner_symbol_share", "sentence_share", "distinct_trigram_share", "distinct_word_share", "words_per_line", "number_end_share"]
 #: Labelling functions: statistic, votes prose when at or inside, votes against when beyond (fixed values).
 FUNCTIONS: list[tuple[str, str, str]] = [

@@ -209,7 +209,7 @@ def test_pieces_by_tokens_of_a_tokenizer(spark):
         pieces.pieces(df, unit="pages")
 
 
-@pytest.mark.parametrize("name", ["p2_found", "p6_slices"])
+@pytest.mark.parametrize("name", ["p2_clean", "p2_found", "p6_slices"])
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
 def test_queries_against_sql(spark, name):
     import duckdb
