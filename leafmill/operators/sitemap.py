@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from xml.etree.ElementTree import ParseError, XMLPullParser
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
-from ..plans.shared import written
+from ..plans.shared import forget, written
 
 #: Bounds of an expansion (parameters of ``expand``): urls, sub-sitemaps, depth, bytes of a body.
 URLS, SUBS, DEPTH, BYTES, WARN = 10_000, 50, 2, 50 * 1024 * 1024, 1000
@@ -83,23 +84,27 @@ def parse(url: pd.Series, body: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "entries", "subs", "error"])
 
 
-def expand(bodies: DataFrame, roots: list[str], urls: int | None = URLS, subs: int | None = SUBS, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+def expand(bodies: DataFrame, roots: list[str], urls: int | None = URLS, subs: int | None = SUBS, depth: int = DEPTH, stop: Callable[[], bool] = lambda: False) -> tuple[DataFrame, DataFrame]:
     """(entries, sources) of sitemaps (url, body), index files followed to a depth.
 
     Entries are distinct by url; the first ``urls`` of them are kept, and
     ``truncated`` says in each row whether more were there.  At most ``subs``
     sub-sitemaps of a depth are followed (None: all).  ``sources`` has a row for
     each sitemap read with its depth and error, if any; one that fails leaves
-    the others whole.
+    the others whole.  ``stop`` is asked before each depth; what was read until
+    then comes out.
     """
     spark = bodies.sparkSession
     parsed = written(bodies.select("url", parse("url", "body").alias("p")).select("url", "p.*"))
     level = spark.createDataFrame([(r,) for r in roots], "url string")
     seen = written(parsed.join(level, "url").withColumn("depth", F.lit(0)))
     for d in range(1, depth + 1):
+        if stop():
+            break
         below = seen.where(F.col("depth") == d - 1).select(F.explode("subs").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
         below = below if subs is None else below.orderBy("url").limit(subs)
-        seen = written(seen.unionByName(parsed.join(below, "url").withColumn("depth", F.lit(d))))
+        old, seen = seen, written(seen.unionByName(parsed.join(below, "url").withColumn("depth", F.lit(d))))
+        forget(old)
     e = seen.select("depth", F.col("url").alias("source"), F.posexplode("entries").alias("pos", "e")).select("depth", "source", "pos", "e.*").where("url <> ''")
     first = e.groupBy("url").agg(F.min_by(F.struct("lastmod", "priority"), F.struct("depth", "source", "pos")).alias("v"), F.min(F.struct("depth", "source", "pos")).alias("o"))
     if urls is not None:

@@ -140,7 +140,7 @@ def html_export_cases(spark, path):
 
 # --- Markdown
 
-_UI = "# Setup\nCopy pageOpen markdownEdit page\nCopyPage\nEdit  page\nCopy page Copy code\nkept: Copy code here\n  We use  cookies to count visits\nSubscribe to our newsletter\nCopy code\n\nend"
+_UI = "# Setup\nCopyPage OpenMarkdown EditPage\nCopyPage\nEdit  page\nCopy page Copy code\nkept: Copy code here\n  We use  cookies to count visits\nSubscribe to our newsletter\nCopy code\n\nend"
 _LONG = "A line of words that is long enough to count as a section of its own when it comes again. " * 2
 _TOC = "* [One](#one)\n* [Two](#two)\n- [Three](x.html#three)"
 
@@ -152,7 +152,7 @@ def _joined(*parts):
 _MD_RULES = {
     "boilerplate": (M.strip_ui, [(_UI, "# Setup\nCopy page Copy code\nkept: Copy code here\n\nend"), ("a\r\nCopy code\r\nb\r\n", "a\nb"), ("", ""), ("copy page", "")]),
     "dedup": (M.dedup, [(_joined(_LONG, "a", _LONG, "b", "a", "c"), _joined(_LONG, "a", "b", "a", "c")), (_joined("1", "2", "3", _TOC, "4", "5"), _joined("1", "2", "3", "4", "5")), (_joined("1", _TOC), _joined("1", _TOC)), (_joined("1", "2", "3", "* plain\n* list\n* here", "4", "5"), _joined("1", "2", "3", "* plain\n* list\n* here", "4", "5"))]),
-    "stubs": (M.strip_trailing_stubs, [(_joined("Full text stands here.", "## A", "Body of some length that ends.", "## B", "💡Tip", "Set\n---"), _joined("Full text stands here.", "## A", "Body of some length that ends.")), (_joined("Full text stands here.", "b is a text that is long enough", "c.", "* short item"), _joined("Full text stands here.", "b is a text that is long enough", "c.")), (_joined("## A", "## B", "## C", "## D"), _joined("## A", "## B", "## C", "## D")), (_joined("text.", "## A", "## B"), _joined("text.", "## A", "## B")), (_joined("", "## A", "## B", "## C"), ""), (_joined("x.", "y.", "z.", "## H\nwith a line"), _joined("x.", "y.", "z.", "## H\nwith a line"))]),
+    "stubs": (M.strip_trailing_stubs, [(_joined("Full text stands here.", "## A", "Body of some length that ends.", "## B", "🔧 Tools", "Set\n---"), _joined("Full text stands here.", "## A", "Body of some length that ends.")), (_joined("Full text stands here.", "b is a text that is long enough", "c.", "* short item"), _joined("Full text stands here.", "b is a text that is long enough", "c.")), (_joined("## A", "## B", "## C", "## D"), _joined("## A", "## B", "## C", "## D")), (_joined("text.", "## A", "## B"), _joined("text.", "## A", "## B")), (_joined("", "## A", "## B", "## C"), ""), (_joined("x.", "y.", "z.", "## H\nwith a line"), _joined("x.", "y.", "z.", "## H\nwith a line"))]),
     "collapse": (M.collapse_blank, [("a\n\n\n\nb\n\nc", "a\n\nb\n\nc"), ("\n\n\n", "\n\n")]),
     "links": (M.remove_empty_links, [("see [here]() and [there]( ) or [x](y)", "see here and there or [x](y)"), ("[]()", "[]()")]),
     "images": (M.remove_broken_images, [("a ![alt]() b ![]( ) c ![ok](i.png)", "a  b  c ![ok](i.png)")]),
@@ -184,7 +184,7 @@ def md_title_cases(spark, path):
 _BODY = [f"Body {w} one stands here.\nMore of {w} follows.\nAnd {w} ends the page." for w in ("alpha", "beta", "gamma", "delta", "epsilon")]
 _BOOKS = {
     "manual": ([f"Pump Manual\n{b}\nwww.pump.example" for b in _BODY], _BODY),
-    "chapters": ([f"Chapter {i} - Setup\n{b}" for i, b in enumerate(_BODY, 1)], _BODY),
+    "chapters": ([f"Part {i} / Setup of pumps\n{b}" for i, b in enumerate(_BODY, 1)], _BODY),
     "two pages": ([f"Pump Manual\n{b}" for b in _BODY[:2]], [f"Pump Manual\n{b}" for b in _BODY[:2]]),
     "numbers": (["42\n" + _BODY[0], "Page 5\n" + _BODY[1], _BODY[2] + "\n- 3 -"], _BODY[:3]),
     "kept number": (["first line\nsecond line\nthird line\nfourth line\nfifth line\nthe count\n42\nof parts\nsixth line\nseventh line\neighth line\nninth line\ntenth line"], ["first line\nsecond line\nthird line\nfourth line\nfifth line\nthe count\n42\nof parts\nsixth line\nseventh line\neighth line\nninth line\ntenth line"]),
@@ -358,8 +358,8 @@ def link_filter_cases(spark, path):
     return df.join(kept, "link", "left").select("link", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
-_ROBOTS = {"a.example": "User-agent: *\nDisallow: /private/\nAllow: /private/open\nCrawl-delay: 5\n", "b.example": "User-agent: other\nDisallow: /\n", "c.example": "# all closed\nUser-agent: *\nDisallow: / # everything\n", "d.example": "User-agent: *\nDisallow:\n", "e.example": "User-agent: leafmill\nDisallow: /x\nUser-agent: *\nDisallow: /\n"}
-_ASKED = [("a.example", "/private/x", False), ("a.example", "/private/open/y", True), ("a.example", "/", True), ("b.example", "/any", True), ("c.example", "/any", False), ("d.example", "/any", True), ("e.example", "/any", True), ("e.example", "/xy", False), ("none.example", "/any", True)]
+_ROBOTS = {"a.example": "User-agent: *\nDisallow: /private/\nAllow: /private/open\nCrawl-delay: 5\n", "b.example": "User-agent: other\nDisallow: /\n", "c.example": "# all closed\nUser-agent: *\nDisallow: / # everything\n", "d.example": "User-agent: *\nDisallow:\n", "e.example": "User-agent: leafmill\nDisallow: /x\nUser-agent: *\nDisallow: /\n", "f.example": None}
+_ASKED = [("a.example", "/private/x", False), ("a.example", "/private/open/y", True), ("a.example", "/", True), ("b.example", "/any", True), ("c.example", "/any", False), ("d.example", "/any", True), ("e.example", "/any", True), ("e.example", "/xy", False), ("none.example", "/any", True), ("f.example", "/any", True)]
 
 
 @query(rows("host string, path string, allowed boolean, delay bigint", [(h, p, w, 5 if h == "a.example" else -1) for h, p, w in _ASKED]))

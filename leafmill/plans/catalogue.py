@@ -507,9 +507,10 @@ def job_velocity(spark, path):
     return J.job_velocity(_t(spark, path, "jobs"), NOW).withColumn("pages_per_minute", F.round("pages_per_minute", 6))
 
 
-@query(_VEL + "select count(*) as jobs, coalesce(sum(pages), 0)::bigint as pages_saved, round(coalesce((select speed from w where lower(status) = 'running' order by coalesce(start_time, '') desc, id desc limit 1), (select speed from w where lower(status) = 'completed' order by coalesce(end_time, '') desc, id desc limit 1), 0.0), 6) as velocity, round(coalesce(count(*) filter (where lower(status) = 'failed') * 100.0 / nullif(count(*), 0), 0), 6)::double as fail_rate from w")
+@query(_VEL + "select count(*) as jobs, coalesce((select sum(strlen(content)) from page_results where job_id in (select id from jobs)), 0)::bigint as total_size_bytes, coalesce(sum(pages), 0)::bigint as pages_saved, round(coalesce((select speed from w where lower(status) = 'running' order by coalesce(start_time, '') desc, id desc limit 1), (select speed from w where lower(status) = 'completed' order by coalesce(end_time, '') desc, id desc limit 1), 0.0), 6) as velocity, round(coalesce(count(*) filter (where lower(status) = 'failed') * 100.0 / nullif(count(*), 0), 0), 6)::double as fail_rate from w")
 def dashboard_stats(spark, path):
-    return J.dashboard(_t(spark, path, "jobs"), NOW).drop("total_size_bytes").withColumn("velocity", F.round("velocity", 6)).withColumn("fail_rate", F.round("fail_rate", 6))
+    sizes = _t(spark, path, "page_results").groupBy(F.col("job_id").alias("id")).agg(F.sum(F.octet_length("content")).alias("bytes"))
+    return J.dashboard(_t(spark, path, "jobs"), NOW, sizes).withColumn("velocity", F.round("velocity", 6)).withColumn("fail_rate", F.round("fail_rate", 6))
 
 
 @query("select 'job' as kind, id, url, status, coalesce(start_time, end_time, '') as sort_key from jobs where batch_id is null union all select 'batch', id, name, status, coalesce(start_time, created_at, '') from batches")
@@ -517,10 +518,32 @@ def job_history(spark, path):
     return J.history(_t(spark, path, "jobs"), _t(spark, path, "batches"))
 
 
-@query("select id, status from jobs where lower(status) = 'running' union all select id, status from jobs where id not in (select id from jobs where lower(status) = 'running')")
+_FITS = "(status = 'failed' and (contains(lower(coalesce(url, '')), 'docs') or contains(lower(id), 'docs') or contains(lower(coalesce(batch_id, '')), 'docs')))"
+
+
+@query(f"select id, batch_id from jobs where {_FITS}")
+def history_jobs(spark, path):
+    return J.matching_jobs(_t(spark, path, "jobs"), "failed", "Docs").select("id", "batch_id")
+
+
+@query(f"""with f as (select * from jobs where {_FITS}), k as (select batch_id as id, count(*) as children from f where batch_id is not null group by 1),
+b as (select b.*, coalesce(k.children, 0) as children from batches b left join k on b.id = k.id)
+select 'batch' as kind, id, children from b where (status = 'failed' or children > 0) and (children > 0 or contains(lower(id), 'docs') or contains(lower(coalesce(name, '')), 'docs') or len(list_filter(coalesce(urls, []), lambda u: contains(lower(u), 'docs'))) > 0)
+union all select 'job', id, 0 from f where batch_id is null""")
+def history_groups(spark, path):
+    return J.history_groups(_t(spark, path, "jobs"), _t(spark, path, "batches"), "failed", "Docs").select("kind", "id", "children")
+
+
+@query("select id, 'live' as status from jobs where lower(status) = 'running' union all select id, status from jobs where lower(status) <> 'running' or status is null")
 def list_jobs_union(spark, path):
     j = _t(spark, path, "jobs").select("id", "status")
-    return J.list_union(j.where("lower(status) = 'running'"), j)
+    return J.list_union(j.where("lower(status) = 'running'").withColumn("status", F.lit("live")), j)
+
+
+@query("select id, created_at from batches")
+def list_batches(spark, path):
+    b = _t(spark, path, "batches").select("id", "created_at")
+    return J.list_batches(b.limit(0), b)
 
 
 @query("""with k as (select id, generate_subscripts(child_job_ids, 1) as idx, unnest(child_job_ids) as child from batches), r as (select k.*, j.status as st, j.error as er from k left join jobs j on k.child = j.id)
@@ -556,10 +579,15 @@ def bookmark_toggle(spark, path):
     return _t(spark, path, "jobs").select("id", F.array_join(J.toggle(F.col("bookmarks"), F.col("url")), "|").alias("bookmarks"))
 
 
-@query("select id, (coalesce(cardinality(annotations), 0) + case when url is null or map_contains(annotations, url) then 0 else 1 end)::bigint as notes, 'kept' as note from jobs where url is not null")
+_NOTES_BUT = "list_transform(list_filter(map_entries(coalesce(annotations, MAP {}::map(varchar, varchar))), lambda e: e.key <> url), lambda e: e.key || '=' || e.value)"
+
+
+@query(f"select id, array_to_string(list_sort(list_append({_NOTES_BUT}, url || '=kept')), '|') as noted, array_to_string(list_sort({_NOTES_BUT}), '|') as removed from jobs where url is not null")
 def annotation_apply(spark, path):
-    j = _t(spark, path, "jobs").where("url is not null").select("id", "url", J.annotate(F.col("annotations"), F.col("url"), F.lit("  kept ")).alias("m"))
-    return j.select("id", F.size("m").cast("bigint").alias("notes"), F.col("m")[F.col("url")].alias("note"))
+    shown = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    j, u = _t(spark, path, "jobs").where("url is not null"), F.col("url")
+    noted = J.annotate(F.col("annotations"), u, F.lit("  kept "))
+    return j.select("id", shown(noted).alias("noted"), shown(J.annotate(noted, u, F.lit("  "))).alias("removed"))
 
 
 @query("select id, round(coalesce(least(100.0, progress.pages_crawled * 100.0 / nullif(progress.page_limit, 0)), 0.0), 6)::double as percent from jobs")

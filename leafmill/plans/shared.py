@@ -36,7 +36,16 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the table of ``written`` before the session ends; nothing may read ``df`` afterwards."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def ranked(df: DataFrame, group: list[str], order: list, name: str, weight: Column | None = None) -> DataFrame:

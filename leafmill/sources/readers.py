@@ -5,18 +5,21 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import time
 import zipfile
+from collections.abc import Callable
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import url as U
 from ..functions.html import to_markdown
-from ..functions.safety import EPUB_IMAGES, is_allowed_mime, is_transient_status
+from ..functions.safety import EPUB_IMAGES, TRANSIENT_TEXTS, is_allowed_mime, is_transient_status
 from ..functions.text import extension
 
 CONFIG = "struct<output_dir string, max_depth int, page_limit int, download_assets boolean, headless_strategy string, content_selectors array<string>, exclude_patterns array<string>, include_patterns array<string>, path_prefix string, respect_robots_txt boolean, stay_within_domain boolean, ssrf_protection boolean, profile string>"
@@ -66,6 +69,41 @@ def folder_size(spark: SparkSession, folder: str, most: int = 1000) -> DataFrame
     return df.orderBy("path").limit(most).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
 
+def fetch_one(get: Callable[[str], tuple[int, bytes]], url: str, retries: int = 3, wait: Callable[[float], None] = time.sleep) -> tuple[int | None, bytes | None, str | None, int]:
+    """(status, body, error, attempts) of a url by ``get``, which gives status and body or raises.
+
+    Statuses 5xx and 408 and transient errors are tried again after 1, 2, 4 ...
+    seconds; only 2xx has a body, any other status is an error at once.
+    """
+    for attempt in range(retries + 1):
+        status, error = None, None
+        try:
+            status, body = get(url)
+            if 200 <= status <= 299:
+                return status, body, None, attempt + 1
+            error, again = f"status {status}", status >= 500 and status < 600 or status == 408
+        except Exception as e:  # noqa: BLE001 - a failed fetch is a row with its error
+            error = str(e)
+            again = any(t in error.lower() for t in TRANSIENT_TEXTS)
+        if not again or attempt == retries:
+            return status, None, error, attempt + 1
+        wait(float(2**attempt))
+    raise AssertionError("unreachable")
+
+
+def fetch_pages(urls: DataFrame, get: Callable[[str], tuple[int, bytes]], retries: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(url, status, body, error, attempts) of the urls of a table, fetched by the executors; the partitions bound how many run at once.  Null urls are left out."""
+
+    def run(batches):
+        for batch in batches:
+            got = [(u, *fetch_one(get, u, retries, wait)) for u in batch.column("url").to_pylist()]
+            cols = list(zip(*got)) or [()] * 5
+            kinds = [pa.string(), pa.int32(), pa.binary(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["url", "status", "body", "error", "attempts"])
+
+    return urls.where("url is not null").select("url").mapInArrow(run, "url string, status int, body binary, error string, attempts int")
+
+
 def fetched(pages: DataFrame, strategy: str = "auto") -> DataFrame:
     """Prefetched pages (html, rendered, status): the strategy picks the rendered or the plain text, a failed status has none; ``retry`` tells which to fetch again."""
     plain = F.when(F.col("status").between(200, 299), F.col("html"))

@@ -48,6 +48,13 @@ def write_files(files: DataFrame, folder: str, path: str = "path", content: str
     files.select(path, content).mapInArrow(emit, "n bigint").agg(F.sum("n")).collect()
 
 
+def write_assets(assets: DataFrame, folder: str) -> DataFrame:
+    """Writes assets (url, body) below a folder and gives (url, path) with their relative paths; urls without a host are left out."""
+    placed = assets.select("url", U.asset_path(F.col("url")).alias("path"), "body").where("path is not null")
+    write_files(placed, folder, content="body")
+    return placed.select("url", "path")
+
+
 def by_path(path):
     """Order of files: path parts are compared one by one."""
     return F.split(path, "/")

@@ -10,13 +10,13 @@ def md(spark, text, f):
 
 
 def test_markdown_steps(spark):
-    assert md(spark, "# A\nCopy pageOpen markdownEdit page\nkept Copy code here\nWe use cookies to x\nSubscribe to our newsletter\nCopy code", markdown.strip_ui) == "# A\nkept Copy code here"
+    assert md(spark, "# A\nCopyPage OpenMarkdown EditPage\nkept Copy code here\nWe use cookies to x\nSubscribe to our newsletter\nCopy code", markdown.strip_ui) == "# A\nkept Copy code here"
     long = "x" * 90
     assert md(spark, "\n\n".join([long, "a", long, "b", "a", "c"]), markdown.dedup) == "\n\n".join([long, "a", "b", "a", "c"])
     toc = "* [a](#a)\n* [b](#b)\n* [c](#c)"
     assert md(spark, "\n\n".join(["1.", "2.", "3.", toc, "4.", "5."]), markdown.dedup) == "\n\n".join(["1.", "2.", "3.", "4.", "5."])
     assert md(spark, "\n\n".join([toc, "1."]), markdown.dedup) == "\n\n".join([toc, "1."])
-    assert md(spark, "A full sentence stands here.\n\n## H\n\nText of some length that ends.\n\n## Next\n\n💡Tip", markdown.strip_trailing_stubs) == "A full sentence stands here.\n\n## H\n\nText of some length that ends."
+    assert md(spark, "A full sentence stands here.\n\n## H\n\nText of some length that ends.\n\n## Next\n\n🔧 Tools", markdown.strip_trailing_stubs) == "A full sentence stands here.\n\n## H\n\nText of some length that ends."
     assert md(spark, "## A\n\n## B\n\n## C\n\n## D", markdown.strip_trailing_stubs) == "## A\n\n## B\n\n## C\n\n## D"
     assert md(spark, "a\n\n\n\nb", markdown.collapse_blank) == "a\n\nb"
     assert md(spark, "[Click]( ) ![Alt]()", markdown.clean) == "Click "
@@ -35,11 +35,11 @@ def cleaned(spark, pages, **kw):
 
 
 def test_headers_and_footers(spark):
-    out = cleaned(spark, [f"ACME Corp Manual\nBody {c} one.\nmore {c}\nwww.example.com" for c in "abcde"])
+    out = cleaned(spark, [f"Pump Room Guide\nBody {c} one.\nmore {c}\npump.example/guide" for c in "abcde"])
     assert out == [f"Body {c} one.\nmore {c}" for c in "abcde"]
-    kept = cleaned(spark, ["ACME\nbody a\nx", "ACME\nbody b\ny"])
-    assert all("ACME" in t for t in kept)
-    assert all("Chapter" not in t for t in cleaned(spark, [f"Chapter {i} - Guide\ntext {c}\nend {c}" for i, c in enumerate("abcde")]))
+    kept = cleaned(spark, ["Pumps\nbody a\nx", "Pumps\nbody b\ny"])
+    assert all("Pumps" in t for t in kept)
+    assert all("Part" not in t for t in cleaned(spark, [f"Part {i} / Valves\ntext {c}\nend {c}" for i, c in enumerate("abcde")]))
 
 
 def test_page_numbers(spark):

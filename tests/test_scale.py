@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import html
-from leafmill.operators import pagetext
+from leafmill.operators import pagetext, sitemap
 from leafmill.plans import shared
 from leafmill.sources import readers, sinks
 
@@ -106,3 +106,53 @@ def test_pages_numbered_anew_over_chunks(spark, monkeypatch):
     df = spark.createDataFrame([(b, i, f"t{i}") for b in ("a", None) for i in range(0, 30, 3)], "book string, page_no int, text string")
     got = sorted((r["book"] or "", r["page_no"], r["text"]) for r in pagetext.renumber(df).collect())
     assert got == sorted((b, k, f"t{i}") for b in ("a", "") for k, i in enumerate(range(0, 30, 3)))
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    pages = sinks.pages_out(spark.createDataFrame([("https://h.example/a", "A"), (None, "N"), ("https://o.example/b/", None)], "url string, content string"))
+    sinks.write_pages(pages, str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert {tuple(r) for r in back.select("host", "path", "content").collect()} == {("h.example", "a.md", "A"), ("unknown", "unnamed.md", "N"), ("o.example", "b/index.md", None)}
+    (tmp_path / "s").mkdir()
+    for i in range(4):
+        (tmp_path / f"s/{i}.bin").write_bytes(b"x" * (i + 1))
+    assert readers.folder_size(spark, str(tmp_path / "s")).first()["bytes"] == 10 and readers.folder_size(spark, str(tmp_path / "s"), 2).first()["bytes"] == 3
+
+
+def test_fetches_are_tried_again(spark, tmp_path):
+    script = {"ok": [(200, b"x")], "late": [(503, b""), (408, b""), (204, b"y")], "gone": [(404, b"z")], "down": [OSError("Connection refused")] * 9, "bad": [ValueError("no such scheme")]}
+
+    def getter():
+        left = {k: list(v) for k, v in script.items()}
+
+        def get(url):
+            got = left[url].pop(0)
+            if isinstance(got, Exception):
+                raise got
+            return got
+
+        return get
+
+    waits = []
+    assert readers.fetch_one(getter(), "ok", wait=waits.append) == (200, b"x", None, 1)
+    assert readers.fetch_one(getter(), "late", wait=waits.append) == (204, b"y", None, 3) and waits == [1.0, 2.0]
+    assert readers.fetch_one(getter(), "gone", wait=waits.append) == (404, None, "status 404", 1)
+    assert readers.fetch_one(getter(), "down", wait=waits.append) == (None, None, "Connection refused", 4) and waits == [1.0, 2.0, 1.0, 2.0, 4.0]
+    assert readers.fetch_one(getter(), "bad", wait=waits.append) == (None, None, "no such scheme", 1)
+    urls = spark.createDataFrame([("https://h.example/a",), (None,), ("https://h.example/b",)], "url string")
+    got = readers.fetch_pages(urls, lambda u: (200, u.encode()) if u.endswith("a") else (404, b""), wait=lambda s: None)
+    assert sorted(tuple(r) for r in got.collect()) == [("https://h.example/a", 200, bytearray(b"https://h.example/a"), None, 1), ("https://h.example/b", 404, None, "status 404", 1)]
+
+
+def test_assets_are_written_by_host(spark, tmp_path):
+    df = spark.createDataFrame([("https://h.example/i/a.png", b"A"), ("nonsense", b"B"), ("https://h.example/../b.css", b"C")], "url string, body binary")
+    got = {r["url"]: r["path"] for r in sinks.write_assets(df, str(tmp_path)).collect()}
+    assert got == {"https://h.example/i/a.png": "h.example/i/a.png", "https://h.example/../b.css": "h.example/b.css"}
+    assert (tmp_path / "h.example/i/a.png").read_bytes() == b"A" and (tmp_path / "h.example/b.css").read_bytes() == b"C"
+
+
+def test_a_stopped_expansion_keeps_what_was_read(spark):
+    bodies = spark.createDataFrame([("i", b"<sitemapindex><sitemap><loc>s</loc></sitemap></sitemapindex>"), ("s", b"<urlset><url><loc>u</loc></url></urlset>")], "url string, body binary")
+    assert sitemap.expand(bodies, ["i"])[0].count() == 1
+    entries, sources = sitemap.expand(bodies, ["i"], stop=lambda: True)
+    assert entries.count() == 0 and [r["url"] for r in sources.collect()] == ["i"]
