@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.shared import written  # noqa: F401 - used by the operators of this subpackage
+from ..plans.shared import forget, written  # noqa: F401 - used by the operators of this subpackage
 from .kernel import blocks
 
 

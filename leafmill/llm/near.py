@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .body import Lines, model
-from .common import by_blocks, written
+from .common import by_blocks, forget, written
 from .kernel import ALNUM, Block, mix, spans_hash
 
 SIMILARITY, MIN_WORDS, SHINGLE = 0.6, 60, 3
@@ -256,8 +256,12 @@ def components(pairs: DataFrame) -> DataFrame:
         heard = both.join(labels.select(F.col("class").alias("b"), F.col("root").alias("_heard")), "b").groupBy(F.col("a").alias("class")).agg(F.min("_heard").alias("_heard"))
         nearest = written(labels.join(heard, "class").select("class", "root", F.least("root", "_heard").alias("_new")))
         if nearest.where("_new < root").limit(1).count() == 0:
+            forget(nearest)
+            forget(both)
             return labels
-        labels = written(nearest.join(nearest.select(F.col("class").alias("_new"), F.col("_new").alias("_jump")), "_new").select("class", F.least("_new", "_jump").alias("root")))
+        old, labels = labels, written(nearest.join(nearest.select(F.col("class").alias("_new"), F.col("_new").alias("_jump")), "_new").select("class", F.least("_new", "_jump").alias("root")))
+        forget(old)
+        forget(nearest)
 
 
 def classes(pages: DataFrame, key: str = "page_id", text: str = "content", **kw) -> DataFrame:

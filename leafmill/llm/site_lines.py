@@ -142,6 +142,6 @@ def without(pages: DataFrame, key: str = "page_id", text: str = "content", url:
     """(key, cleaned): each text without its repeated lines, the others kept in place; texts without such lines stay as they are, null stays null."""
     gone = found(pages, key, text, url, **bounds).groupBy(key).agg(F.sort_array(F.collect_list("line_no")).alias("_gone"))
     parts = F.split(F.col(text), "\n", -1)
-    kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("no"))), lambda v: ~F.array_contains(F.col("_gone"), v["no"]))
-    joined = F.array_join(F.transform(kept, lambda v: v["x"]), "\n")
+    kept = F.array_except(F.sequence(F.lit(1), F.size(parts)), F.col("_gone"))  # hashed: no line is sought in the list of the others
+    joined = F.array_join(F.transform(kept, lambda i: F.element_at(parts, i)), "\n")
     return pages.select(key, text).join(gone, key, "left").select(key, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(joined).alias("cleaned"))
