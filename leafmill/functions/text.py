@@ -13,14 +13,22 @@ from pyspark.sql import functions as F
 BLANK = r"[\t\n\x0B\f\r \x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
+#: The same characters as one string.
+WHITE = "\t\n\x0b\f\r \x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]
 
 
 def ws_trim(c: Column) -> Column:
-    """Without outer white space of any kind; null stays null."""
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    """Without outer white space of any kind; null stays null.  Only the ends are looked at."""
+    return F.trim(c, F.lit(WHITE))
+
+
+def ws_trim_end(c: Column) -> Column:
+    return F.rtrim(c, F.lit(WHITE))
 
 
 def is_blank(c: Column) -> Column:
