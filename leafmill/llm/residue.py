@@ -84,12 +84,22 @@ def _characters(b: Block) -> np.ndarray:
     return v
 
 
-def _grams(v: np.ndarray, order: int):
-    """Buckets of the n-grams that end at each symbol, for n = 1 to ``order``."""
+def _sums(v: np.ndarray, order: int):
+    """Sums of the symbols of the n-grams that end at each symbol, for n = 1 to ``order``."""
     h = np.zeros(len(v), np.uint64)
     for k in range(order):
+        h = h.copy()
         h[k:] += v[: len(v) - k] * np.uint64(2 * k * k + 3)
-        yield (mix(h + np.uint64(k)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        yield h
+
+
+def _buckets(h: np.ndarray, k: int) -> np.ndarray:
+    return (mix(h + np.uint64(k)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def _grams(v: np.ndarray, order: int):
+    """Buckets of the n-grams that end at each symbol, for n = 1 to ``order``."""
+    return (_buckets(h, k) for k, h in enumerate(_sums(v, order)))
 
 
 class Ratios:
@@ -123,9 +133,12 @@ class Ratios:
     def of(self, v: np.ndarray) -> np.ndarray:
         """The ratio of each symbol."""
         out = np.zeros(len(v), np.float32)
-        for k, g in enumerate(_grams(v, self.order)):
-            x = self.tables[k][g]
-            out = np.where(np.isnan(x), out, x)
+        left = np.arange(len(v))
+        for k, h in reversed(list(enumerate(_sums(v, self.order)))):  # the longest n-gram first, shorter ones where it was not seen
+            x = self.tables[k][_buckets(h[left], k)]
+            none = np.isnan(x)
+            out[left[~none]] = x[~none]
+            left = left[none]
         return out
 
 
