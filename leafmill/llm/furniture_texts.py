@@ -1,7 +1,8 @@
 """Phrases of page furniture in six languages, put together from parts.
 
-The parts are fixed values written from general knowledge of web pages, not
-from any table: each entry of a group is a row of slots, a slot a choice of
+The parts are fixed values written from general knowledge of web pages (the
+README says how they relate to the test tables): each entry of a group is a row
+of slots, a slot a choice of
 words parted by ``|``.  S is the site's name, T a page title, N a number, D a
 date.
 """

@@ -1,7 +1,8 @@
 """Texts of error pages, script notices, filler and placeholders, put together from parts.
 
 The parts are fixed values written from general knowledge of web servers,
-content systems and browsers, not from any table.  ``FAMILIES`` makes texts of
+content systems and browsers; the README says how they relate to the test tables.
+``FAMILIES`` makes texts of
 one kind each from a seeded generator, so that a whole kind can be left out of
 a fit and used to measure it.
 """
